@@ -6,25 +6,123 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumeria.llm import bpe, html_extract, matroska, mixing, quality, token_files, toxicity, warc_fixity
 from plumeria.llm.common import table
 from plumeria.llm.exact_dedup import exact_dedup
 from plumeria.llm.jaccard_join import jaccard_components
 
 
+def vocabulary() -> str:
+    """The public vocabulary file that the queries use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_features(matroska.media_column(table(spark, sf_dir, "documents")))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=0)
+    return token_files.read_documents(files)
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc_fixity.write_archive(table(spark, sf_dir, "pages"))
+    return warc_fixity.audit(archive, warc_fixity.damaged_copy(archive))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.rate(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_min_cut": op1_html_min_cut,
+    "op2_matroska_media": op2_matroska_media,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_token_files": op4_token_files,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_warc_fixity": op6_warc_fixity,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_ordinal": op9_quality_ordinal,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+        ), s AS (
+            SELECT source, sum(size)::DOUBLE AS total,
+                   CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+            FROM d GROUP BY source
+        ), c AS (  -- a level is right where the targets at it, cut at their caps, give the goal
+            SELECT *, 2 * total / w AS level, 1.5 * sum(total) OVER () AS goal FROM s
+        ), f AS (
+            SELECT a.source, a.level,
+                   (any_value(a.goal) - sum(CASE WHEN b.level < a.level THEN 2 * b.total ELSE 0 END))
+                   / sum(CASE WHEN b.level < a.level THEN 0 ELSE b.w END) AS fits
+            FROM c a CROSS JOIN c b GROUP BY a.source, a.level
+        ), t AS (
+            SELECT c.source, c.total, least(2 * c.total, c.w * (SELECT min_by(fits, level) FROM f WHERE fits <= level)) AS target FROM c
+        ), p AS (
+            SELECT d.doc_id, d.size, t.total, t.target, round(t.target)::BIGINT AS words,
+                   (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || d.doc_id)) - d.size)::BIGINT AS position
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size::BIGINT AS size, total::BIGINT AS source_size, target,
+               (greatest(0, least(position + size, words) - position)
+                + greatest(0, least(position + total + size, words) - position - total))::BIGINT AS taken
+        FROM p
+    """,
+    "op6_warc_fixity": r"""
+        WITH c AS (
+            SELECT *, count(*) OVER () // 4096 + 1 AS shards FROM pages
+        ), r AS (
+            SELECT page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 4))::BIGINT % shards AS shard,
+                   ('0x' || substr(md5('damage:' || page_id), 1, 4))::BIGINT % 101 AS draw,
+                   'WARC/1.1' || e'\r\n' || 'WARC-Type: resource' || e'\r\n' || 'WARC-Record-ID: <urn:uuid:'
+                   || md5(page_id::VARCHAR)[1:8] || '-' || md5(page_id::VARCHAR)[9:12] || '-' || md5(page_id::VARCHAR)[13:16]
+                   || '-' || md5(page_id::VARCHAR)[17:20] || '-' || md5(page_id::VARCHAR)[21:32] || '>' || e'\r\n'
+                   || 'WARC-Target-URI: ' || coalesce(url, '') || e'\r\n' || 'Content-Type: text/html' || e'\r\n'
+                   || 'Content-Length: ' || strlen(coalesce(html, '')) || e'\r\n\r\n' || coalesce(html, '') || e'\r\n\r\n' AS record
+            FROM c
+        )
+        SELECT page_id, shard, row_number() OVER w - 1 AS seq,
+               (sum(strlen(record)) OVER w - strlen(record))::BIGINT AS offset, strlen(record) AS length,
+               sha256(record) AS record_sha256,
+               CASE draw WHEN 7 THEN 'changed' WHEN 53 THEN 'changed' WHEN 23 THEN 'missing' ELSE 'ok' END AS status
+        FROM r WINDOW w AS (PARTITION BY shard ORDER BY page_id)
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -51,12 +149,12 @@ ORACLE_SQL: dict[str, str] = {
         ), sizes AS (
             SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
         ), shared AS (
-            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter
             FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id
             GROUP BY a.doc_id, b.doc_id
         ), links AS (
             SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
-            WHERE 100 * both >= 90 * (p.n + q.n - both)
+            WHERE 100 * inter >= 90 * (p.n + q.n - inter)
         ), steps AS (
             SELECT x AS u, y AS v FROM links UNION ALL SELECT y, x FROM links
         ), reach AS (
