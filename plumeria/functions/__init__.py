@@ -1 +1 @@
-
+"""Column functions; all built-in, no Python in the tasks."""

@@ -1 +1 @@
-
+"""Relational operators over DataFrames."""

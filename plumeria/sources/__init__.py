@@ -1 +1 @@
-
+"""Tables, files and sinks."""
