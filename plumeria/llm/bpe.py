@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.pieces import ChunkEncoder, ranges, text_groups
+from plumeria.llm.pieces import ChunkEncoder, WordCutter, ranges, text_groups
 from plumeria.llm.words import slices
 
 _NO_RANK = np.int64(1 << 40)
@@ -122,7 +122,7 @@ class ByteBPE:
 @lru_cache(maxsize=2)
 def load(path: str) -> tuple[ByteBPE, ChunkEncoder]:
     model = ByteBPE(path)
-    return model, ChunkEncoder(model.encode_words, model.special)
+    return model, ChunkEncoder(WordCutter(model.encode_words, model.special))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

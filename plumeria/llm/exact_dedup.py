@@ -97,7 +97,9 @@ def exact_dedup(
     chains = index.where("n_rows > 1").select("key", salt)
 
     # Byte classes of the chained keys: the text itself is a grouping key, and copies fall together before the shuffle.
-    members = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(chains, ["key", "salt"])
+    members = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
+        chains.hint("merge"), ["key", "salt"]
+    )
     classes = members.groupBy("key", "norm").agg(_best().alias("best"), F.count("*").alias("group_size"))
     sized = stored(
         classes.select(

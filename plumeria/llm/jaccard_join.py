@@ -8,9 +8,9 @@ this content there, so no linked pair is lost and sets that share single tokens
 segments let a set leave out its empty segments (there are at most ``s`` of them, or it keeps them all).
 
 Below a root come the components that are known so far, then nodes of ``LEAVES`` sets; every node holds the OR of its
-bitmaps, its size range and its greatest excess. The dual traversal goes down level by level as joins of sibling
-nodes, and drops a pair of nodes when the greatest possible overlap, the common bits plus the lesser excess, is below
-the overlap that the least sizes need, and when both belong to one component, as its links change nothing there.
+bitmaps (and their AND), its size range and its greatest excess. The dual traversal goes down level by level as joins
+of sibling nodes, and drops a pair of nodes when their greatest possible overlap is below the overlap that their sizes
+need, and when both belong to one component, as its links change nothing there.
 Before it, every set is held against the first set of its roots, which joins most groups of copies in linear work.
 What remains is checked on the whole shingle sets.
 """
@@ -30,7 +30,7 @@ from plumeria.llm.components import connected_components
 from plumeria.llm.words import column_bytes, mix, shingle_hashes, slices, word_hashes
 
 #: 64-bit integers of a bitmap.
-LANES = 16
+LANES = 32
 #: Sets of a lowest node.
 LEAVES = 32
 #: The largest size that a level holds, over that of the level before.
@@ -129,23 +129,37 @@ def _leaves(width: int):
 
 
 def _may_link(percent: int, a: str, b: str) -> Column:
-    """Whether the greatest possible overlap of two nodes reaches the overlap that their least sizes need."""
-    lanes = [F.bit_count(F.col(f"{a}.bits")[i].bitwiseAND(F.col(f"{b}.bits")[i])) for i in range(LANES)]
-    common = sum(lanes[1:], lanes[0]) + F.least(f"{a}.excess", f"{b}.excess")
-    low = lambda x: F.col(f"{x}.low")
+    """Whether the greatest possible overlap of two nodes reaches the overlap that their sizes need.
+
+    Sets overlap by no more than the bits that the ORs share and the lesser excess, and by no more than the larger
+    set's size without the bits that all sets of its node have and none of the other's.
+    """
+
+    def bits(x: Column, y: Column) -> Column:
+        lanes = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(q)))
+        return F.aggregate(lanes, F.lit(0), lambda total, lane: total + lane)
+
+    maps = {(x, kind): F.col(f"{x}.{kind}") for x in (a, b) for kind in ("any", "all")}
+    common = bits(maps[a, "any"], maps[b, "any"]) + F.least(f"{a}.excess", f"{b}.excess")
+    low, high = (lambda x: F.col(f"{x}.low")), (lambda x: F.col(f"{x}.high"))
+
+    def outside(x: str, y: str) -> Column:
+        only = bits(maps[x, "all"], F.transform(maps[y, "any"], F.bitwise_not))
+        return low(y) * percent + only * (100 + percent) <= high(x) * 100
+
     needed = (low(a) + low(b)) * percent <= common * (100 + percent)
-    sizes = (F.col(f"{a}.high") * 100 >= low(b) * percent) & (F.col(f"{b}.high") * 100 >= low(a) * percent)
-    return needed & sizes
+    sizes = (high(a) * 100 >= low(b) * percent) & (high(b) * 100 >= low(a) * percent)
+    return sizes & outside(a, b) & outside(b, a) & needed
 
 
 def _node(keys: list[str], rows: DataFrame) -> DataFrame:
-    """Nodes over ``rows``: the OR of bitmaps, the size range and the greatest excess."""
-    lanes = [F.bit_or(F.col("node.bits")[i]).alias(f"b{i}") for i in range(LANES)]
+    """Nodes over ``rows``: the OR and the AND of bitmaps, the size range and the greatest excess."""
+    lanes = [f(F.col(f"node.{k}")[i]).alias(f"{k}{i}") for k, f in (("any", F.bit_or), ("all", F.bit_and)) for i in range(LANES)]
     made = rows.groupBy(*keys).agg(
         F.min("node.low").alias("low"), F.max("node.high").alias("high"), F.max("node.excess").alias("excess"), *lanes
     )
-    bits = F.array(*[f"b{i}" for i in range(LANES)]).alias("bits")
-    return made.select(*keys, F.struct("low", "high", "excess", bits).alias("node"))
+    maps = [F.array(*[f"{k}{i}" for i in range(LANES)]).alias(k) for k in ("any", "all")]
+    return made.select(*keys, F.struct("low", "high", "excess", *maps).alias("node"))
 
 
 def _verified(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +210,8 @@ def jaccard_components(
         texts.mapInArrow(_leaves(width), "id long, n long, excess long, bits array<long>, tokens array<long>"),
         "jaccard-leaves",
     )
-    node = F.struct(F.col("n").alias("low"), F.col("n").alias("high"), "excess", "bits").alias("node")
+    maps = (F.col("bits").alias(k) for k in ("any", "all"))
+    node = F.struct(F.col("n").alias("low"), F.col("n").alias("high"), "excess", *maps).alias("node")
     shapes = leaves.select("id", node)
 
     def traversed(pairs: DataFrame) -> DataFrame:

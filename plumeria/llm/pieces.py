@@ -1,4 +1,4 @@
-"""Encoding by distinct words: a text is cut where no token can go across, and each distinct word is encoded once."""
+"""Encoding by distinct chunks: a text is cut where no token can go across, and each distinct chunk is encoded once."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: character, and the pattern looks ahead only from white space, so they can be found in each chunk alone.
 CHUNKS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
-#: Distinct chunks and words that one task remembers, and the longest that it does.
-REMEMBERED, LONGEST = 500_000, 64
+#: Distinct chunks that one task remembers, and their characters together.
+REMEMBERED, CHARACTERS = 900_000, 24_000_000
 #: Words that are encoded together.
 TOGETHER = 1 << 14
 
@@ -29,32 +29,44 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class Store:
-    """Numbered runs of integers under distinct strings."""
-
-    def __init__(self, kind: type):
-        self.known: dict[str, int] = {}
-        self._parts: list[np.ndarray] = []
-        self.values, self.lengths = np.empty(0, kind), np.empty(0, np.int64)
-        self.starts = np.empty(0, np.int64)
-
-    def learn(self, names: list[str], values: np.ndarray, lengths: np.ndarray) -> None:
-        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.values) + np.cumsum(lengths) - lengths))
-        self.values = np.concatenate((self.values, values.astype(self.values.dtype)))
-        self.lengths = np.concatenate((self.lengths, lengths))
-
-    def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs of these numbers, one after another, and their lengths."""
-        lengths = self.lengths[which]
-        return self.values[ranges(self.starts[which], lengths)], lengths
-
-
-def numbered(lists: list[list[str]], known: dict[str, int]) -> np.ndarray:
-    out: list[int] = []
-    for one in lists:
-        out += map(known.__getitem__, one)
-    return np.array(out, np.int64)
+class Runs:
+    """Numbers for distinct strings in order of appearance, and a run of integers for each."""
+
+    class _Numbers(dict):
+        def __init__(self) -> None:
+            self.new: list[str] = []
+
+        def __missing__(self, name: str) -> int:
+            number = self[name] = len(self)
+            self.new.append(name)
+            return number
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        """``learn`` gives (flat integers, how many each) for new strings."""
+        self._learn = learn
+        self._numbers, self._held = self._Numbers(), 0
+        self._values, self._lengths, self._starts = (np.empty(0, np.int64) for _ in range(3))
+
+    def __call__(self, lists: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The runs of all strings, one after another, their lengths, and how many strings each list has."""
+        if len(self._numbers) > REMEMBERED or self._held > CHARACTERS:
+            self.__init__(self._learn)
+        find = self._numbers.__getitem__
+        which: list[int] = []
+        counts = []
+        for one in lists:
+            which += map(find, one)
+            counts.append(len(one))
+        if new := self._numbers.new:
+            values, lengths = self._learn(new)
+            self._starts = np.concatenate((self._starts, len(self._values) + np.cumsum(lengths) - lengths))
+            self._values = np.concatenate((self._values, values))
+            self._lengths = np.concatenate((self._lengths, lengths))
+            self._held += sum(map(len, new))
+            self._numbers.new = []
+        place = np.array(which, np.int64)
+        lengths = self._lengths[place]
+        return self._values[ranges(self._starts[place], lengths)], lengths, counts
 
 
 def folded(lengths: np.ndarray, counts: Iterable[int]) -> np.ndarray:
@@ -64,49 +76,78 @@ def folded(lengths: np.ndarray, counts: Iterable[int]) -> np.ndarray:
     return ends[bounds[1:]] - ends[bounds[:-1]]
 
 
+#: White space other than single spaces and line ends between other characters.
+_OTHER = [x for x in "\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
+_ASCII_OTHER = [x for x in _OTHER if x.isascii()] + ["  ", " \n", "\n ", "\n\n"]
+_OTHER += ["  ", " \n", "\n ", "\n\n"]
+
+
+def cut(text: str) -> list[str]:
+    """The chunks of a text as keys: one after a space stands without it, any other is marked by a tab before it.
+
+    A text whose white space is only single spaces and line ends is split at these, which is fastest.
+    """
+    if any(x in text for x in (_ASCII_OTHER if text.isascii() else _OTHER)) or text[-1:] in " \n" or text[:1] in " \n":
+        return [x[1:] if x[0] == " " and x[1:2].isalnum() else "\t" + x for x in CHUNKS.findall(text)]
+    keys: list[str] = []
+    mark = "\t"
+    for line in text.split("\n"):
+        parts = line.split(" ")
+        parts[0] = mark + parts[0]
+        keys += parts
+        mark = "\t\n"
+    return keys
+
+
+def whole(key: str) -> str:
+    """The chunk of a key."""
+    return key[1:] if key[0] == "\t" else " " + key
+
+
 class ChunkEncoder:
-    """Ids of texts; ``encode`` turns distinct words into (flat ids, number of ids of each word).
+    """Ids of texts; ``encode`` turns distinct chunks into (flat ids, number of ids of each chunk)."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self._chunks = Runs(lambda keys: encode(list(map(whole, keys))))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has."""
+        ids, lengths, counts = self._chunks(map(cut, texts))
+        return ids, folded(lengths, counts)
+
+
+class WordCutter:
+    """Cuts chunks into words and encodes each distinct word once.
 
     ``special`` are strings that are one word wherever they stand.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: Iterable[str] = ()):
-        self._encode = encode
         self._special = sorted(special, key=len, reverse=True)
         self._marks = regex.compile("(" + "|".join(map(regex.escape, self._special)) + ")") if self._special else None
         self._find = regex.compile(PATTERN).findall
-        self._words, self._chunks = Store(np.uint32), Store(np.int64)
+
+        def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            parts = [encode(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+            return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
+
+        self._words = Runs(learn)
 
     def _cut(self, chunk: str) -> list[str]:
+        # Most chunks are a space and letters, and perhaps a mark; isalpha() is true for letters alone, as \p{L} is.
+        if chunk[0] == " ":
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[-1] in ".,;:!?" and chunk[1:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
         if not any(x in chunk for x in self._special):
             return self._find(chunk)
         parts = self._marks.split(chunk)  # every second one is special
         return [word for i, part in enumerate(parts) for word in ([part] if i % 2 else self._find(part))]
 
-    def _learn(self, chunks: list[str]) -> None:
-        cut = list(map(self._cut, chunks))
-        new = list({word for words in cut for word in words} - self._words.known.keys())
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            self._words.learn(some, *self._encode(some))
-        self._chunks.learn(chunks, numbered(cut, self._words.known), np.fromiter(map(len, cut), np.int64))
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each text has."""
-        found = list(map(CHUNKS.findall, texts))
-        distinct = {chunk for chunks in found for chunk in chunks}
-        new = list(distinct - self._chunks.known.keys())
-        if new and len(self._chunks.known) + len(new) > REMEMBERED:
-            self._words, self._chunks = Store(np.uint32), Store(np.int64)
-            new = list(distinct)
-        if new:
-            self._learn(new)
-        words, per_chunk = self._chunks.runs(numbered(found, self._chunks.known))
-        ids, per_word = self._words.runs(words)
-        counts = folded(folded(per_word, per_chunk), map(len, found))
-        if any(map(LONGEST.__lt__, map(len, new))) and sum(map(len, new)) > LONGEST * REMEMBERED:
-            self._words, self._chunks = Store(np.uint32), Store(np.int64)  # very long words
-        return ids, counts
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths, counts = self._words(map(self._cut, chunks))
+        return ids, folded(lengths, counts)
 
 
 def text_groups(texts: list[str], characters: int = 1 << 20) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.llm.common import stored
-from plumeria.llm.pieces import ChunkEncoder, text_groups
+from plumeria.llm.pieces import ChunkEncoder, WordCutter, ranges, text_groups
 from plumeria.llm.words import slices
 
 #: A block is closed at so many ids; a document isn't cut, so a longer one is a block of its own.
@@ -57,7 +57,11 @@ def unpack(packed: bytes, bits: int, first: int, count: int) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def library(path: str) -> tuple[ChunkEncoder, int]:
-    """An encoder by the tokenizers library, and the size of its vocabulary."""
+    """An encoder by the tokenizers library, and the size of its vocabulary.
+
+    New words that begin with a space go to the library as one text, and the offsets of its tokens tell whose they
+    are; the others go alone.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -65,19 +69,27 @@ def library(path: str) -> tuple[ChunkEncoder, int]:
     tokenizer.no_padding()
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [one.ids for one in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+        joined = [i for i, x in enumerate(words) if x[0] == " " and not x[-1].isspace()]
+        one = tokenizer.encode("".join([words[i] for i in joined]), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, [words[i] for i in joined]), np.int64, len(joined)))
+        begins = np.fromiter((a for a, _ in one.offsets), np.int64, len(one.ids))
+        counts = np.zeros(len(words), np.int64)
+        counts[joined] = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(joined))[: len(joined)]
+        rest = sorted(set(range(len(words))) - set(joined))
+        alone = [x.ids for x in tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False)]
+        counts[rest] = [len(x) for x in alone]
+        ids = np.empty(int(counts.sum()), np.int64)
+        starts = np.cumsum(counts) - counts
+        ids[ranges(starts[joined], counts[joined])] = one.ids
+        ids[ranges(starts[rest], counts[rest])] = list(chain.from_iterable(alone))
+        return ids, counts
 
     special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    return ChunkEncoder(encode, special), tokenizer.get_vocab_size(with_added_tokens=True)
+    return ChunkEncoder(WordCutter(encode, special)), tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 def _encoded(path: str, end_id: int | None, cuts: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, size = library(path)
         bits = bits_for(size)
         extra = np.array([] if end_id is None else [end_id], np.uint32)
