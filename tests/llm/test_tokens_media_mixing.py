@@ -27,7 +27,7 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-@given(st.text(alphabet=st.sampled_from(list("ab '\n\t!é日<|>9.") + ["the", "'ll", "<|endoftext|>", "\xa0", "  "]), max_size=40))
+@given(st.lists(st.sampled_from([*"ab '\n\t!é日<|>9.", "the", "'ll", "<|endoftext|>", "\xa0", "  "]), max_size=40).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_both_encoders_equal_the_library(text):
     want = Tokenizer.from_file(PATH) if not hasattr(test_both_encoders_equal_the_library, "t") else test_both_encoders_equal_the_library.t
