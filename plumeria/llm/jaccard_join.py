@@ -4,8 +4,9 @@ Each distinct shingle set is a leaf with a token bitmap, its size and its excess
 trees of the forest come from the pigeonhole principle. Sizes fall into levels; at a level with sizes up to ``u`` two
 linked sets differ in at most ``d = (2u)(1-t)/(1+t)`` tokens, so of ``d + 1 + s`` segments of the token space at
 least ``1 + s`` hold the same tokens in both. A root is one segment's content; below it are the sets that have just
-this content there, so no linked pair is lost and sets that share single tokens or passages don't meet. ``s`` spare
-segments let a set leave out its empty segments (there are at most ``s`` of them, or it keeps them all).
+this content there. Contents have one order (number of tokens, then hash), and every set leaves out its ``s`` lowest:
+the highest content that two linked sets share has ``s`` others below it, so both keep it. No linked pair is lost, and
+sets that share single tokens or passages rarely meet.
 
 Below a root come the components that are known so far, then nodes of ``LEAVES`` sets; every node holds the OR of its
 bitmaps (and their AND), its size range and its greatest excess. The dual traversal goes down level by level as joins
@@ -35,6 +36,10 @@ LANES = 32
 LEAVES = 32
 #: The largest size that a level holds, over that of the level before.
 STEP = 1.4
+#: Segments that a set leaves out, as a share of the tokens in which linked sets may differ.
+SPARE = 0.3
+#: Documents up to which their ids are broadcast, 8 bytes each, to fetch their texts; more are joined by a shuffle.
+FETCHED = 2_000_000
 
 
 class Levels:
@@ -52,7 +57,7 @@ class Levels:
             self.upper.append(max(self.upper[-1] + 1, int(self.upper[-1] * STEP)))
         for upper in self.upper[len(self._segments) :]:
             differ = int(2 * upper * self.loss)
-            spare = 0 if differ == 0 else 2 + int(0.06 * differ)
+            spare = int(SPARE * differ)
             self._segments.append((differ + 1 + spare if differ else 0, spare))
 
     def of(self, size: int) -> list[int]:
@@ -63,6 +68,7 @@ class Levels:
         return [i for i in range(low, len(self.upper)) if i == low or self.upper[i - 1] < largest]
 
     def segments(self, level: int) -> tuple[int, int]:
+        """The segments of the token space, and how many of their contents a set leaves out."""
         return self._segments[level]
 
 
@@ -81,8 +87,7 @@ def _roots(tokens: np.ndarray, levels: Levels) -> np.ndarray:
         sized = np.diff(cuts).astype(np.uint64)
         place = np.arange(parts, dtype=np.uint64) + np.uint64(level << 40)
         root = mix(content + mix(place * np.uint64(0x9E3779B97F4A7C15) + sized))
-        full = sized > 0
-        found.append(root[full] if np.count_nonzero(~full) <= spare else root)
+        found.append(root[np.lexsort((root, sized))[spare:]])
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -97,17 +102,20 @@ def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(word[a:b], width)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _set_ids(sets: list[np.ndarray]) -> pa.Array:
+    """A hash of each set; null for the empty one."""
+    ids = np.array([np.sum(mix(x), dtype=np.uint64) ^ np.bitwise_xor.reduce(mix(~x), initial=0) for x in sets], np.uint64)
+    return pa.array(ids.view(np.int64), mask=np.array([not len(x) for x in sets], bool))
+
+
 def _rooted(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(percent)
         for batch in slices(batches):
             sets = _sets(batch.column(1), width)
             size = pa.array([len(x) for x in sets], pa.int64())
-            first = np.array([np.sum(mix(x), dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-            second = np.array([np.bitwise_xor.reduce(mix(~x)) if len(x) else 0 for x in sets], np.uint64)
-            columns = [batch.column(0), size, pa.array(first), pa.array(second.view(np.int64))]
-            columns.append(_lists([_roots(x, levels) for x in sets]))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f", "g", "roots"])
+            columns = [batch.column(0), size, _set_ids(sets), _lists([_roots(x, levels) for x in sets])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "id", "roots"])
 
     return run
 
@@ -115,14 +123,14 @@ def _rooted(width: int, percent: int):
 def _leaves(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = _sets(batch.column(1), width)
+            sets = _sets(batch.column(0), width)
             maps = np.zeros((len(sets), LANES * 64), np.uint8)
             for row, tokens in zip(maps, sets, strict=True):
                 row[(tokens % np.uint64(LANES * 64)).astype(np.int64)] = 1
             bits = np.packbits(maps, axis=1).view(np.uint64)
             size = np.array([len(x) for x in sets], np.int64)
             excess = size - maps.sum(axis=1, dtype=np.int64)
-            columns = [batch.column(0), pa.array(size), pa.array(excess), _lists(list(bits)), _lists(sets)]
+            columns = [_set_ids(sets), pa.array(size), pa.array(excess), _lists(list(bits)), _lists(sets)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "excess", "bits", "tokens"])
 
     return run
@@ -181,35 +189,33 @@ def jaccard_components(
     with A-Z in lower case. A text of fewer words has its whole sequence as its one shingle; without words, or null,
     the set is empty and linked with nothing. Two texts link when ``100 * intersection >= percent * union``.
     component_id is the smallest doc_id reachable by links, the document's own included. Copies share one leaf.
-    A repeated doc_id gives a row for each of its rows; an empty table gives an empty result; a null doc_id is kept
-    with a null component unless its set has other ids. Other columns are ignored, whatever their names. Shingles are
-    compared by 64-bit hashes.
+    A repeated doc_id gives a row for each of its rows, each with its own set; an empty table gives an empty result; a
+    null doc_id takes part in links, and its component is null where no row of it has an id. Other columns are ignored,
+    whatever their names. Shingles and sets are compared by 64-bit hashes.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = stored(
-        source.mapInArrow(_rooted(width, percent), "doc_id long, n long, f long, g long, roots array<long>"),
-        "jaccard-sets",
-    )
-    copies = stored(
-        rows.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("id")), "jaccard-distinct"
+        source.mapInArrow(_rooted(width, percent), "doc_id long, n long, id long, roots array<long>"), "jaccard-sets"
     )
 
-    # Roots that more than one distinct set has, and their sets.
-    distinct = copies.select(F.col("id").alias("doc_id"))
-    rooted = rows.where(F.size("roots") > 0).select("doc_id", "roots").join(distinct, "doc_id", "left_semi")
-    rooted = rooted.groupBy("doc_id").agg(F.first("roots").alias("roots"))
-    rooted = rooted.select(F.explode("roots").alias("root"), F.col("doc_id").alias("id"))
+    # Roots that more than one distinct set has, and their sets, in one shuffle. A root's rows are two integers each,
+    # and a set has a root for every few words, so a group of a third of all sets is a small share of a root's rows.
+    rooted = rows.select(F.explode("roots").alias("root"), "id").repartition("root")
     shared = rooted.groupBy("root").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = stored(rooted.join(shared.select("root", "first"), "root"), "jaccard-members")
+    members = rooted.join(shared.select("root", "first").hint("merge"), "root").dropDuplicates(["root", "id"])
+    members = stored(members, "jaccard-members")
 
+    # One document of each of these sets, and its leaf.
     wanted = members.select("id").distinct()
-    texts = source.join(wanted, source["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"])
-    leaves = stored(
-        texts.mapInArrow(_leaves(width), "id long, n long, excess long, bits array<long>, tokens array<long>"),
-        "jaccard-leaves",
-    )
+    fetched = rows.select("id", "doc_id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    fetched = stored(fetched.select("doc_id").distinct(), "jaccard-fetched")
+    if fetched.count() <= FETCHED:
+        fetched = F.broadcast(fetched)
+    texts = source.join(fetched, source["doc_id"].eqNullSafe(fetched["doc_id"]), "left_semi").select("text")
+    leaves = texts.mapInArrow(_leaves(width), "id long, n long, excess long, bits array<long>, tokens array<long>")
+    leaves = stored(leaves.where("id IS NOT NULL").dropDuplicates(["id"]), "jaccard-leaves")
     maps = (F.col("bits").alias(k) for k in ("any", "all"))
     node = F.struct(F.col("n").alias("low"), F.col("n").alias("high"), "excess", *maps).alias("node")
     shapes = leaves.select("id", node)
@@ -251,13 +257,15 @@ def jaccard_components(
     lower = lower.join(side(sets, "y"), ["root", "component_y", "cell_y"]).where(_may_link(percent, "node_x", "node_y"))
     pairs = lower.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     more = stored(_verified(pairs.join(spokes, ["a", "b"], "left_anti"), leaves, percent), "jaccard-links")
-    final = connected_components(links.unionByName(more))
-
-    classes = copies.join(final, "id", "left").select("n", "f", "g", F.coalesce("component", "id").alias("component"))
-    sized = rows.select("doc_id", "n", "f", "g").join(classes, ["n", "f", "g"], "left")
-    return sized.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    final = stored(connected_components(links.unionByName(more)), "jaccard-components")
+
+    # The smallest doc_id of each component; both joins are of stored tables, so adaptive execution splits hot groups.
+    placed = rows.select("doc_id", "n", "id").join(final, "id", "left")
+    placed = stored(placed.select("doc_id", "n", F.coalesce("component", "id").alias("component")), "jaccard-placed")
+    least = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    named = placed.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named.unionByName(alone)
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
