@@ -4,12 +4,13 @@ Each distinct shingle set is a leaf with a token bitmap, its size and its excess
 trees of the forest come from the pigeonhole principle. Sizes fall into levels; at a level with sizes up to ``u`` two
 linked sets differ in at most ``d = (2u)(1-t)/(1+t)`` tokens, so of ``d + 1 + s`` segments of the token space at
 least ``1 + s`` hold the same tokens in both. A root is one segment's content; below it are the sets that have just
-this content there. Contents have one order (number of tokens, then hash), and every set leaves out its ``s`` lowest:
-the highest content that two linked sets share has ``s`` others below it, so both keep it. No linked pair is lost, and
-sets that share single tokens or passages rarely meet.
+this content there. A set leaves out ``s`` of its contents, the lowest of one order over all contents: half of them
+before the shuffle (fewest tokens first), half after it (those that most sets have). The highest content that two linked
+sets share has enough others below it, so both keep it. No linked pair is lost, and sets that share single tokens or
+passages rarely meet.
 
 Below a root come the components that are known so far, then nodes of ``LEAVES`` sets; every node holds the OR of its
-bitmaps (and their AND), its size range and its greatest excess. The dual traversal goes down level by level as joins
+bitmaps (and their AND), its size range and its greatest excess; sets of one node have nearly one size. The dual traversal goes down level by level as joins
 of sibling nodes, and drops a pair of nodes when their greatest possible overlap is below the overlap that their sizes
 need, and when both belong to one component, as its links change nothing there.
 Before it, every set is held against the first set of its roots, which joins most groups of copies in linear work.
@@ -18,26 +19,30 @@ What remains is checked on the whole shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.llm.common import stored
 from plumeria.llm.components import connected_components
 from plumeria.llm.words import column_bytes, mix, shingle_hashes, slices, word_hashes
 
-#: 64-bit integers of a bitmap.
-LANES = 32
+#: 64-bit integers of a set's bitmap, and of a node's, which is folded.
+LANES, NODE_LANES = 32, 8
 #: Sets of a lowest node.
 LEAVES = 32
 #: The largest size that a level holds, over that of the level before.
 STEP = 1.4
-#: Segments that a set leaves out, as a share of the tokens in which linked sets may differ.
+#: Contents that a set leaves out, as a share of the tokens in which linked sets may differ.
 SPARE = 0.3
+#: The lowest bits of a root hold its level.
+LEVELS = 128
 #: Documents up to which their ids are broadcast, 8 bytes each, to fetch their texts; more are joined by a shuffle.
 FETCHED = 2_000_000
 
@@ -71,6 +76,11 @@ class Levels:
         """The segments of the token space, and how many of their contents a set leaves out."""
         return self._segments[level]
 
+    def frequent(self) -> list[int]:
+        """For each level, how many contents are left out because many sets have them."""
+        self._grow(int(STEP ** (LEVELS - 8)))
+        return [spare // 2 for _, spare in self._segments[:LEVELS]]
+
 
 def _roots(tokens: np.ndarray, levels: Levels) -> np.ndarray:
     """The roots of a sorted set of tokens: hashes of its segments' contents at its levels."""
@@ -87,7 +97,8 @@ def _roots(tokens: np.ndarray, levels: Levels) -> np.ndarray:
         sized = np.diff(cuts).astype(np.uint64)
         place = np.arange(parts, dtype=np.uint64) + np.uint64(level << 40)
         root = mix(content + mix(place * np.uint64(0x9E3779B97F4A7C15) + sized))
-        found.append(root[np.lexsort((root, sized))[spare:]])
+        root = root & ~np.uint64(LEVELS - 1) | np.uint64(level)
+        found.append(root[np.lexsort((root, sized))[spare - spare // 2 :]])
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -160,13 +171,17 @@ def _may_link(percent: int, a: str, b: str) -> Column:
     return sizes & outside(a, b) & outside(b, a) & needed
 
 
+def _any_of(maps: list[Column]) -> Column:
+    return reduce(lambda x, y: x.bitwiseOR(y), maps)
+
+
 def _node(keys: list[str], rows: DataFrame) -> DataFrame:
-    """Nodes over ``rows``: the OR and the AND of bitmaps, the size range and the greatest excess."""
-    lanes = [f(F.col(f"node.{k}")[i]).alias(f"{k}{i}") for k, f in (("any", F.bit_or), ("all", F.bit_and)) for i in range(LANES)]
+    """Nodes over ``rows``: the OR and the AND of folded bitmaps, the size range and the greatest excess."""
+    lanes = [f(F.col(f"node.{k}")[i]).alias(f"{k}{i}") for k, f in (("any", F.bit_or), ("all", F.bit_and)) for i in range(NODE_LANES)]
     made = rows.groupBy(*keys).agg(
         F.min("node.low").alias("low"), F.max("node.high").alias("high"), F.max("node.excess").alias("excess"), *lanes
     )
-    maps = [F.array(*[f"{k}{i}" for i in range(LANES)]).alias(k) for k in ("any", "all")]
+    maps = [F.array(*[f"{k}{i}" for i in range(NODE_LANES)]).alias(k) for k in ("any", "all")]
     return made.select(*keys, F.struct("low", "high", "excess", *maps).alias("node"))
 
 
@@ -203,9 +218,15 @@ def jaccard_components(
     # Roots that more than one distinct set has, and their sets, in one shuffle. A root's rows are two integers each,
     # and a set has a root for every few words, so a group of a third of all sets is a small share of a root's rows.
     rooted = rows.select(F.explode("roots").alias("root"), "id").repartition("root")
-    shared = rooted.groupBy("root").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = rooted.join(shared.select("root", "first").hint("merge"), "root").dropDuplicates(["root", "id"])
-    members = stored(members, "jaccard-members")
+    shared = rooted.groupBy("root").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("held"))
+    shared = shared.where("u < v").select("root", "held")
+    met = rooted.join(shared.hint("merge"), "root").dropDuplicates(["root", "id"])
+    level = F.col("root").bitwiseAND(F.lit(LEVELS - 1))
+    spare = F.element_at(F.array(*map(F.lit, Levels(percent).frequent())), (level + 1).cast("int"))
+    most_held = F.row_number().over(Window.partitionBy("id", level).orderBy(F.desc("held"), "root"))
+    kept = stored(met.withColumn("place", most_held).where(F.col("place") > spare).select("root", "id"), "jaccard-kept")
+    firsts = kept.groupBy("root").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    members = stored(kept.join(firsts.select("root", "first"), "root"), "jaccard-members")
 
     # One document of each of these sets, and its leaf.
     wanted = members.select("id").distinct()
@@ -238,11 +259,18 @@ def jaccard_components(
     mixed = own.groupBy("root").agg(F.min("component").alias("u"), F.max("component").alias("v"), F.count("*").alias("size"))
     mixed = mixed.where("u < v AND size > 2").select("root")  # two sets have met already
     open_ = own.join(mixed, "root", "left_semi")
-    cell = F.pmod(F.xxhash64("id"), F.ceil(F.col("in_part") / LEAVES)).cast("int").alias("cell")
-    counts = open_.groupBy("root", "component").agg(F.count("*").alias("in_part"))
-    sets = open_.join(counts, ["root", "component"]).select("root", "component", cell, "id").join(shapes, "id")
-    sets = stored(sets, "jaccard-open")
-    nodes = stored(_node(["root", "component", "cell"], sets), "jaccard-nodes")
+    folded = F.transform(F.sequence(F.lit(0), F.lit(NODE_LANES - 1)), lambda i: _any_of([F.col("bits")[i + k] for k in range(0, LANES, NODE_LANES)]))
+    small = leaves.select("id", "n", folded.alias("bits"))
+    small = small.withColumn("excess", F.col("n") - F.aggregate("bits", F.lit(0), lambda total, lane: total + F.bit_count(lane)))
+    maps = (F.col("bits").alias(k) for k in ("any", "all"))
+    small = small.select("id", "n", F.struct(F.col("n").alias("low"), F.col("n").alias("high"), "excess", *maps).alias("node"))
+    of_size = F.floor(F.log("n") / math.log(100 / min(percent, 99)) * 2).alias("of_size")
+    sized = stored(open_.join(leaves.select("id", "n", of_size), "id"), "jaccard-open")
+    counts = sized.groupBy("root", "component", "of_size").agg(F.count("*").alias("in_part"))
+    cell = F.col("of_size") * (1 << 32) + F.pmod(F.xxhash64("id"), F.ceil(F.col("in_part") / LEAVES))
+    sets = sized.join(counts, ["root", "component", "of_size"]).select("root", "component", cell.alias("cell"), "id", "n")
+    sets = stored(sets, "jaccard-cells")
+    nodes = stored(_node(["root", "component", "cell"], sets.drop("n").join(small, "id")), "jaccard-nodes")
     parts = _node(["root", "component"], nodes)
 
     def side(df: DataFrame, suffix: str, keep: tuple[str, ...] = ("root",)) -> DataFrame:
@@ -253,10 +281,10 @@ def jaccard_components(
     middle = upper.join(side(nodes, "x"), ["root", "component_x"]).join(side(nodes, "y"), ["root", "component_y"])
     middle = middle.where(_may_link(percent, "node_x", "node_y"))
     middle = middle.select("root", "component_x", "component_y", "cell_x", "cell_y")
-    lower = middle.join(side(sets, "x"), ["root", "component_x", "cell_x"])
-    lower = lower.join(side(sets, "y"), ["root", "component_y", "cell_y"]).where(_may_link(percent, "node_x", "node_y"))
+    lower = middle.join(side(sets, "x"), ["root", "component_x", "cell_x"]).join(side(sets, "y"), ["root", "component_y", "cell_y"])
+    lower = lower.where((F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
     pairs = lower.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    more = stored(_verified(pairs.join(spokes, ["a", "b"], "left_anti"), leaves, percent), "jaccard-links")
+    more = stored(traversed(pairs.join(spokes, ["a", "b"], "left_anti")), "jaccard-links")
     final = stored(connected_components(links.unionByName(more)), "jaccard-components")
 
     # The smallest doc_id of each component; both joins are of stored tables, so adaptive execution splits hot groups.
