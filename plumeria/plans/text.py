@@ -98,9 +98,11 @@ def style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shingle_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share runs of 16 characters with benchmark texts, and how many.
 
-    Runs are compared by 64-bit hash first, so the shuffle holds numbers; the benchmark's are distinct.
+    Texts are cut into characters once, so the work is linear in their length.
     """
-    runs = lambda df, key: df.where(F.length("text") >= 16).select(*key, F.explode(text.character_ngrams(F.col("text"), 16)).alias("g"))
+    cut = F.array_distinct(F.expr("transform(sequence(1, size(c) - 15), i -> array_join(slice(c, i, 16), ''))"))
+    chars = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c")
+    runs = lambda df, key: df.where(F.length("text") >= 16).select(*key, chars).select(*key, F.explode(cut).alias("g"))
     known = runs(table(spark, sf_dir, "benchmark"), []).distinct()
     return runs(documents(spark, sf_dir), ["doc_id"]).join(known, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
