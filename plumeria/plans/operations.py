@@ -298,16 +298,33 @@ def active_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY is_pref DESC, n DESC, item) AS place FROM c)
     SELECT user_id, place, item FROM r WHERE place <= 20""")
 def fallback_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of every twentieth user, as the SQL has them; ``fallback_list_every_user`` has all."""
+    return fallback_list_every_user(spark, sf_dir).where("user_id % 20 = 0")
+
+
+@query()
+def fallback_list_every_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Popular items for users with preferences: preferred kinds first, seen ones left out, twenty at most.
 
-    The 500 most popular items are the pool, as large as a page may need; every twentieth user is asked.
+    Items are ranked once within their kind. Of a kind no more than the first twenty unseen can be on a list, so
+    twenty and as many as the user has seen of it are offered; other kinds only where the preferred ones can't fill it.
     """
-    seen = event_log(spark, sf_dir, "click").where(F.col("s") < AS_OF)
-    pool = seen.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").limit(500)
+    seen = event_log(spark, sf_dir, "click").where(F.col("s") < AS_OF).select("user_id", "item")
     kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("cat"))
-    signup = event_log(spark, sf_dir, "signup").where("user_id % 20 = 0")
+    place = F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("n"), "item"))
+    pool = seen.groupBy("item").agg(F.count("*").alias("n")).join(kinds, "item").withColumn("rank", place)
+    sizes = pool.groupBy(F.col("cat").alias("kind")).agg(F.max("rank").alias("size"))  # one row a kind
+    met = seen.distinct().join(kinds, "item").groupBy("user_id", "cat").agg(F.count("*").alias("met"))
+    signup = event_log(spark, sf_dir, "signup").where("user_id IS NOT NULL")
     prefs = signup.join(kinds, "item", "left").groupBy("user_id").agg(F.collect_set("cat").alias("cats"))
-    offered = prefs.join(F.broadcast(pool.join(kinds, "item")))  # at most 500 rows
-    fresh = offered.join(seen.select("user_id", "item").distinct(), ["user_id", "item"], "left_anti")
-    order = Window.partitionBy("user_id").orderBy(F.array_contains("cats", F.col("cat")).desc(), F.desc("n"), "item")
+    asked = prefs.crossJoin(F.broadcast(sizes)).withColumnRenamed("user_id", "u")
+    asked = asked.join(met, (F.col("u") == F.col("user_id")) & F.col("kind").eqNullSafe(F.col("cat")), "left")
+    asked = asked.select(F.col("u").alias("user_id"), "kind", "size", F.coalesce("met", F.lit(0)).alias("met"), F.coalesce(F.array_contains("cats", F.col("kind")), F.lit(False)).alias("is_pref"))
+    preferred = F.sum(F.when(F.col("is_pref"), F.col("size") - F.col("met")).otherwise(0)).over(Window.partitionBy("user_id"))
+    asked = asked.withColumn("preferred", preferred).where("is_pref OR preferred < 20")
+    ranks = F.sequence(F.lit(1), F.least("size", F.col("met") + 20).cast("int"))
+    ranks = asked.select("user_id", "kind", "is_pref", F.explode(ranks).alias("place"))
+    offered = ranks.join(pool, F.col("kind").eqNullSafe(F.col("cat")) & (F.col("place") == F.col("rank"))).drop("place")
+    fresh = offered.join(seen.distinct(), ["user_id", "item"], "left_anti")
+    order = Window.partitionBy("user_id").orderBy(F.desc("is_pref"), F.desc("n"), "item")
     return fresh.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 20").select("user_id", "place", "item")
