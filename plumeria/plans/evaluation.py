@@ -128,6 +128,26 @@ def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.withColumn("p", place).where("p = 1").select(F.col("q").alias("item"), "category", F.col("other").alias("voted"))
 
 
+_COSINE = f"CASE WHEN {_DOT.replace('b.', 'a.')} * {_DOT.replace('a.', 'b.')} > 0 THEN {_DOT} / (sqrt({_DOT.replace('b.', 'a.')}) * sqrt({_DOT.replace('a.', 'b.')})) ELSE 0 END"
+
+
+@query(f"""WITH {LOG}, n AS (SELECT a.item AS asked, b.item, round({_COSINE}, 9) AS c FROM items a JOIN items b ON a.item <> b.item WHERE a.item % 20 = 0 AND b.pub_s BETWEEN {AS_OF} - 1209600 AND {AS_OF}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY c DESC, item) AS place FROM n)
+    SELECT asked, place, item, round(c, 5) AS cosine FROM r WHERE place <= 20""")
+def knn_topk_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``knn_topk`` for every twentieth item: its twenty nearest among the items of two weeks; exact, in blocks."""
+    blocks = 16
+    every = items(spark, sf_dir).select("item", "emb", "pub_s")
+    here = every.where(F.col("pub_s").between(AS_OF - 14 * DAY, AS_OF)).withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+    asked = every.where("item % 20 = 0").select(F.col("item").alias("asked"), F.col("emb").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = here.join(asked, "block").where("item <> asked")
+    near = pairs.select("block", "asked", "item", F.round(vectors.cosine(F.col("emb"), F.col("q")), 9).alias("c"))
+    order = [F.desc("c"), "item"]
+    best = near.withColumn("place", F.row_number().over(Window.partitionBy("asked", "block").orderBy(*order))).where("place <= 20")
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(*order)).cast("long")).where("place <= 20")
+    return best.select("asked", "place", "item", F.round("c", 5).alias("cosine"))
+
+
 @query()
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine silhouette of the labels from sums of unit vectors by label: no pairs are made."""
@@ -245,33 +265,44 @@ def pool_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, item, score, emb): for every twentieth user the items of the two weeks before the snapshot."""
-    users = event_log(spark, sf_dir).select("user_id").distinct().where("user_id % 20 = 0").withColumn("t", F.lit(AS_OF).cast("long"))
-    pairs = datasets.pool(users, items(spark, sf_dir), "t", "pub_s", 14 * DAY)
+    """(all_, item, score, emb, pub_s): the items of the two weeks before the snapshot, which every user is offered.
+
+    Items and scores don't depend on the user: they are ranked once, as one request named ``all_``.
+    """
+    snapshot = spark.range(1).select(F.lit(0).alias("all_"), F.lit(AS_OF).cast("long").alias("t"))
+    pairs = datasets.pool(snapshot, items(spark, sf_dir), "t", "pub_s", 14 * DAY)
     popular = clicks(spark, sf_dir).where(F.col("s") < AS_OF).groupBy("item").agg(F.count("*").alias("n"))
     fresh = F.exp(-(F.lit(AS_OF) - F.col("pub_s")) / (48 * 3600.0))
-    return pairs.join(popular, "item", "left").select("user_id", "item", F.round(fresh + F.log1p(F.coalesce("n", F.lit(0)).cast("double")) / 5, 9).alias("score"), "emb", "pub_s")
+    return pairs.join(popular, "item", "left").select("all_", "item", F.round(fresh + F.log1p(F.coalesce("n", F.lit(0)).cast("double")) / 5, 9).alias("score"), "emb", "pub_s")
+
+
+def for_users(spark: SparkSession, sf_dir: str, one: DataFrame) -> DataFrame:
+    """``one``, a list for all, as a list of each user of the log."""
+    users = event_log(spark, sf_dir).select("user_id").where("user_id IS NOT NULL").distinct()
+    return users.crossJoin(one.drop("all_"))
 
 
 @query()
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten items a user, relevant and unlike one another."""
-    return greedy.mmr(offered(spark, sf_dir), "user_id", 10).select("user_id", "place", "item", F.round("score", 6).alias("score"))
+    best = greedy.mmr(offered(spark, sf_dir), "all_", 10)
+    return for_users(spark, sf_dir, best).select("user_id", "place", "item", F.round("score", 6).alias("score"))
 
 
 @query()
 def round_robin_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sources in turn, thirty items a user."""
     o = offered(spark, sf_dir)
-    by = lambda name, *order: o.select("user_id", "item", F.lit(name).alias("source"), (F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - 1).alias("rank"))
+    by = lambda name, *order: o.select("all_", "item", F.lit(name).alias("source"), (F.row_number().over(Window.partitionBy("all_").orderBy(*order)) - 1).alias("rank"))
     lists = by("popular", F.desc("score"), "item").unionByName(by("recent", F.desc("pub_s"), "item")).unionByName(by("other", scores.md5_number(F.lit(1), F.col("item")), "item"))
-    return greedy.round_robin(lists, "user_id", ["popular", "recent", "other"], 30)
+    return for_users(spark, sf_dir, greedy.round_robin(lists, "all_", ["popular", "recent", "other"], 30))
 
 
 @query()
 def exploration_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slates of ten places, two of them explored, with exact propensities."""
-    ranked = ranking.ranked(offered(spark, sf_dir), ["user_id"], "score", "item").select("user_id", "item", "rank")
+    ranked = ranking.ranked(offered(spark, sf_dir), ["all_"], "score", "item").select("all_", "item", "rank")
+    ranked = for_users(spark, sf_dir, ranked)
     return greedy.exploration_slate(ranked, "user_id", 10, 2).select("user_id", "position", "item", "explored", F.round("propensity", 9).alias("propensity"))
 
 

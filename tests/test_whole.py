@@ -66,3 +66,73 @@ def test_fallback_lists_of_every_user_take_the_whole_ranking(spark, tables, log,
     want = sorted(want_fallback(log, kinds))
     assert sorted(map(tuple, QUERIES["fallback_list_every_user"](spark, tables).collect())) == want
     assert sorted(map(tuple, QUERIES["fallback_list"](spark, tables).collect())) == [x for x in want if x[0] % 20 == 0]
+
+
+def offer(log):
+    """(item, score) of the items of two weeks in order of score."""
+    import math
+
+    published = {item: 1_704_067_200 + item * 25_200 for item in range(ITEMS)}
+    n = defaultdict(int)
+    for _, kind, item, s in log:
+        n[item] += kind == "click" and s < AS_OF
+    score = {x: round(math.exp(-(AS_OF - p) / 172_800) + math.log1p(n[x]) / 5, 9) for x, p in published.items() if AS_OF - 14 * 86_400 <= p <= AS_OF}
+    return sorted(score.items(), key=lambda x: (-x[1], x[0])), published
+
+
+def test_every_user_is_offered_lists(spark, tables, log, vectors):
+    import numpy as np
+
+    users = sorted({x[0] for x in log})
+    assert any(u % 20 for u in users)
+    offered, published = offer(log)
+
+    pool = offered[:40]
+    gain = np.array([s for _, s in pool])
+    gain = (gain - gain.min()) / (gain.max() - gain.min())
+    unit = np.array([vectors[x] for x, _ in pool], np.float32).astype(float)
+    size = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = unit / np.where(size > 0, size, 1)
+    taken = []
+    while len(taken) < 10:
+        value = [-np.inf if i in taken else 0.7 * gain[i] - 0.3 * max([float(unit[i] @ unit[j]) for j in taken], default=0.0) for i in range(len(pool))]
+        taken.append(int(np.argmax(value)))
+    want = sorted((u, place, pool[i][0]) for u in users for place, i in enumerate(taken))
+    found = QUERIES["mmr_rerank"](spark, tables).collect()
+    assert sorted((x.user_id, x.place, x.item) for x in found) == want
+
+    found = defaultdict(list)
+    for x in sorted(QUERIES["round_robin_union"](spark, tables).collect(), key=lambda x: (x.user_id, x.place)):
+        found[x.user_id].append((x.source, x.item))
+    assert sorted(found) == users
+    recent = sorted(published, key=lambda x: -published[x])
+    recent = [x for x in recent if x in dict(offered)]
+    for got in found.values():
+        assert len(got) == len({x for _, x in got}) == 30
+        assert [s for s, _ in got[:3]] == ["popular", "recent", "other"]
+        assert got[0][1] == offered[0][0]
+        assert got[1][1] == next(x for x in recent if x != got[0][1])
+
+    slates = defaultdict(list)
+    for x in QUERIES["exploration_slate"](spark, tables).collect():
+        slates[x.user_id].append(x)
+    assert sorted(slates) == users
+    for slate in slates.values():
+        assert sorted(x.position for x in slate) == list(range(10))
+        assert sum(x.explored for x in slate) == 2
+        assert len({x.item for x in slate}) == 10
+
+
+def test_every_twentieth_item_is_asked_for_its_nearest(spark, tables, log, vectors):
+    import numpy as np
+
+    unit = np.array([vectors[x] for x in range(ITEMS)], np.float32).astype(float)
+    size = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = unit / np.where(size > 0, size, 1)
+    near = [x for x, _ in offer(log)[0]]
+    want = []
+    for asked in range(0, ITEMS, 20):
+        best = sorted((-round(float(unit[asked] @ unit[x]), 9), x) for x in near if x != asked)[:20]
+        want += [(asked, place, x) for place, (_, x) in enumerate(best, 1)]
+    found = QUERIES["knn_topk_asked"](spark, tables).collect()
+    assert sorted((x.asked, x.place, x.item) for x in found) == want
