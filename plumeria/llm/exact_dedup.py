@@ -25,8 +25,8 @@ SALTS = 32
 
 
 def _best(n_points: str = "n_points", doc_id: str = "doc_id") -> Column:
-    """Orders rows of a class: most code points first, then the smallest doc_id."""
-    return F.max(F.struct(F.col(n_points).alias("n"), (-F.col(doc_id)).alias("d")))
+    """Orders rows of a class: those with a doc_id first, then most code points, then the smallest doc_id."""
+    return F.max(F.struct(F.col(doc_id).isNotNull().alias("has_id"), F.col(n_points).alias("n"), (-F.col(doc_id)).alias("d")))
 
 
 def directory(entries: DataFrame, bucket_capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -84,6 +84,18 @@ def exact_dedup(
     ids. Repeated rows with the same doc_id and text each give a row. An empty table gives an empty result. Other
     columns of ``docs`` are ignored, whatever their names. ``key`` replaces the 64-bit hash (for tests of chains).
     """
+    return _decided(docs, text, doc_id, bucket_capacity, max_depth, key).drop("n_points", "keep_points")
+
+
+def _decided(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    bucket_capacity: int = BUCKET_CAPACITY,
+    max_depth: int = MAX_DEPTH,
+    key: Column | None = None,
+) -> DataFrame:
+    """The rows of ``exact_dedup`` with their code points and those of the row that stays."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"))
     rows = rows.select("doc_id", F.char_length("text").alias("n_points"), without_white_space(F.col("text")).alias("norm"))
@@ -106,6 +118,7 @@ def exact_dedup(
             "key",
             F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
             (-F.col("best.d")).alias("keep_id"),
+            F.col("best.n").alias("best_points"),
             "group_size",
         ),
         "dedup-classes",
@@ -118,10 +131,30 @@ def exact_dedup(
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
+        "n_points",
+        F.coalesce("best_points", "n_points").alias("keep_points"),
     )
 
 
 def kept_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_dedup(docs, text, doc_id).where("kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(keep, doc_id, "left_semi")
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns.
+
+    Rows are told apart by doc_id; where an id, or null, has several rows, by their code points and the hash of the
+    text too, and of rows that are equal in these one stays.
+    """
+    rows = _decided(docs, text, doc_id)
+    rows = rows.select("doc_id", "n_points", "text_sha256", (F.col("kept") & (F.col("n_points") == F.col("keep_points"))).alias("stays"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.bool_or("stays").alias("stays"))
+    ids = stored(ids.where("n_rows > 1 OR NOT stays").select(F.col("doc_id").alias("_id"), "stays"), "dedup-ids")
+    own = F.col(doc_id).cast("long")
+    one = docs.join(ids.select("_id"), own.eqNullSafe(F.col("_id")), "left_anti")
+    several = ids.where("stays").select("_id")
+    if several.isEmpty():
+        return one
+    wanted = rows.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("n_points").alias("_points"), F.col("text_sha256").alias("_sha")).distinct()
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    named = docs.join(several, own.eqNullSafe(F.col("_id")), "left_semi")
+    named = named.withColumn("_points", F.char_length(whole)).withColumn("_sha", F.sha2(without_white_space(whole).cast("binary"), 256))
+    found = named.join(wanted.withColumnRenamed("_points", "_p").withColumnRenamed("_sha", "_s"), own.eqNullSafe(F.col("_id")) & (F.col("_points") == F.col("_p")) & (F.col("_sha") == F.col("_s")), "left_semi")
+    return one.unionByName(found.dropDuplicates(["_sha"]).drop("_points", "_sha"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumeria.llm.common import stored
 from plumeria.llm.components import connected_components
-from plumeria.llm.words import column_bytes, mix, shingle_hashes, slices, word_hashes
+from plumeria.llm.words import ROWS, column_bytes, mix, shingle_hashes, slices, word_hashes
 
 #: 64-bit integers of a set's bitmap, and of a node's, which is folded.
 LANES, NODE_LANES = 32, 8
@@ -208,6 +208,16 @@ def jaccard_components(
     null doc_id takes part in links, and its component is null where no row of it has an id. Other columns are ignored,
     whatever their names. Shingles and sets are compared by 64-bit hashes.
     """
+    placed = _placed(docs, width, percent, text, doc_id)
+    # The smallest doc_id of each component; both joins are of stored tables, so adaptive execution splits hot groups.
+    least = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    named = placed.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named.unionByName(alone)
+
+
+def _placed(docs: DataFrame, width: int, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n, id, component) for every row of ``docs``: its set's size, the set, and the component of sets."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -287,20 +297,40 @@ def jaccard_components(
     more = stored(traversed(pairs.join(spokes, ["a", "b"], "left_anti")), "jaccard-links")
     final = stored(connected_components(links.unionByName(more)), "jaccard-components")
 
-    # The smallest doc_id of each component; both joins are of stored tables, so adaptive execution splits hot groups.
     placed = rows.select("doc_id", "n", "id").join(final, "id", "left")
-    placed = stored(placed.select("doc_id", "n", F.coalesce("component", "id").alias("component")), "jaccard-placed")
-    least = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
-    named = placed.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone)
+    return stored(placed.select("doc_id", "n", "id", F.coalesce("component", "id").alias("component")), "jaccard-placed")
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the first of their group of near copies, with all their columns.
 
-    Rows with a null doc_id, which belong to no group, stay.
+    Of a group one row stays, that with the smallest doc_id; one with a null doc_id only in a group without ids. Rows
+    without words stay. Rows are told apart by doc_id, and by their sets too where an id, or null, has several rows;
+    of rows that are equal in both one stays.
     """
-    found = jaccard_components(docs, width, percent)
-    others = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    placed = _placed(docs, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"), F.col("id").alias("i"))).alias("first")
+    firsts = stored(placed.where("n > 0").groupBy("component").agg(first), "jaccard-first")
+    rows = placed.join(firsts, "component", "left")
+    stays = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("id") == F.col("first.i")))
+    rows = rows.select("doc_id", "id", stays.alias("stays"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.bool_or("stays").alias("stays"))
+    ids = stored(ids.where("n_rows > 1 OR NOT stays").select(F.col("doc_id").alias("_id"), "stays"), "jaccard-ids")
+    own = F.col("doc_id").cast("long")
+    one = docs.join(ids.select("_id"), own.eqNullSafe(F.col("_id")), "left_anti")
+    several = ids.where("stays").select("_id")
+    if several.isEmpty():
+        return one
+    wanted = rows.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("id").alias("_i")).distinct()
+
+    @F.arrow_udf("long")
+    def set_id(texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], pa.int64())
+        return pa.concat_arrays([_set_ids(_sets(texts[at : at + ROWS], width)) for at in range(0, len(texts), ROWS)])
+
+    named = docs.join(several, own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_set", set_id(F.col("text").cast("string")))
+    found = named.join(wanted, own.eqNullSafe(F.col("_id")) & F.col("_set").eqNullSafe(F.col("_i")), "left_semi")
+    kept = found.where("_set IS NOT NULL").dropDuplicates(["doc_id", "_set"]).unionByName(found.where("_set IS NULL"))
+    return one.unionByName(kept.drop("_set"))

@@ -137,3 +137,32 @@ def test_exact_dedup_of_empty_and_repeated_rows(spark):
     assert sorted((x.doc_id, x.keep_id, x.group_size) for x in found) == [(1, 2, 3), (1, 2, 3), (2, 2, 3)]
     kept = kept_documents(documents(spark, [(1, "x"), (2, "x "), (3, None), (4, "")]))
     assert {x.doc_id for x in kept.collect()} == {2, 3}
+
+
+def kept_texts(df):
+    return sorted(((x.doc_id, x.text) for x in df.collect()), key=repr)
+
+
+def test_kept_documents_decides_by_row(spark):
+    """Null ids, a null row that is the longest of its group, and repeated ids with other texts, copies and lengths."""
+    rows = [(None, "alone"), (None, "two"), (None, "two"), (None, "g r o u p"), (1, "group"), (2, "gro up")]
+    rows += [(7, "copy"), (7, "copy"), (7, "other"), (7, "c o p y"), (8, "other"), (9, None), (None, " ")]
+    kept = kept_texts(kept_documents(documents(spark, rows)))
+    assert kept == sorted([(None, "alone"), (None, "two"), (2, "gro up"), (7, "c o p y"), (7, "other"), (9, None)], key=repr)
+    found = exact_dedup(documents(spark, rows)).collect()
+    assert {x.keep_id for x in found if x.doc_id in (1, 2)} == {2}
+
+
+def test_first_of_groups_decides_by_row(spark):
+    """A repeated id with a near copy and a unique text, near copies under one id, null ids, and texts without words."""
+    rng = random.Random(8)
+    fresh = lambda: [f"{rng.random()}" for _ in range(60)]
+    a, b, c, d, e = (fresh() for _ in range(5))
+    text = " ".join
+    near = lambda x: text([*x[:-1], "changed"])
+    rows = [(1, text(a)), (5, near(a)), (5, text(b)), (6, text(c)), (6, text(c)), (None, text(d)), (2, near(d)), (None, text(e)), (None, near(e)), (3, ""), (3, None), (None, "")]
+    kept = kept_texts(first_of_groups(documents(spark, rows), 5, 80))
+    assert len(kept) == 8
+    for row in [(1, text(a)), (5, text(b)), (6, text(c)), (2, near(d)), (3, ""), (3, None), (None, "")]:
+        assert kept.count(row) == 1
+    assert sum(row in kept for row in [(None, text(e)), (None, near(e))]) == 1
