@@ -148,6 +148,40 @@ def near_dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "ratio")
 
 
+@query()
+def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, a, n_a, b, n_b, ratio): all likenesses of 85 or more between the titles of a source, null being one too.
+
+    A class is a title of a source: a and b are its least doc_ids, n_a and n_b its articles; a class of several is a
+    row with itself, at 100. Titles of up to 40 characters that are alike differ in d <= 6 edits: of d + 1 segments of
+    the longer one at least one is in the other, moved by what d allows, so no pair is lost. A segment that very many
+    titles have at one place still makes pairs of all of these, which edit distance then rules out.
+    """
+    docs = documents(spark, sf_dir).select("doc_id", "source", F.substring("text", 1, 40).alias("title"))
+    classes = docs.groupBy("source", "title").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    sized = classes.select("source", "title", "id", "n", F.length("title").alias("size"))
+    edits, begin, end = "(long * 15 div 100)", "i * long div (d + 1)", "(i + 1) * long div (d + 1)"
+    key = F.xxhash64("source", "long", "i", "part")
+    one = sized.withColumn("long", F.col("size")).withColumn("d", F.expr(edits)).where("d > 0")
+    one = one.withColumn("i", F.explode(F.expr("sequence(0, int(d))"))).withColumn("part", F.expr(f"substring(title, int({begin}) + 1, int({end}) - int({begin}))"))
+    two = sized.withColumn("long", F.explode(F.expr("sequence(size, size + 6)"))).withColumn("d", F.expr(edits)).where("long <= 40 AND d > 0 AND long - size <= d")
+    two = two.withColumn("i", F.explode(F.expr("sequence(0, int(d))"))).withColumn("move", F.explode(F.expr("sequence(int(-d), int(d))")))
+    two = two.where(f"abs(move) + abs(size - long - move) <= d AND {begin} + move >= 0 AND {end} + move <= size")
+    two = two.withColumn("part", F.expr(f"substring(title, int({begin} + move) + 1, int({end}) - int({begin}))"))
+    side = lambda df, k: df.select(key.alias("key"), *[F.col(c).alias(f"{c}_{k}") for c in ("source", "title", "id", "n", "size")]).distinct()
+    met = side(one, "x").join(side(two, "y"), "key").where(F.col("source_x").eqNullSafe(F.col("source_y")))
+    met = met.where("size_x > size_y OR size_x = size_y AND title_x < title_y").where(F.levenshtein("title_x", "title_y", 6) >= 0)
+    likeness = text.ratio(F.col("title_x"), F.col("title_y"))
+    pairs = met.where(likeness >= 85).dropDuplicates(["source_x", "title_x", "title_y"])
+    first = F.col("id_x") <= F.col("id_y")
+    pairs = pairs.select(
+        F.col("source_x").alias("source"), F.least("id_x", "id_y").alias("a"), F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"),
+        F.greatest("id_x", "id_y").alias("b"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"), F.round(likeness, 4).alias("ratio"),
+    )
+    equal = classes.where("n > 1").select("source", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.lit(100.0).alias("ratio"))
+    return pairs.unionByName(equal)
+
+
 @query("""SELECT source, round(max(n) / sum(n), 6) AS top_share, sum(n)::BIGINT AS titles FROM (SELECT source, trim(regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', ' ', 'g'), ' ') AS k, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source""")
 def duplicate_title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the most frequent normalised title of a source."""

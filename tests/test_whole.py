@@ -136,3 +136,41 @@ def test_every_twentieth_item_is_asked_for_its_nearest(spark, tables, log, vecto
         want += [(asked, place, x) for place, (_, x) in enumerate(best, 1)]
     found = QUERIES["knn_topk_asked"](spark, tables).collect()
     assert sorted((x.asked, x.place, x.item) for x in found) == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_near_titles_equal_brute_force(spark, tmp_path):
+    """Edits anywhere in a title, its beginning included, equal titles, short ones, and rows without a source."""
+    rng = random.Random(3)
+    letters = "abcdefgh é"
+    base = ["".join(rng.choice(letters) for _ in range(rng.choice([5, 8, 15, 27, 34, 39, 40, 60]))) for _ in range(40)]
+    texts = base + ["", "", None]
+    for x in base * 4:
+        y = list(x)
+        for _ in range(rng.randint(0, 7)):
+            at = rng.choice([0, 1, rng.randrange(len(y) + 1)])
+            y[at : at + rng.choice([0, 1, 1])] = rng.choice(["", rng.choice(letters)])
+        texts.append("".join(y))
+    rows = [(i, rng.choice(["s", "s", None]), x) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    classes = defaultdict(list)
+    for i, source, x in rows:
+        classes[source, (x or "")[:40]].append(i)
+    want = {(s, min(ids), len(ids), min(ids), len(ids), 100.0) for (s, _), ids in classes.items() if len(ids) > 1}
+    known = list(classes.items())
+    for k, ((s, x), m) in enumerate(known):
+        for (r, y), n in known[k + 1 :]:
+            if s == r and 100 * edits(x, y) <= 15 * max(len(x), len(y)):
+                (a, n_a), (b, n_b) = sorted([(min(m), len(m)), (min(n), len(n))])
+                want.add((s, a, n_a, b, n_b, round(100 * (1 - edits(x, y) / max(len(x), len(y))), 4)))
+    found = [tuple(x) for x in QUERIES["near_titles"](spark, str(tmp_path)).collect()]
+    assert len(want) > 60
+    assert sorted(found, key=repr) == sorted(want, key=repr)
