@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions import text
@@ -123,9 +123,18 @@ def url_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, turn, round(CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM g""")
 def char_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of the beginnings of turns that follow one another, by pairs of characters."""
-    head = F.substring("text", 1, 60)
+    return turn_likeness(spark, sf_dir, F.substring("text", 1, 60))
+
+
+@query()
+def turn_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``char_ngram_jaccard`` over whole turns."""
+    return turn_likeness(spark, sf_dir, F.col("text"))
+
+
+def turn_likeness(spark: SparkSession, sf_dir: str, words: Column) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", head.alias("a"), F.lead(head).over(w).alias("b")).where("b IS NOT NULL")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("a"), F.lead(words).over(w).alias("b")).where("b IS NOT NULL")
     likeness = text.jaccard(text.character_ngrams(F.col("a"), 2), text.character_ngrams(F.col("b"), 2))
     return t.select("conv_id", "turn", F.round(likeness, 6).alias("jaccard"))
 
@@ -185,7 +194,17 @@ def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT source, round(max(n) / sum(n), 6) AS top_share, sum(n)::BIGINT AS titles FROM (SELECT source, trim(regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', ' ', 'g'), ' ') AS k, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source""")
 def duplicate_title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the most frequent normalised title of a source."""
-    key = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 30)), "[^a-z0-9]+", " "))
+    return title_shares(spark, sf_dir, F.substring("text", 1, 30))
+
+
+@query()
+def first_line_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``duplicate_title_ratio`` with the whole first line of a text as its title."""
+    return title_shares(spark, sf_dir, F.split("text", "\n")[0])
+
+
+def title_shares(spark: SparkSession, sf_dir: str, title: Column) -> DataFrame:
+    key = F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "))
     counts = documents(spark, sf_dir).groupBy("source", key.alias("k")).agg(F.count("*").alias("n"))
     return counts.groupBy("source").agg(F.round(F.max("n") / F.sum("n"), 6).alias("top_share"), F.sum("n").alias("titles"))
 
@@ -196,8 +215,18 @@ def duplicate_title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, place, k AS term, round(r.n / size, 6) AS coverage FROM r JOIN n USING (source) WHERE place <= 3""")
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long words that most documents of a source hold near their beginning."""
+    return terms(spark, sf_dir, F.split(F.lower(F.substring("text", 1, 400)), " ", -1))
+
+
+@query()
+def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``top_terms`` over whole documents, words being runs without white space."""
+    return terms(spark, sf_dir, F.split(F.lower("text"), r"\s+", -1))
+
+
+def terms(spark: SparkSession, sf_dir: str, split: Column) -> DataFrame:
     docs = documents(spark, sf_dir)
-    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 400)), " ", -1), lambda x: F.length(x) >= 6))
+    words = F.array_distinct(F.filter(split, lambda x: F.length(x) >= 6))
     counts = docs.select("source", F.explode(words).alias("term")).groupBy("source", "term").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), F.length("term").desc(), "term"))
     sizes = docs.groupBy("source").agg(F.count("*").alias("size"))

@@ -174,3 +174,34 @@ def test_near_titles_equal_brute_force(spark, tmp_path):
     found = [tuple(x) for x in QUERIES["near_titles"](spark, str(tmp_path)).collect()]
     assert len(want) > 60
     assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    """Turns that differ after 60 characters, words after 400 characters, and titles that differ after 30."""
+    import re
+
+    rng = random.Random(5)
+    turns = [(c, k, "the same beginning " * 4 + "".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 90)))) for c in range(4) for k in range(5)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pairs = lambda x: {x[i : i + 2] for i in range(len(x) - 1)}
+    want = {}
+    for (c, k, a), (d, _, b) in zip(turns, turns[1:], strict=False):
+        if c == d:
+            want[c, k] = round(len(pairs(a) & pairs(b)) / len(pairs(a) | pairs(b)), 6)
+    assert min(want.values()) < 1
+    assert {(x.conv_id, x.turn): x.jaccard for x in QUERIES["turn_jaccard"](spark, str(tmp_path)).collect()} == want
+
+    title = "a long title of one press, the "
+    docs = [(i, "s", f"{title}{i % 4 and i}th\n" + "short " * 90 + ("\nbelated" if i % 3 else " remote") + ("\tsecondly" if i < 9 else "")) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n, k = defaultdict(int), defaultdict(int)
+    for _, _, x in docs:
+        k[re.sub("[^a-z0-9]+", " ", x.split("\n")[0].lower()).strip()] += 1
+        for word in {w for w in re.split(r"\s+", x.lower()) if len(w) >= 6}:
+            n[word] += 1
+    best = sorted(n, key=lambda w: (-n[w], -len(w), w))[:3]
+    assert "belated" in best
+    found = QUERIES["document_terms"](spark, str(tmp_path)).collect()
+    assert sorted((x.place, x.term, x.coverage) for x in found) == [(i, w, round(n[w] / 20, 6)) for i, w in enumerate(best, 1)]
+    found = QUERIES["first_line_ratio"](spark, str(tmp_path)).collect()
+    assert [(x.source, x.top_share, x.titles) for x in found] == [("s", max(k.values()) / 20, 20)]
