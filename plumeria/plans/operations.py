@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.scores import bucket, md5_number
+from plumeria.operators import asof
 from plumeria.plans.features import AS_OF
 from plumeria.plans.registry import LOG, query
 from plumeria.sources.tables import event_log, table
@@ -53,9 +54,10 @@ def sliding48(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LOG}, {_RUNS}, g AS (SELECT job, s - lag(s) OVER (PARTITION BY job ORDER BY s, run_id) AS gap FROM runs WHERE status = 'succeeded')
     SELECT job, count(*) AS good, count(gap) AS gaps, count(*) FILTER (gap >= 3600) AS over_1h, max(gap) AS longest_s FROM g GROUP BY job""")
 def gaps_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between good runs; the run before is looked up in two steps, so a job's runs are dealt over hours."""
     good = runs(spark, sf_dir).where("status = 'succeeded'")
-    gap = F.col("s") - F.lag("s").over(Window.partitionBy("job").orderBy("s", "run_id"))
-    g = good.select("job", gap.alias("gap"))
+    before = asof.last_before(good, ["job"], "s", [F.col("s"), F.col("run_id")], HOUR, F.col("s"))
+    g = before.select("job", (F.col("s") - F.col("last")).alias("gap"))
     return g.groupBy("job").agg(F.count("*").alias("good"), F.count("gap").alias("gaps"), F.count_if(F.col("gap") >= HOUR).alias("over_1h"), F.max("gap").alias("longest_s"))
 
 
@@ -174,11 +176,16 @@ def schedule_adherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     t AS (SELECT job, min((s, run_id)) AS tripped FROM c WHERE failures >= 3 GROUP BY job)
     SELECT r.job, count(*) AS runs, count(*) FILTER ((r.s, r.run_id) > tripped) AS deferred FROM runs r LEFT JOIN t USING (job) GROUP BY r.job""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """After three failures in a row a job's later runs are put off; successes begin a new count."""
-    order = Window.partitionBy("job").orderBy("s", "run_id")
-    one = runs(spark, sf_dir).withColumn("island", F.sum((F.col("status") == "succeeded").cast("int")).over(order))
-    failures = F.count_if(F.col("status") == "failed").over(Window.partitionBy("job", "island").orderBy("s", "run_id"))
-    tripped = one.withColumn("f", failures).where("f >= 3").groupBy("job").agg(F.min(F.struct("s", "run_id")).alias("t"))
+    """After three failures in a row a job's later runs are put off; successes begin a new count.
+
+    Failures so far, and those at the last success, are looked up in two steps: a job's runs are dealt over hours.
+    """
+    one, order = runs(spark, sf_dir), [F.col("s"), F.col("run_id")]
+    bad = F.col("status") == "failed"
+    counted = asof.prefix_sums(one, ["job"], "s", order, HOUR, failed=bad.cast("int"))
+    counted = asof.last_before(counted, ["job"], "s", order, HOUR, F.when(~bad, F.col("failed")))
+    third = bad & (F.col("failed") + 1 - F.coalesce("last", F.lit(0)) >= 3)
+    tripped = counted.where(third).groupBy("job").agg(F.min(F.struct("s", "run_id")).alias("t"))
     late = F.coalesce(F.struct("s", "run_id") > F.col("t"), F.lit(False))
     return one.join(tripped, "job", "left").groupBy("job").agg(F.count("*").alias("runs"), F.count_if(late).alias("deferred"))
 

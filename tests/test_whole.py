@@ -205,3 +205,26 @@ def test_whole_texts_are_read(spark, tmp_path):
     assert sorted((x.place, x.term, x.coverage) for x in found) == [(i, w, round(n[w] / 20, 6)) for i, w in enumerate(best, 1)]
     found = QUERIES["first_line_ratio"](spark, str(tmp_path)).collect()
     assert [(x.source, x.top_share, x.titles) for x in found] == [("s", max(k.values()) / 20, 20)]
+
+
+def test_no_window_holds_all_runs_of_a_job(spark, tmp_path):
+    """Gaps, and a breaker whose failures lie in several hours, from plans whose windows over rows go by hour."""
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(8), rng.choice(["error", "click", "click"]), 1.0, "{}", 1_704_067_200 + rng.randint(0, 90_000)) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, s long")
+    events.selectExpr("event_id", "user_id", "event_type", "value", "props", "cast(timestamp_seconds(s) as timestamp_ntz) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    gaps, broken = [], []
+    for job in range(4):
+        mine = sorted((s, i, kind == "error") for i, user, kind, _, _, s in rows if user % 4 == job)
+        good = [s for s, _, bad in mine if not bad]
+        between = [b - a for a, b in zip(good, good[1:], strict=False)]
+        gaps.append((f"job{job}", len(good), len(between), sum(x >= 3600 for x in between), max(between)))
+        third = [k for k in range(2, len(mine)) if all(x[2] for x in mine[k - 2 : k + 1])]
+        broken.append((f"job{job}", len(mine), len(mine) - 1 - third[0] if third else 0))
+    assert any(x[2] for x in broken)
+    for name, want in (("gaps_lag", gaps), ("circuit_breaker", broken)):
+        found = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all("_bucket" in line for line in windows)
