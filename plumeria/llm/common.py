@@ -39,6 +39,25 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """The intermediate tables of one run of an operator, in a folder of their own that ``drop`` removes."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count = spark, shared_folder(spark, name), 0
+
+    def store(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """Write ``df`` as Parquet and return the table read from it."""
+        self.count += 1
+        path = f"{self.path}/{self.count}-{name}"
+        df.write.option("compression", codec).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the folder; only for a time when no table of it will be read again."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

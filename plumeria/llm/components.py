@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import stored
+from plumeria.llm.common import Tables, stored
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -20,11 +20,12 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps (each replaces links by links to the least neighbour, keeping
     connectivity) until the links no longer change; each becomes a star with the least id in its centre. Every round
-    is written to the shared folder; the driver sees one count and one checksum of a round. A hub with very many
+    is written to the shared folder, where only the result stays; the driver sees one count and one checksum of a round. A hub with very many
     neighbours is aggregated in parts before its shuffle and joined by a join that adaptive execution splits.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = stored(edges, "components")
+    tables = Tables(links.sparkSession, "components")
+    edges = tables.store(edges, "links")
     before = _signature(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,12 +36,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "components")
+        edges = tables.store(small, "links")
         after = _signature(edges)
         if after == before:
             break
         before = after
     roots = edges.select(F.col("b").alias("id")).distinct()
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-        roots.select("id", F.col("id").alias("component"))
-    )
+    every = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    every = stored(every.unionByName(roots.select("id", F.col("id").alias("component"))), "components")
+    tables.drop()
+    return every

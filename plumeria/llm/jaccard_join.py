@@ -1,105 +1,60 @@
 """N-gram Jaccard join with signature trees: exact links between word-shingle sets, hot groups included.
 
-Each distinct shingle set is a leaf with a token bitmap, its size and its excess (tokens beyond the set bits). The
-trees of the forest come from the pigeonhole principle. Sizes fall into levels; at a level with sizes up to ``u`` two
-linked sets differ in at most ``d = (2u)(1-t)/(1+t)`` tokens, so of ``d + 1 + s`` segments of the token space at
-least ``1 + s`` hold the same tokens in both. A root is one segment's content; below it are the sets that have just
-this content there. A set leaves out ``s`` of its contents, the lowest of one order over all contents: half of them
-before the shuffle (fewest tokens first), half after it (those that most sets have). The highest content that two linked
-sets share has enough others below it, so both keep it. No linked pair is lost, and sets that share single tokens or
-passages rarely meet.
-
-Below a root come the components that are known so far, then nodes of ``LEAVES`` sets; every node holds the OR of its
-bitmaps (and their AND), its size range and its greatest excess; sets of one node have nearly one size. The dual traversal goes down level by level as joins
-of sibling nodes, and drops a pair of nodes when their greatest possible overlap is below the overlap that their sizes
-need, and when both belong to one component, as its links change nothing there.
-Before it, every set is held against the first set of its roots, which joins most groups of copies in linear work.
-What remains is checked on the whole shingle sets.
+Distinct shingle sets are the leaves of a forest. One order over all tokens, rarest first by a count sketch over the
+whole corpus, gives each set its prefix: ``n - ceil(t * n) + 1`` tokens, so two sets with a Jaccard similarity of
+``t`` or more share a token of both prefixes. A root is such a token; passages that very many texts hold come last
+and are hardly ever roots.
+
+Below a root the sets are split by signatures relative to pivots. Every set is held against the smallest set of its
+roots and against the one with the commonest tokens, which joins most groups of near copies in linear work. Roots
+with the same smallest set ``p`` become one node. If it holds several components and more than ``LEAVES`` sets, its
+children are the rare tokens that its sets have beyond ``p``: of two linked sets that aren't both linked with ``p``,
+no smaller than ``p``, the overlap within ``p`` alone can't reach what their sizes need, so they share such a token.
+What all sets of a node have in common is thereby left out, and the split goes on for ``ROUNDS`` levels.
+
+The sets of every node that is still open make a signature tree of fixed fan-out: an inner node holds the OR of its
+sets' token bitmaps, their size range and greatest excess (tokens beyond the set bits), and the range of their
+components. The dual traversal goes down level by level with a table of node pairs as its frontier. It drops a pair
+whose greatest possible overlap is below the overlap that their sizes need, and one whose sets are of one component.
+What is left at the bottom is checked on whole sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from fractions import Fraction
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import stored
+from plumeria.llm.common import Tables, stored
 from plumeria.llm.components import connected_components
 from plumeria.llm.words import ROWS, column_bytes, mix, shingle_hashes, slices, word_hashes
 
-#: 64-bit integers of a set's bitmap, and of a node's, which is folded.
+#: 64-bit integers of a set's bitmap, and of an inner node's, which is folded.
 LANES, NODE_LANES = 32, 8
-#: Sets of a lowest node.
-LEAVES = 32
-#: The largest size that a level holds, over that of the level before.
-STEP = 1.4
-#: Contents that a set leaves out, as a share of the tokens in which linked sets may differ.
-SPARE = 0.3
-#: The lowest bits of a root hold its level.
-LEVELS = 128
+#: Sets of a node that isn't split further; children of an inner node; the greatest depth of a signature tree.
+LEAVES, FANOUT_BITS, DEPTH = 16, 4, 7
+#: Levels of splits by tokens beyond the pivot.
+ROUNDS = 3
+#: The count sketch over all tokens has 2**SKETCH_BITS counters, summed in PARTS parts: 1 MB at the driver.
+SKETCH_BITS, PARTS = 20, 64
 #: Documents up to which their ids are broadcast, 8 bytes each, to fetch their texts; more are joined by a shuffle.
 FETCHED = 2_000_000
 
 
-class Levels:
-    """Size levels for one threshold: bounds, segments of the token space and spare segments."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.keep = Fraction(percent, 100)
-        self.loss = (1 - self.keep) / (1 + self.keep)
-        self.upper = [1]
-        self._segments: list[tuple[int, int]] = []
-
-    def _grow(self, size: int) -> None:
-        while self.upper[-1] < size:
-            self.upper.append(max(self.upper[-1] + 1, int(self.upper[-1] * STEP)))
-        for upper in self.upper[len(self._segments) :]:
-            differ = int(2 * upper * self.loss)
-            spare = int(SPARE * differ)
-            self._segments.append((differ + 1 + spare if differ else 0, spare))
-
-    def of(self, size: int) -> list[int]:
-        """The levels of a set: its own, and those in which a larger set may be its partner."""
-        largest = int(size / self.keep)
-        self._grow(max(largest, 1))
-        low = next(i for i, upper in enumerate(self.upper) if upper >= size)
-        return [i for i in range(low, len(self.upper)) if i == low or self.upper[i - 1] < largest]
-
-    def segments(self, level: int) -> tuple[int, int]:
-        """The segments of the token space, and how many of their contents a set leaves out."""
-        return self._segments[level]
-
-    def frequent(self) -> list[int]:
-        """For each level, how many contents are left out because many sets have them."""
-        self._grow(int(STEP ** (LEVELS - 8)))
-        return [spare // 2 for _, spare in self._segments[:LEVELS]]
-
-
-def _roots(tokens: np.ndarray, levels: Levels) -> np.ndarray:
-    """The roots of a sorted set of tokens: hashes of its segments' contents at its levels."""
-    found = []
-    spread = mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)))
-    for level in levels.of(len(tokens)):
-        parts, spare = levels.segments(level)
-        if not parts:
-            continue
-        part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the tokens are
-        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        content = sums[cuts[1:]] - sums[cuts[:-1]]
-        sized = np.diff(cuts).astype(np.uint64)
-        place = np.arange(parts, dtype=np.uint64) + np.uint64(level << 40)
-        root = mix(content + mix(place * np.uint64(0x9E3779B97F4A7C15) + sized))
-        root = root & ~np.uint64(LEVELS - 1) | np.uint64(level)
-        found.append(root[np.lexsort((root, sized))[spare - spare // 2 :]])
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    word, ends = word_hashes(*column_bytes(texts))
+    return [np.unique(shingle_hashes(word[a:b], width)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _set_ids(sets: list[np.ndarray]) -> pa.Array:
+    """A hash of each set; null for the empty one."""
+    ids = np.array([np.sum(mix(x), dtype=np.uint64) ^ np.bitwise_xor.reduce(mix(~x), initial=0) for x in sets], np.uint64)
+    return pa.array(ids.view(np.int64), mask=np.array([not len(x) for x in sets], bool))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -108,91 +63,273 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    word, ends = word_hashes(*column_bytes(texts))
-    return [np.unique(shingle_hashes(word[a:b], width)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def _spots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _set_ids(sets: list[np.ndarray]) -> pa.Array:
-    """A hash of each set; null for the empty one."""
-    ids = np.array([np.sum(mix(x), dtype=np.uint64) ^ np.bitwise_xor.reduce(mix(~x), initial=0) for x in sets], np.uint64)
-    return pa.array(ids.view(np.int64), mask=np.array([not len(x) for x in sets], bool))
+def _part_rows(total: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, places within it, counts) of the counters that aren't zero."""
+    size = len(total) // PARTS
+    for part in range(PARTS):
+        counts = total[part * size : (part + 1) * size]
+        places = np.flatnonzero(counts)
+        if len(places):
+            yield part, places, counts[places]
 
 
-def _rooted(width: int, percent: int):
+COUNTED = "doc_id long, n long, id long, part int, places binary, counts binary"
+
+
+def _counted(width: int):
+    """Every row's set size and set id; at the end of a task the counters of its tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(percent)
+        names = [x.split()[0] for x in COUNTED.split(", ")]
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in slices(batches):
             sets = _sets(batch.column(1), width)
-            size = pa.array([len(x) for x in sets], pa.int64())
-            columns = [batch.column(0), size, _set_ids(sets), _lists([_roots(x, levels) for x in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "id", "roots"])
+            total += np.bincount(_spots(np.concatenate([np.empty(0, np.uint64), *sets])), minlength=len(total))
+            none = [pa.nulls(len(sets), x) for x in (pa.int32(), pa.binary(), pa.binary())]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), _set_ids(sets), *none]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        rows = list(_part_rows(total))
+        columns = [pa.nulls(len(rows), pa.int64())] * 3 + [pa.array([x[0] for x in rows], pa.int32())]
+        columns += [pa.array([x[k].astype("<u4").tobytes() for x in rows], pa.binary()) for k in (1, 2)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of many tasks as those of one; counts beyond 32 bits stay at the greatest."""
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    size = len(total) // PARTS
+    for batch in slices(batches, 8):
+        for part, places, counts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            total[np.frombuffer(places, "<u4").astype(np.int64) + part * size] += np.frombuffer(counts, "<u4")
+    rows = list(_part_rows(np.minimum(total, 0xFFFFFFFF)))
+    columns = [pa.array([x[0] for x in rows], pa.int32())]
+    columns += [pa.array([x[k].astype("<u4").tobytes() for x in rows], pa.binary()) for k in (1, 2)]
+    yield pa.RecordBatch.from_arrays(columns, names=["part", "places", "counts"])
+
+
+def _rarity(counted: DataFrame) -> np.ndarray:
+    """For each counter a byte that grows with its count over the whole corpus, 1 MB in all."""
+    schema = "part int, places binary, counts binary"
+    parts = counted.where("part IS NOT NULL").select("part", "places", "counts").mapInArrow(_summed, schema)
+    parts = parts.repartition(PARTS, "part").mapInArrow(_summed, schema)
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    size = len(total) // PARTS
+    for row in parts.collect():  # PARTS rows, 8 bytes a counter at most
+        total[np.frombuffer(row["places"], "<u4").astype(np.int64) + row["part"] * size] += np.frombuffer(row["counts"], "<u4")
+    return np.minimum(255, np.log2(1 + total) * 7.9).astype(np.uint8)
+
+
+def _order(tokens: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The tokens as keys of one order over all of them: by rarity, then by hash."""
+    return rarity[_spots(tokens)].astype(np.uint64) << np.uint64(56) | tokens >> np.uint64(8)
+
+
+def _first(keys: np.ndarray, count: int) -> np.ndarray:
+    return keys if count >= len(keys) else np.partition(keys, count - 1)[:count] if count > 0 else keys[:0]
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """How many tokens of a set of ``n``, in any one order, two linked sets can't all lack."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _rooted(width: int, percent: int, shared):
+    """(id, n, centre, roots) of every set that isn't empty; centre grows with the commonness of its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in slices(batches):
+            sets = [x for x in _sets(batch.column(0), width) if len(x)]
+            roots = [_first(_order(x, rarity), prefix_length(len(x), percent)) for x in sets]
+            centre = [int(rarity[_spots(x)].mean() * 256) for x in sets]
+            columns = [_set_ids(sets), pa.array([len(x) for x in sets], pa.int64()), pa.array(centre, pa.int64()), _lists(roots)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "centre", "roots"])
 
     return run
 
 
-def _leaves(width: int):
+def _leaves(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
         for batch in slices(batches):
-            sets = _sets(batch.column(0), width)
+            sets = [x for x in _sets(batch.column(0), width) if len(x)]
             maps = np.zeros((len(sets), LANES * 64), np.uint8)
             for row, tokens in zip(maps, sets, strict=True):
                 row[(tokens % np.uint64(LANES * 64)).astype(np.int64)] = 1
             bits = np.packbits(maps, axis=1).view(np.uint64)
             size = np.array([len(x) for x in sets], np.int64)
             excess = size - maps.sum(axis=1, dtype=np.int64)
-            columns = [_set_ids(sets), pa.array(size), pa.array(excess), _lists(list(bits)), _lists(sets)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "excess", "bits", "tokens"])
+            centre = [int(rarity[_spots(x)].mean() * 256) for x in sets]
+            code = [_code(_first(_order(x, rarity), max(1, len(x) // 4))) for x in sets]
+            columns = [_set_ids(sets), pa.array(size), pa.array(centre, pa.int64()), pa.array(code, pa.int64())]
+            columns += [pa.array(excess), _lists(list(bits)), _lists(sets)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LEAF.split(", ")])
 
     return run
 
 
-def _may_link(percent: int, a: str, b: str) -> Column:
-    """Whether the greatest possible overlap of two nodes reaches the overlap that their sizes need.
+LEAF = "id long, n long, centre long, code long, excess long, bits array<long>, tokens array<long>"
 
-    Sets overlap by no more than the bits that the ORs share and the lesser excess, and by no more than the larger
-    set's size without the bits that all sets of its node have and none of the other's.
-    """
 
-    def bits(x: Column, y: Column) -> Column:
-        lanes = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(q)))
-        return F.aggregate(lanes, F.lit(0), lambda total, lane: total + lane)
+def _code(rare: np.ndarray) -> int:
+    """A set's way down a signature tree: least hashes of its rarer tokens, one digit for each level."""
+    code = 0
+    for level in range(DEPTH):
+        least = int(mix(rare + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)).min())
+        code = code << FANOUT_BITS | int(mix(np.array([least], np.uint64))[0]) & (1 << FANOUT_BITS) - 1
+    return code
+
 
-    maps = {(x, kind): F.col(f"{x}.{kind}") for x in (a, b) for kind in ("any", "all")}
-    common = bits(maps[a, "any"], maps[b, "any"]) + F.least(f"{a}.excess", f"{b}.excess")
-    low, high = (lambda x: F.col(f"{x}.low")), (lambda x: F.col(f"{x}.high"))
+def least_shared(n: int, p: int, common: int, percent: int) -> int:
+    """The least number of tokens beyond a pivot that a set shares with any set it may be linked with.
 
-    def outside(x: str, y: str) -> Column:
-        only = bits(maps[x, "all"], F.transform(maps[y, "any"], F.bitwise_not))
-        return low(y) * percent + only * (100 + percent) <= high(x) * 100
+    The set has ``n`` tokens, the pivot ``p`` and no more than the other set, and ``common`` are in both. Not for two
+    sets that are both linked with the pivot: they are of one component anyway.
+    """
+    other = max(p, -(-percent * n // 100))
+    least = max(1, -(-percent * (n + other) // (100 + percent)) - common)
+    if 100 * common >= percent * (n + p - common):  # the other set isn't linked with the pivot
+        least = max(least, percent * (n - p) // (100 + percent) + 1)
+    return least
 
-    needed = (low(a) + low(b)) * percent <= common * (100 + percent)
-    sizes = (high(a) * 100 >= low(b) * percent) & (high(b) * 100 >= low(a) * percent)
-    return sizes & outside(a, b) & outside(b, a) & needed
 
+def _beyond(percent: int, shared):
+    """(g, id, n, centre, component) for the rare tokens that a set of node ``g`` has beyond the node's pivot."""
 
-def _any_of(maps: list[Column]) -> Column:
-    return reduce(lambda x, y: x.bitwiseOR(y), maps)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in slices(batches, 256):
+            pivot = batch.column(0).to_numpy().view(np.uint64)
+            found = []
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                mine, its = (np.asarray(x.values).view(np.uint64) for x in (a, b))
+                own = np.setdiff1d(mine, its, assume_unique=True)
+                need = least_shared(len(mine), len(its), len(mine) - len(own), percent)
+                found.append(mix(_first(_order(own, rarity), len(own) - need + 1) ^ mix(pivot[i : i + 1])))
+            columns = [_lists(found), *(batch.column(i) for i in (1, 2, 3, 6))]
+            yield pa.RecordBatch.from_arrays(columns, names=["roots", "id", "n", "centre", "component"])
 
+    return run
 
-def _node(keys: list[str], rows: DataFrame) -> DataFrame:
-    """Nodes over ``rows``: the OR and the AND of folded bitmaps, the size range and the greatest excess."""
-    lanes = [f(F.col(f"node.{k}")[i]).alias(f"{k}{i}") for k, f in (("any", F.bit_or), ("all", F.bit_and)) for i in range(NODE_LANES)]
-    made = rows.groupBy(*keys).agg(
-        F.min("node.low").alias("low"), F.max("node.high").alias("high"), F.max("node.excess").alias("excess"), *lanes
-    )
-    maps = [F.array(*[f"{k}{i}" for i in range(NODE_LANES)]).alias(k) for k in ("any", "all")]
-    return made.select(*keys, F.struct("low", "high", "excess", *maps).alias("node"))
+
+def _may_link(percent: int, x: Column, y: Column, lanes: int) -> Column:
+    """Whether the greatest possible overlap of two nodes reaches the overlap that their sizes need.
+
+    Sets overlap by no more than the bits that the ORs share and the lesser excess.
+    """
+    common = reduce(lambda a, b: a + b, [F.bit_count(x["any"][i].bitwiseAND(y["any"][i])) for i in range(lanes)])
+    needed = (x["low"] + y["low"]) * percent <= (common + F.least(x["excess"], y["excess"])) * (100 + percent)
+    return (x["high"] * 100 >= y["low"] * percent) & (y["high"] * 100 >= x["low"] * percent) & needed
 
 
 def _verified(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    tokens = leaves.select("id", "n", "tokens")
-    one = tokens.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    two = tokens.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
+    """The pairs (a, b) whose bitmaps and then whose whole sets reach the threshold."""
+    shape = F.struct(F.col("n").alias("low"), F.col("n").alias("high"), "excess", F.col("bits").alias("any"))
+    one = leaves.select(F.col("id").alias("a"), shape.alias("x"))
+    two = leaves.select(F.col("id").alias("b"), shape.alias("y"))
+    passed = pairs.join(two, "b").join(one, "a").where(_may_link(percent, F.col("x"), F.col("y"), LANES)).select("a", "b")
+    one = leaves.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+    two = leaves.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     linked = both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent
-    return pairs.join(two, "b").join(one, "a").where(linked).select("a", "b")
+    return passed.join(two, "b").join(one, "a").where(linked).select("a", "b")
+
+
+def _met(rooted: DataFrame) -> DataFrame:
+    """``rooted`` (g, id, n, centre, component) where ``g`` holds several components, with the pivots of g.
+
+    p, p_n: the smallest set; c, c_n: the one with the commonest tokens; held: the sets of g.
+    """
+    low = F.col("id").bitwiseAND(F.lit(0xFFFFFFFF))
+    small = F.shiftleft("n", 32).bitwiseOR(low)
+    central = F.shiftleft("centre", 32).bitwiseOR(low)
+    held = rooted.groupBy("g").agg(
+        F.min_by("id", small).alias("p"), F.min("n").alias("p_n"), F.max_by("id", central).alias("c"),
+        F.max_by("n", central).alias("c_n"), F.count("*").alias("held"),
+        F.min("component").alias("u"), F.max("component").alias("v"),
+    )
+    return rooted.join(held.where("u < v").drop("u", "v"), "g")
+
+
+def _spokes(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every set and the pivots of its nodes, where their sizes allow a link."""
+    fits = lambda k: (F.col(k) * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col(k) * percent)
+    to_small = members.where(F.col("id") != F.col("p")).where(fits("p_n")).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    to_centre = members.where("held > 2 AND id <> c AND c <> p").where(fits("c_n")).select(F.col("c").alias("a"), F.col("id").alias("b"))
+    pairs = to_small.unionByName(to_centre)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _side(df: DataFrame, suffix: str, keep: tuple[str, ...] = ("g",)) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{suffix}") for c in df.columns])
+
+
+def _node(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner nodes over ``rows``: the OR of folded bitmaps, size range, greatest excess, range of components."""
+    lanes = [F.bit_or(F.col("node.any")[i]).alias(f"any{i}") for i in range(NODE_LANES)]
+    made = rows.groupBy(*keys).agg(
+        F.min("node.low").alias("low"), F.max("node.high").alias("high"), F.max("node.excess").alias("excess"),
+        F.min("u").alias("u"), F.max("v").alias("v"), *lanes,
+    )
+    folded = F.array(*[f"any{i}" for i in range(NODE_LANES)]).alias("any")
+    return made.select(*keys, "u", "v", F.struct("low", "high", "excess", folded).alias("node"))
+
+
+def _traversed(groups: DataFrame, leaves: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """(a, b): the pairs of sets that the dual traversal of every node's signature tree is left with.
+
+    ``groups``: (g, id, component). A tree is as deep as its number of sets needs.
+    """
+    counts = groups.groupBy("g").agg(F.count("*").alias("held"), F.min("component").alias("u"), F.max("component").alias("v"))
+    depth = F.ceil(F.log(F.col("held") / LEAVES) / math.log(1 << FANOUT_BITS)).cast("int")
+    counts = counts.where("u < v AND held > 2").select("g", F.least(F.greatest(depth, F.lit(0)), F.lit(DEPTH)).alias("depth"))
+    cell = F.expr(f"shiftright(code, {FANOUT_BITS} * ({DEPTH} - depth))").alias("cell")
+    sets = groups.join(counts, "g").join(leaves.select("id", "n", "code"), "id").select("g", "id", "component", "n", "depth", "code", cell)
+    sets = tables.store(sets, "trees")
+    deepest = sets.agg(F.max("depth").alias("d")).first()["d"] or 0
+
+    def bottom(x: DataFrame) -> DataFrame:
+        ordered = (F.col("component_x") != F.col("component_y")) & (F.col("id_x") < F.col("id_y"))
+        fits = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+        return x.where(ordered & fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+
+    slim = sets.select("g", "depth", "cell", "id", "component", "n")
+    flat = slim.where("depth = 0").drop("depth", "cell")
+    found = [bottom(_side(flat, "x").join(_side(flat, "y"), "g"))]
+    if deepest:
+        bits = F.array(*[reduce(lambda a, b: a.bitwiseOR(b), [F.col("bits")[i + k] for k in range(0, LANES, NODE_LANES)]) for i in range(NODE_LANES)])
+        excess = F.col("n") - F.aggregate("any", F.lit(0), lambda total, lane: total + F.bit_count(lane))
+        small = leaves.select("id", "n", bits.alias("any"))
+        small = small.select("id", F.struct(F.col("n").alias("low"), F.col("n").alias("high"), excess.alias("excess"), "any").alias("node"))
+        inner = sets.where("depth > 0").select("g", "id", "depth", "cell", F.col("component").alias("u"), F.col("component").alias("v"))
+        nodes = {0: tables.store(_node(inner.join(small, "id"), ["g", "depth", "cell"]), "nodes")}
+        up = nodes[0].withColumn("height", F.lit(0))
+        levels = [up]
+        for height in range(1, deepest + 1):  # cells of the level above
+            above = up.where(F.col("depth") > height - 1).withColumn("cell", F.shiftright("cell", FANOUT_BITS))
+            up = _node(above, ["g", "depth", "cell"]).withColumn("height", F.lit(height))
+            levels.append(up)
+        every = tables.store(reduce(DataFrame.unionByName, levels), "nodes")
+        frontier = every.where("height = depth").select("g", "depth", F.col("cell").alias("x"), F.col("cell").alias("y"))
+        for level in range(1, deepest + 1):  # from the roots' children down
+            now = every.where(F.col("height") == F.col("depth") - level).select("g", "cell", "u", "v", "node", F.shiftright("cell", FANOUT_BITS).alias("up"))
+            one, two = _side(now, "x"), _side(now, "y")
+            pairs = frontier.withColumnRenamed("x", "up_x").withColumnRenamed("y", "up_y").join(one, ["g", "up_x"]).join(two, ["g", "up_y"])
+            several = (F.least("u_x", "u_y") < F.greatest("v_x", "v_y")) & (F.col("cell_x") <= F.col("cell_y"))
+            pairs = pairs.where(several & _may_link(percent, F.col("node_x"), F.col("node_y"), NODE_LANES))
+            frontier = tables.store(pairs.select("g", "depth", F.col("cell_x").alias("x"), F.col("cell_y").alias("y")), "frontier")
+            own = _side(slim.where(F.col("depth") == level).drop("depth"), "x"), _side(slim.where(F.col("depth") == level).drop("depth"), "y")
+            at = frontier.where(F.col("depth") == level).select("g", F.col("x").alias("cell_x"), F.col("y").alias("cell_y"))
+            # Both orders of a pair of nodes, as the lesser id may be in either.
+            at = at.unionByName(at.where("cell_x <> cell_y").select("g", F.col("cell_y").alias("cell_x"), F.col("cell_x").alias("cell_y")))
+            found.append(bottom(at.join(own[0], ["g", "cell_x"]).join(own[1], ["g", "cell_y"])))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def jaccard_components(
@@ -220,85 +357,63 @@ def _placed(docs: DataFrame, width: int, percent: int, text: str = "text", doc_i
     """(doc_id, n, id, component) for every row of ``docs``: its set's size, the set, and the component of sets."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
+    spark = docs.sparkSession
+    tables = Tables(spark, "jaccard")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stored(
-        source.mapInArrow(_rooted(width, percent), "doc_id long, n long, id long, roots array<long>"), "jaccard-sets"
-    )
-
-    # Roots that more than one distinct set has, and their sets, in one shuffle. A root's rows are two integers each,
-    # and a set has a root for every few words, so a group of a third of all sets is a small share of a root's rows.
-    rooted = rows.select(F.explode("roots").alias("root"), "id").repartition("root")
-    shared = rooted.groupBy("root").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("held"))
-    shared = shared.where("u < v").select("root", "held")
-    met = rooted.join(shared.hint("merge"), "root").dropDuplicates(["root", "id"])
-    level = F.col("root").bitwiseAND(F.lit(LEVELS - 1))
-    spare = F.element_at(F.array(*map(F.lit, Levels(percent).frequent())), (level + 1).cast("int"))
-    most_held = F.row_number().over(Window.partitionBy("id", level).orderBy(F.desc("held"), "root"))
-    kept = stored(met.withColumn("place", most_held).where(F.col("place") > spare).select("root", "id"), "jaccard-kept")
-    firsts = kept.groupBy("root").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = stored(kept.join(firsts.select("root", "first"), "root"), "jaccard-members")
+    counted = tables.store(source.mapInArrow(_counted(width), COUNTED), "rows")
+    rows = counted.where("part IS NULL").select("doc_id", "n", "id")
+    shared = spark.sparkContext.broadcast(_rarity(counted))
+    sets = source.select("text").mapInArrow(_rooted(width, percent, shared), "id long, n long, centre long, roots array<long>")
+    sets = tables.store(sets.dropDuplicates(["id"]), "sets")
+    rooted = sets.select(F.explode("roots").alias("g"), "id", "n", "centre", F.col("id").alias("component"))
+    members = tables.store(_met(rooted), "members")
 
     # One document of each of these sets, and its leaf.
     wanted = members.select("id").distinct()
-    fetched = rows.select("id", "doc_id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    fetched = stored(fetched.select("doc_id").distinct(), "jaccard-fetched")
+    fetched = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    fetched = tables.store(fetched.select("doc_id").distinct(), "fetched")
     if fetched.count() <= FETCHED:
         fetched = F.broadcast(fetched)
     texts = source.join(fetched, source["doc_id"].eqNullSafe(fetched["doc_id"]), "left_semi").select("text")
-    leaves = texts.mapInArrow(_leaves(width), "id long, n long, excess long, bits array<long>, tokens array<long>")
-    leaves = stored(leaves.where("id IS NOT NULL").dropDuplicates(["id"]), "jaccard-leaves")
-    maps = (F.col("bits").alias(k) for k in ("any", "all"))
-    node = F.struct(F.col("n").alias("low"), F.col("n").alias("high"), "excess", *maps).alias("node")
-    shapes = leaves.select("id", node)
-
-    def traversed(pairs: DataFrame) -> DataFrame:
-        """The pairs of sets that their bitmaps let pass, verified."""
-        one = shapes.select(F.col("id").alias("a"), F.col("node").alias("x"))
-        two = shapes.select(F.col("id").alias("b"), F.col("node").alias("y"))
-        passed = pairs.join(two, "b").join(one, "a").where(_may_link(percent, "x", "y")).select("a", "b")
-        return _verified(passed, leaves, percent)
-
-    # Every set against the first set of its roots.
-    spokes = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(traversed(spokes), "jaccard-links")
-    known = connected_components(links)
-
-    # Roots whose sets aren't in one component yet: dual traversal over components, nodes and sets.
-    own = members.join(known, "id", "left").select("root", "id", F.coalesce("component", "id").alias("component"))
-    own = stored(own, "jaccard-known")
-    mixed = own.groupBy("root").agg(F.min("component").alias("u"), F.max("component").alias("v"), F.count("*").alias("size"))
-    mixed = mixed.where("u < v AND size > 2").select("root")  # two sets have met already
-    open_ = own.join(mixed, "root", "left_semi")
-    folded = F.transform(F.sequence(F.lit(0), F.lit(NODE_LANES - 1)), lambda i: _any_of([F.col("bits")[i + k] for k in range(0, LANES, NODE_LANES)]))
-    small = leaves.select("id", "n", folded.alias("bits"))
-    small = small.withColumn("excess", F.col("n") - F.aggregate("bits", F.lit(0), lambda total, lane: total + F.bit_count(lane)))
-    maps = (F.col("bits").alias(k) for k in ("any", "all"))
-    small = small.select("id", "n", F.struct(F.col("n").alias("low"), F.col("n").alias("high"), "excess", *maps).alias("node"))
-    of_size = F.floor(F.log("n") / math.log(100 / min(percent, 99)) * 2).alias("of_size")
-    sized = stored(open_.join(leaves.select("id", "n", of_size), "id"), "jaccard-open")
-    counts = sized.groupBy("root", "component", "of_size").agg(F.count("*").alias("in_part"))
-    cell = F.col("of_size") * (1 << 32) + F.pmod(F.xxhash64("id"), F.ceil(F.col("in_part") / LEAVES))
-    sets = sized.join(counts, ["root", "component", "of_size"]).select("root", "component", cell.alias("cell"), "id", "n")
-    sets = stored(sets, "jaccard-cells")
-    nodes = stored(_node(["root", "component", "cell"], sets.drop("n").join(small, "id")), "jaccard-nodes")
-    parts = _node(["root", "component"], nodes)
-
-    def side(df: DataFrame, suffix: str, keep: tuple[str, ...] = ("root",)) -> DataFrame:
-        return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{suffix}") for c in df.columns])
-
-    upper = side(parts, "x").join(side(parts, "y"), "root").where("component_x < component_y")
-    upper = upper.where(_may_link(percent, "node_x", "node_y")).select("root", "component_x", "component_y")
-    middle = upper.join(side(nodes, "x"), ["root", "component_x"]).join(side(nodes, "y"), ["root", "component_y"])
-    middle = middle.where(_may_link(percent, "node_x", "node_y"))
-    middle = middle.select("root", "component_x", "component_y", "cell_x", "cell_y")
-    lower = middle.join(side(sets, "x"), ["root", "component_x", "cell_x"]).join(side(sets, "y"), ["root", "component_y", "cell_y"])
-    lower = lower.where((F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
-    pairs = lower.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    more = stored(traversed(pairs.join(spokes, ["a", "b"], "left_anti")), "jaccard-links")
-    final = stored(connected_components(links.unionByName(more)), "jaccard-components")
-
-    placed = rows.select("doc_id", "n", "id").join(final, "id", "left")
-    return stored(placed.select("doc_id", "n", "id", F.coalesce("component", "id").alias("component")), "jaccard-placed")
+    leaves = tables.store(texts.mapInArrow(_leaves(width, shared), LEAF).dropDuplicates(["id"]), "leaves")
+
+    links, tested, open_ = [], [], []
+    for level in range(ROUNDS + 1):
+        spokes = tables.store(_spokes(members, percent), "spokes")
+        tested.append(spokes)
+        links.append(tables.store(_verified(spokes, leaves, percent), "links"))
+        known = connected_components(reduce(DataFrame.unionByName, links))
+        # Nodes: all sets that share a smallest set; two alone have met already.
+        own = members.where("held > 2").select(F.col("p").alias("g"), "id", "n", "centre").distinct()
+        own = own.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        own = tables.store(own, "own")
+        mixed = own.groupBy("g").agg(F.min("component").alias("u"), F.max("component").alias("v"), F.count("*").alias("held"))
+        mixed = mixed.where("u < v AND held > 2").select("g", "held")
+        nodes = tables.store(own.join(mixed, "g"), "nodes")
+        last = level == ROUNDS
+        open_.append((nodes if last else nodes.where(F.col("held") <= LEAVES)).select("g", "id"))
+        large = nodes.where(F.col("held") > LEAVES)
+        if last or large.isEmpty():
+            break
+        its = leaves.select(F.col("id").alias("g"), F.col("tokens").alias("its"))
+        pairs = large.where("id <> g").join(its, "g").join(leaves.select("id", "tokens"), "id")
+        pairs = pairs.select("g", "id", "n", "centre", "tokens", "its", "component")
+        split = pairs.mapInArrow(_beyond(percent, shared), "roots array<long>, id long, n long, centre long, component long")
+        split = tables.store(split, "split")
+        rooted = split.select(F.explode("roots").alias("g"), "id", "n", "centre", "component")
+        members = tables.store(_met(rooted), "members")
+
+    # What no pivot has settled: trees, traversed in pairs of nodes.
+    groups = reduce(DataFrame.unionByName, open_).join(known, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
+    groups = tables.store(groups.distinct(), "groups")
+    pairs = _traversed(groups, leaves, percent, tables)
+    pairs = tables.store(pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti"), "pairs")
+    links.append(tables.store(_verified(pairs, leaves, percent), "links"))
+    final = connected_components(reduce(DataFrame.unionByName, links))
+    placed = rows.join(final, "id", "left").select("doc_id", "n", "id", F.coalesce("component", "id").alias("component"))
+    placed = stored(placed, "jaccard-placed")
+    tables.drop()
+    return placed
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -7,9 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from plumeria.llm import jaccard_join
 from plumeria.llm.components import connected_components
 from plumeria.llm.exact_dedup import exact_dedup, kept_documents
-from plumeria.llm.jaccard_join import Levels, first_of_groups, jaccard_components
+from plumeria.llm.jaccard_join import first_of_groups, jaccard_components, least_shared, prefix_length
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,14 +73,57 @@ def test_chained_near_copies_form_one_component(spark):
     assert {x.component_id for x in found} == {100}
 
 
-def test_levels_hold_every_possible_partner():
-    levels = Levels(90)
-    for a in range(1, 400):
-        for b in range(a, int(a / 0.9) + 1):
-            shared = set(levels.of(a)) & set(levels.of(b))
-            differ = int((a + b) / 19)
-            assert shared
-            assert any(levels.segments(k)[0] - levels.segments(k)[1] > differ for k in shared) or differ == 0
+def test_least_shared_holds_for_every_linked_pair():
+    """Over small universes: linked sets that aren't both linked with a smallest set share so many tokens beyond it."""
+    rng = random.Random(12)
+    seen = 0
+    for _ in range(30_000):
+        percent = rng.choice([60, 75, 80, 90])
+        p = set(rng.sample(range(40), rng.randint(1, 30)))
+        x = p ^ set(rng.sample(range(60), rng.randint(0, 14)))
+        y = x ^ set(rng.sample(range(60), rng.randint(0, 4)))
+        linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)  # noqa: E731, B023
+        if min(len(x), len(y)) < len(p) or not linked(x, y) or (linked(x, p) and linked(y, p)):
+            continue
+        seen += 1
+        shared = len((x & y) - p)
+        assert shared >= least_shared(len(x), len(p), len(x & p), percent)
+        assert shared >= least_shared(len(y), len(p), len(y & p), percent)
+    assert seen > 200
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = random.Random(13)
+    for _ in range(20_000):
+        percent = rng.choice([50, 80, 90, 100])
+        x = set(rng.sample(range(60), rng.randint(1, 40)))
+        y = set(x) ^ set(rng.sample(range(60), rng.randint(0, 8)))
+        if y and 100 * len(x & y) >= percent * len(x | y):
+            assert set(sorted(x)[: prefix_length(len(x), percent)]) & set(sorted(y)[: prefix_length(len(y), percent)])
+
+
+@pytest.mark.parametrize("percent", [80])
+def test_hot_passage_and_large_near_copy_groups(spark, percent, monkeypatch):
+    """Nodes far above LEAVES, split by rare tokens and by deep trees; no link is lost and none made up."""
+    rng = random.Random(21)
+    word = lambda k: f"u{rng.randrange(k)}"
+    passage, base = [word(10**6) for _ in range(60)], [word(10**6) for _ in range(90)]
+    rows = []
+    for _ in range(70):  # around one passage, mostly not linked
+        rows.append(" ".join([word(10**6) for _ in range(rng.randint(5, 30))] + passage))
+    for _ in range(90):  # near copies at and below the threshold
+        y = list(base)
+        for _ in range(rng.randint(0, 6)):
+            y[rng.randrange(len(y))] = word(40)
+        rows.append(" ".join(y))
+    rows = list(enumerate(rows))
+    want = brute(rows, 3, percent)
+    assert len({c for _, c in want.values()}) > 30
+    for leaves, rounds in [(3, 0), (4, 1)]:
+        monkeypatch.setattr(jaccard_join, "LEAVES", leaves)
+        monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+        found = jaccard_components(documents(spark, rows), 3, percent).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == want
 
 
 def test_jaccard_of_empty_repeated_and_null_rows(spark):
