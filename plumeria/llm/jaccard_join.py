@@ -1,9 +1,11 @@
 """N-gram Jaccard join with signature trees: exact links between word-shingle sets, hot groups included.
 
-Distinct shingle sets are the leaves of a forest. One order over all tokens, rarest first by a count sketch over the
-whole corpus, gives each set its prefix: ``n - ceil(t * n) + 1`` tokens, so two sets with a Jaccard similarity of
-``t`` or more share a token of both prefixes. A root is such a token; passages that very many texts hold come last
-and are hardly ever roots.
+Distinct shingle sets are the leaves of a forest. Sizes fall into levels; at a level with sizes up to ``u`` two linked
+sets differ in at most ``d = 2u(1-t)/(1+t)`` tokens, so of ``d + 1 + s`` segments of the token space at least ``1 + s``
+hold the same tokens in both. A root is one segment's content. One order over all contents, by a count sketch of the
+tokens of the whole corpus, tells how rare the rarest token of a content is; a set leaves out its ``s`` commonest
+contents. The rarest content that two linked sets share has ``s`` commoner ones beside it in both, so both keep it: no
+linked pair is lost, and a passage that very many texts hold is hardly ever a root.
 
 Below a root the sets are split by signatures relative to pivots. Every set is held against the smallest set of its
 roots and against the one with the commonest tokens, which joins most groups of near copies in linear work. Roots
@@ -22,7 +24,9 @@ What is left at the bottom is checked on whole sets.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -38,10 +42,16 @@ from plumeria.llm.words import ROWS, column_bytes, mix, shingle_hashes, slices,
 LANES, NODE_LANES = 32, 8
 #: Sets of a node that isn't split further; children of an inner node; the greatest depth of a signature tree.
 LEAVES, FANOUT_BITS, DEPTH = 16, 4, 7
+#: The largest size of a level over that of the level before; contents left out, as a share of ``d``.
+STEP, SPARE = 1.4, 0.6
+#: Sets of a root, by the sketch, from which its rows are dealt by joins that adaptive execution splits.
+HOT_ROOT = 4096
 #: Levels of splits by tokens beyond the pivot.
 ROUNDS = 3
 #: The count sketch over all tokens has 2**SKETCH_BITS counters, summed in PARTS parts: 1 MB at the driver.
 SKETCH_BITS, PARTS = 20, 64
+#: Steps of rarity for a doubling of a count.
+RARITY = 7.9
 #: Documents up to which their ids are broadcast, 8 bytes each, to fetch their texts; more are joined by a shuffle.
 FETCHED = 2_000_000
 
@@ -122,7 +132,7 @@ def _rarity(counted: DataFrame) -> np.ndarray:
     size = len(total) // PARTS
     for row in parts.collect():  # PARTS rows, 8 bytes a counter at most
         total[np.frombuffer(row["places"], "<u4").astype(np.int64) + row["part"] * size] += np.frombuffer(row["counts"], "<u4")
-    return np.minimum(255, np.log2(1 + total) * 7.9).astype(np.uint8)
+    return np.minimum(254, np.log2(1 + total) * RARITY).astype(np.uint8)
 
 
 def _order(tokens: np.ndarray, rarity: np.ndarray) -> np.ndarray:
@@ -134,26 +144,71 @@ def _first(keys: np.ndarray, count: int) -> np.ndarray:
     return keys if count >= len(keys) else np.partition(keys, count - 1)[:count] if count > 0 else keys[:0]
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many tokens of a set of ``n``, in any one order, two linked sets can't all lack."""
-    return n - -(-percent * n // 100) + 1
+class Levels:
+    """Size levels for one threshold: bounds, segments of the token space and spare segments."""
+
+    def __init__(self, percent: int):
+        self.keep = Fraction(percent, 100)
+        self.loss = (1 - self.keep) / (1 + self.keep)
+        self.upper = [1]
+        self._segments: list[tuple[int, int]] = []
+
+    def of(self, size: int) -> list[int]:
+        """The levels of a set: its own, and those in which a larger set may be its partner."""
+        largest = int(size / self.keep)
+        while self.upper[-1] < largest:
+            self.upper.append(max(self.upper[-1] + 1, int(self.upper[-1] * STEP)))
+        for upper in self.upper[len(self._segments) :]:
+            differ = int(2 * upper * self.loss)
+            spare = int(SPARE * differ)
+            self._segments.append((differ + 1 + spare if differ else 0, spare))
+        low = bisect_left(self.upper, size)
+        return [low, *(i for i in range(low + 1, len(self.upper)) if self.upper[i - 1] < largest)]
+
+    def segments(self, level: int) -> tuple[int, int]:
+        """The segments of the token space, and how many of their contents a set leaves out."""
+        return self._segments[level]
+
+
+def _roots(tokens: np.ndarray, rarity: np.ndarray, levels: Levels) -> np.ndarray:
+    """The roots of a sorted set of tokens: its rarest contents at its levels, the rarity in the highest byte."""
+    found = []
+    common = rarity[_spots(tokens)]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
+    for level in levels.of(len(tokens)):
+        parts, spare = levels.segments(level)
+        if not parts:
+            continue
+        part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the tokens are
+        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        sized = np.diff(cuts)
+        place = np.arange(parts, dtype=np.uint64) + np.uint64(level << 40)
+        content = mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(place * np.uint64(0x9E3779B97F4A7C15) + sized.astype(np.uint64)))
+        rare = np.full(parts, 255, np.uint64)  # an empty segment is the commonest content
+        full = sized > 0
+        rare[full] = np.minimum.reduceat(common, cuts[:-1][full])
+        found.append(_first(rare << np.uint64(56) | content >> np.uint64(8), parts - spare))
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 def _rooted(width: int, percent: int, shared):
-    """(id, n, centre, roots) of every set that isn't empty; centre grows with the commonness of its tokens."""
+    """(id, sized, roots) of every set that isn't empty; ``sized`` packs its size and how common its tokens are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
+        rarity, levels = shared.value, Levels(percent)
         for batch in slices(batches):
             sets = [x for x in _sets(batch.column(0), width) if len(x)]
-            roots = [_first(_order(x, rarity), prefix_length(len(x), percent)) for x in sets]
-            centre = [int(rarity[_spots(x)].mean() * 256) for x in sets]
-            columns = [_set_ids(sets), pa.array([len(x) for x in sets], pa.int64()), pa.array(centre, pa.int64()), _lists(roots)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "centre", "roots"])
+            columns = [_set_ids(sets), pa.array([_sized(x, rarity) for x in sets], pa.int64())]
+            columns.append(_lists([_roots(x, rarity, levels) for x in sets]))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "sized", "roots"])
 
     return run
 
 
+def _sized(tokens: np.ndarray, rarity: np.ndarray) -> int:
+    return len(tokens) << 16 | int(rarity[_spots(tokens)].mean() * 256)
+
+
 def _leaves(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
@@ -165,16 +220,16 @@ def _leaves(width: int, shared):
             bits = np.packbits(maps, axis=1).view(np.uint64)
             size = np.array([len(x) for x in sets], np.int64)
             excess = size - maps.sum(axis=1, dtype=np.int64)
-            centre = [int(rarity[_spots(x)].mean() * 256) for x in sets]
+            sized = [_sized(x, rarity) for x in sets]
             code = [_code(_first(_order(x, rarity), max(1, len(x) // 4))) for x in sets]
-            columns = [_set_ids(sets), pa.array(size), pa.array(centre, pa.int64()), pa.array(code, pa.int64())]
+            columns = [_set_ids(sets), pa.array(size), pa.array(sized, pa.int64()), pa.array(code, pa.int64())]
             columns += [pa.array(excess), _lists(list(bits)), _lists(sets)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LEAF.split(", ")])
 
     return run
 
 
-LEAF = "id long, n long, centre long, code long, excess long, bits array<long>, tokens array<long>"
+LEAF = "id long, n long, sized long, code long, excess long, bits array<long>, tokens array<long>"
 
 
 def _code(rare: np.ndarray) -> int:
@@ -200,20 +255,20 @@ def least_shared(n: int, p: int, common: int, percent: int) -> int:
 
 
 def _beyond(percent: int, shared):
-    """(g, id, n, centre, component) for the rare tokens that a set of node ``g`` has beyond the node's pivot."""
+    """(g, id, sized, component) for the rare tokens that a set of node ``g`` has beyond the node's pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in slices(batches, 256):
             pivot = batch.column(0).to_numpy().view(np.uint64)
             found = []
-            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            for i, (a, b) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
                 mine, its = (np.asarray(x.values).view(np.uint64) for x in (a, b))
                 own = np.setdiff1d(mine, its, assume_unique=True)
                 need = least_shared(len(mine), len(its), len(mine) - len(own), percent)
                 found.append(mix(_first(_order(own, rarity), len(own) - need + 1) ^ mix(pivot[i : i + 1])))
-            columns = [_lists(found), *(batch.column(i) for i in (1, 2, 3, 6))]
-            yield pa.RecordBatch.from_arrays(columns, names=["roots", "id", "n", "centre", "component"])
+            columns = [_lists(found), *(batch.column(i) for i in (1, 2, 5))]
+            yield pa.RecordBatch.from_arrays(columns, names=["roots", "id", "sized", "component"])
 
     return run
 
@@ -242,19 +297,24 @@ def _verified(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
 
 
 def _met(rooted: DataFrame) -> DataFrame:
-    """``rooted`` (g, id, n, centre, component) where ``g`` holds several components, with the pivots of g.
+    """``rooted`` (g, id, sized, component), without repeats, where ``g`` holds several components."""
+    held = rooted.groupBy("g").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u < v")
+    return rooted.join(held.select("g").hint("merge"), "g").dropDuplicates(["g", "id"])
+
+
+def _members(met: DataFrame) -> DataFrame:
+    """``met`` with the pivots of g.
 
     p, p_n: the smallest set; c, c_n: the one with the commonest tokens; held: the sets of g.
     """
     low = F.col("id").bitwiseAND(F.lit(0xFFFFFFFF))
-    small = F.shiftleft("n", 32).bitwiseOR(low)
-    central = F.shiftleft("centre", 32).bitwiseOR(low)
-    held = rooted.groupBy("g").agg(
-        F.min_by("id", small).alias("p"), F.min("n").alias("p_n"), F.max_by("id", central).alias("c"),
-        F.max_by("n", central).alias("c_n"), F.count("*").alias("held"),
-        F.min("component").alias("u"), F.max("component").alias("v"),
+    small = F.shiftleft(F.shiftright("sized", 16), 32).bitwiseOR(low)
+    central = F.shiftleft(F.col("sized").bitwiseAND(F.lit(0xFFFF)), 32).bitwiseOR(low)
+    pivots = met.groupBy("g").agg(
+        F.min_by("id", small).alias("p"), F.min(F.shiftright("sized", 16)).alias("p_n"),
+        F.max_by("id", central).alias("c"), F.max_by(F.shiftright("sized", 16), central).alias("c_n"), F.count("*").alias("held"),
     )
-    return rooted.join(held.where("u < v").drop("u", "v"), "g")
+    return met.withColumn("n", F.shiftright("sized", 16)).join(pivots, "g")
 
 
 def _spokes(members: DataFrame, percent: int) -> DataFrame:
@@ -363,10 +423,15 @@ def _placed(docs: DataFrame, width: int, percent: int, text: str = "text", doc_i
     counted = tables.store(source.mapInArrow(_counted(width), COUNTED), "rows")
     rows = counted.where("part IS NULL").select("doc_id", "n", "id")
     shared = spark.sparkContext.broadcast(_rarity(counted))
-    sets = source.select("text").mapInArrow(_rooted(width, percent, shared), "id long, n long, centre long, roots array<long>")
-    sets = tables.store(sets.dropDuplicates(["id"]), "sets")
-    rooted = sets.select(F.explode("roots").alias("g"), "id", "n", "centre", F.col("id").alias("component"))
-    members = tables.store(_met(rooted), "members")
+    first = Tables(spark, "jaccard-sets")
+    sets = first.store(source.select("text").mapInArrow(_rooted(width, percent, shared), "id long, sized long, roots array<long>"), "sets")
+    rooted = sets.select(F.explode("roots").alias("g"), "id", "sized", F.col("id").alias("component"))
+    # A root that isn't hot has few sets, by the sketch: its rows can meet in one task, in one shuffle.
+    hot = F.shiftrightunsigned("g", 56) >= int(math.log2(1 + HOT_ROOT) * RARITY)
+    met = _met(rooted.where(~hot).repartition("g")).unionByName(_met(rooted.where(hot)))
+    met = tables.store(met, "met")
+    first.drop()
+    members = tables.store(_members(met), "members")
 
     # One document of each of these sets, and its leaf.
     wanted = members.select("id").distinct()
@@ -384,7 +449,7 @@ def _placed(docs: DataFrame, width: int, percent: int, text: str = "text", doc_i
         links.append(tables.store(_verified(spokes, leaves, percent), "links"))
         known = connected_components(reduce(DataFrame.unionByName, links))
         # Nodes: all sets that share a smallest set; two alone have met already.
-        own = members.where("held > 2").select(F.col("p").alias("g"), "id", "n", "centre").distinct()
+        own = members.where("held > 2").select(F.col("p").alias("g"), "id", "sized").distinct()
         own = own.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
         own = tables.store(own, "own")
         mixed = own.groupBy("g").agg(F.min("component").alias("u"), F.max("component").alias("v"), F.count("*").alias("held"))
@@ -397,11 +462,11 @@ def _placed(docs: DataFrame, width: int, percent: int, text: str = "text", doc_i
             break
         its = leaves.select(F.col("id").alias("g"), F.col("tokens").alias("its"))
         pairs = large.where("id <> g").join(its, "g").join(leaves.select("id", "tokens"), "id")
-        pairs = pairs.select("g", "id", "n", "centre", "tokens", "its", "component")
-        split = pairs.mapInArrow(_beyond(percent, shared), "roots array<long>, id long, n long, centre long, component long")
+        pairs = pairs.select("g", "id", "sized", "tokens", "its", "component")
+        split = pairs.mapInArrow(_beyond(percent, shared), "roots array<long>, id long, sized long, component long")
         split = tables.store(split, "split")
-        rooted = split.select(F.explode("roots").alias("g"), "id", "n", "centre", "component")
-        members = tables.store(_met(rooted), "members")
+        rooted = split.select(F.explode("roots").alias("g"), "id", "sized", "component")
+        members = tables.store(_members(tables.store(_met(rooted), "met")), "members")
 
     # What no pivot has settled: trees, traversed in pairs of nodes.
     groups = reduce(DataFrame.unionByName, open_).join(known, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))

@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumeria.llm import jaccard_join
 from plumeria.llm.components import connected_components
 from plumeria.llm.exact_dedup import exact_dedup, kept_documents
-from plumeria.llm.jaccard_join import first_of_groups, jaccard_components, least_shared, prefix_length
+from plumeria.llm.jaccard_join import first_of_groups, jaccard_components, least_shared
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -92,14 +93,19 @@ def test_least_shared_holds_for_every_linked_pair():
     assert seen > 200
 
 
-def test_prefixes_of_linked_sets_meet():
-    rng = random.Random(13)
-    for _ in range(20_000):
-        percent = rng.choice([50, 80, 90, 100])
-        x = set(rng.sample(range(60), rng.randint(1, 40)))
-        y = set(x) ^ set(rng.sample(range(60), rng.randint(0, 8)))
-        if y and 100 * len(x & y) >= percent * len(x | y):
-            assert set(sorted(x)[: prefix_length(len(x), percent)]) & set(sorted(y)[: prefix_length(len(y), percent)])
+def test_linked_sets_share_a_root():
+    """Whatever the order of the contents; also for a sketch that calls everything equally common."""
+    rng = np.random.default_rng(13)
+    sketches = [rng.integers(0, k, 1 << jaccard_join.SKETCH_BITS, dtype=np.uint8) for k in (1, 250)]
+    for trial in range(3000):
+        rarity = sketches[trial % 2]
+        percent = int(rng.choice([50, 80, 90, 99]))
+        levels = jaccard_join.Levels(percent)
+        x = np.unique(rng.integers(0, 2**64, rng.integers(1, 200), dtype=np.uint64))
+        y = np.unique(np.concatenate((x[rng.random(len(x)) > 0.05], rng.integers(0, 2**64, rng.integers(0, 6), dtype=np.uint64))))
+        both = len(np.intersect1d(x, y))
+        if len(y) and not np.array_equal(x, y) and 100 * both >= percent * (len(x) + len(y) - both):
+            assert len(np.intersect1d(jaccard_join._roots(x, rarity, levels), jaccard_join._roots(y, rarity, levels)))
 
 
 @pytest.mark.parametrize("percent", [80])
