@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.pieces import ChunkEncoder, WordCutter, ranges, text_groups
+from plumeria.llm.pieces import ChunkEncoder, WordCutter, checked, ranges, text_groups
 from plumeria.llm.words import slices
 
 _NO_RANK = np.int64(1 << 40)
@@ -32,11 +32,11 @@ def byte_characters() -> list[str]:
 
 
 class ByteBPE:
-    """A vocabulary file of the tokenizers library with a byte-level BPE model."""
+    """A vocabulary file of the tokenizers library with a plain byte-level BPE model; others are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            content = json.load(file)
+            content = checked(json.load(file))
         vocabulary, merges = content["model"]["vocab"], content["model"]["merges"]
         self.special = {x["content"]: x["id"] for x in content["added_tokens"]}
         characters = byte_characters()

@@ -23,7 +23,7 @@ from plumeria.llm.words import slices
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, MUXING_APP, WRITING_APP = 0x4282, 0x4D80, 0x5741
 _MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
@@ -54,7 +54,7 @@ def _lace(frames: list[bytes], lacing: str) -> bytes:
     head = bytes([len(frames) - 1])
     if lacing == "xiph":
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == "ebml":
+    elif lacing == "ebml" and len(sizes) > 1:
         head += vint(sizes[0])
         for before, now in zip(sizes, sizes[1:-1], strict=False):
             width = next(n for n in range(1, 9) if abs(now - before) < (1 << 7 * n - 1) - 1)
@@ -181,15 +181,22 @@ def parse(data: bytes) -> dict:
     cues: list[tuple[int, int]] = []
     clusters: list[int] = []
     segment, scale, base, track, time = 0, 1_000_000, 0, {}, 0
+    group, refers = 0, False
     for kind, begin, at, end in elements(data):
         if kind in (SIMPLE_BLOCK, BLOCK):
             number, relative, flags, ranges = _frames(data, at, end)
             stamp, known = (base + relative) * scale, tracks.get(number, {})
             lacing = LACINGS[flags >> 1 & 3]
+            key = bool(flags & 0x80) if kind == SIMPLE_BLOCK else not refers
             for place, size in ranges:
-                packets.append((number, stamp, place, size, bool(flags & 0x80), lacing, len(clusters) - 1))
+                packets.append((number, stamp, place, size, key, lacing, len(clusters) - 1))
                 if "bytes_a_second" in known:
                     stamp += size * 1_000_000_000 // known["bytes_a_second"]
+        elif kind == BLOCK_GROUP:
+            group, refers = len(packets), False
+        elif kind == REFERENCE_BLOCK:  # the group's block is no key frame; it may stand before or after it
+            refers = True
+            packets[group:] = [(*x[:4], False, *x[5:]) for x in packets[group:]]
         elif kind == SEGMENT:
             segment = at
         elif kind == CLUSTER:

@@ -18,7 +18,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 BLOCK_WORDS = 512
-_GOLDEN = 0.6180339887498949
+#: The step between points of the schedule, the golden ratio less 1.
+GOLDEN = 0.6180339887498949
 #: Parts of the unit interval by which slots meet sources, and slots that are ranked together.
 _CELLS, _CHUNK = 4096, 1 << 16
 
@@ -67,8 +68,10 @@ def _prefix(rows: DataFrame, by: str, part: str, amount: Column, order: list[Col
     )
 
 
-def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS, golden: float = GOLDEN) -> DataFrame:
     """(slot, key, rank, first, last): the words ``first`` to ``last - 1`` of its source that each slot takes."""
+    if not 0 < golden < 1:
+        raise ValueError("the step between points must lie between 0 and 1")
     spark = targets.sparkSession
     words = targets.agg(F.sum("target").alias("t")).first()["t"] or 0.0
     slots = int(words // block_words) + 1 if words else 0
@@ -79,7 +82,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     shares = shares.withColumn("to", F.when(F.col("to") == F.max("to").over(whole), F.lit(2.0)).otherwise(F.col("to")))
     cells = F.sequence((F.col("from") * _CELLS).cast("int"), F.least(F.col("to") * _CELLS, F.lit(_CELLS - 1)).cast("int"))
     parts = shares.select("key", "from", "to", F.explode(cells).alias("cell"))
-    point = F.col("id") * F.lit(_GOLDEN)
+    point = F.col("id") * F.lit(golden)
     points = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u"))
     points = points.withColumn("cell", (F.col("u") * _CELLS).cast("int"))
     dealt = points.join(parts, "cell").where("u >= from AND u < to").select("slot", "key")
@@ -117,8 +120,9 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    documents: doc_id, key, size, source_size, target, taken, position, one row for each row of ``docs``; taken counts
-    the words that the mix takes of it, repeats included, and never exceeds ``repeats`` times its size. pieces: slot,
+    documents: doc_id, key, size, source_size, target, taken, first_slot, position, one row for each row of ``docs``;
+    taken counts the words that the mix takes of it, repeats included, and never exceeds ``repeats`` times its size;
+    first_slot is the slot of the schedule in which the mix first comes to it, null where it never does. pieces: slot,
     key, rank, doc_id, position, begin, end: the words of a document that a slot takes, in order of slot the mix
     itself. A null text has size 0, a null source is a source of its own that comes last; sources whose documents are
     all empty have target 0. Documents are shuffled by the MD5 of seed and doc_id, so reruns agree; rows that share a
@@ -153,10 +157,10 @@ def mix(
     pieces = pieces.select(
         "slot", "key", "rank", "doc_id", "position", (begin - F.col("x")).alias("begin"), (end - F.col("x")).alias("end")
     ).where("begin < end")
-    taken = pieces.groupBy("key", "position").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    taken = pieces.groupBy("key", "position").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"), F.min("slot").alias("first_slot"))
     full = placed.where("size > 0").join(taken, ["key", "position"], "left")
     documents = full.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).unionByName(
-        placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+        placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
     )
     return documents, pieces
 

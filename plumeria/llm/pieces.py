@@ -29,6 +29,25 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def checked(content: dict) -> dict:
+    """A vocabulary file's content, if the words that are cut here are those that it asks for; else an error."""
+    model, cut = content["model"], content.get("pre_tokenizer") or {}
+    faults = [
+        model.get("type", "BPE") != "BPE" and "a model other than BPE",
+        content.get("normalizer") is not None and "a normalizer",
+        cut.get("type") != "ByteLevel" and "a pre-tokenizer other than ByteLevel",
+        bool(cut.get("add_prefix_space")) and "add_prefix_space",
+        not cut.get("use_regex", True) and "words without the usual pattern",
+        any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        and "dropout, ignore_merges, byte_fallback, a prefix or a suffix",
+        any(x.get(k) for x in content.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip"))
+        and "added tokens that take in what is around them",
+    ]
+    if any(faults):
+        raise ValueError("not covered: " + "; ".join(x for x in faults if x))
+    return content
+
+
 class Runs:
     """Numbers for distinct strings in order of appearance, and a run of integers for each."""
 

@@ -20,7 +20,8 @@ def vocabulary() -> str:
 
 
 def op1_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
 
 
 def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,33 +96,59 @@ ORACLE_SQL: dict[str, str] = {
         ), t AS (
             SELECT c.source, c.total, least(2 * c.total, c.w * (SELECT min_by(fits, level) FROM f WHERE fits <= level)) AS target FROM c
         ), p AS (
-            SELECT d.doc_id, d.size, t.total, t.target, round(t.target)::BIGINT AS words,
+            SELECT d.doc_id, d.source, d.size, t.total, t.target, round(t.target)::BIGINT AS words,
                    (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || d.doc_id)) - d.size)::BIGINT AS position
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), shares AS (  -- each source's part of the unit interval, the last one open
+            SELECT source, least(2 * total, target) AS target, round(target)::BIGINT AS words, lead(source IS NULL) OVER o IS NULL AS last,
+                   coalesce(sum(target) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS low,
+                   sum(target) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () AS high
+            FROM t WHERE target > 0 WINDOW o AS (ORDER BY source NULLS LAST)
+        ), n AS (
+            SELECT floor(sum(target) / 512)::BIGINT + 1 AS slots FROM t WHERE target > 0
+        ), points AS (
+            SELECT i AS slot, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u
+            FROM n, unnest(range(slots)) AS r(i)
+        ), dealt AS (
+            SELECT slot, source, words FROM points JOIN shares ON u >= low AND (u < high OR last)
+        ), late AS (
+            SELECT (SELECT slots FROM n) - 1 + row_number() OVER (ORDER BY CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END) AS slot, source, words
+            FROM shares WHERE NOT EXISTS (SELECT 1 FROM dealt WHERE dealt.source IS NOT DISTINCT FROM shares.source)
+        ), ranked AS (
+            SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank,
+                   words // count(*) OVER (PARTITION BY source) AS least_, words % count(*) OVER (PARTITION BY source) AS more
+            FROM (SELECT * FROM dealt UNION ALL SELECT * FROM late)
+        ), cut AS (
+            SELECT DISTINCT source, least_, more FROM ranked
+        ), wanted AS (
+            SELECT p.*, CASE WHEN size = 0 OR position >= words THEN NULL WHEN position < more * (least_ + 1) THEN position // (least_ + 1)
+                             ELSE more + (position - more * (least_ + 1)) // least_ END AS rank
+            FROM p LEFT JOIN cut ON p.source IS NOT DISTINCT FROM cut.source
         )
         SELECT doc_id, size::BIGINT AS size, total::BIGINT AS source_size, target,
                (greatest(0, least(position + size, words) - position)
-                + greatest(0, least(position + total + size, words) - position - total))::BIGINT AS taken
-        FROM p
+                + greatest(0, least(position + total + size, words) - position - total))::BIGINT AS taken, slot::BIGINT AS first_slot
+        FROM wanted LEFT JOIN ranked ON wanted.source IS NOT DISTINCT FROM ranked.source AND wanted.rank = ranked.rank
     """,
     "op6_warc_fixity": r"""
         WITH c AS (
             SELECT *, count(*) OVER () // 4096 + 1 AS shards FROM pages
         ), r AS (
-            SELECT page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 4))::BIGINT % shards AS shard,
-                   ('0x' || substr(md5('damage:' || page_id), 1, 4))::BIGINT % 101 AS draw,
+            SELECT page_id, shards, ('0x' || substr(md5('damage:' || page_id), 1, 15))::BIGINT % 101 AS draw,
                    'WARC/1.1' || e'\r\n' || 'WARC-Type: resource' || e'\r\n' || 'WARC-Record-ID: <urn:uuid:'
                    || md5(page_id::VARCHAR)[1:8] || '-' || md5(page_id::VARCHAR)[9:12] || '-' || md5(page_id::VARCHAR)[13:16]
                    || '-' || md5(page_id::VARCHAR)[17:20] || '-' || md5(page_id::VARCHAR)[21:32] || '>' || e'\r\n'
                    || 'WARC-Target-URI: ' || coalesce(url, '') || e'\r\n' || 'Content-Type: text/html' || e'\r\n'
                    || 'Content-Length: ' || strlen(coalesce(html, '')) || e'\r\n\r\n' || coalesce(html, '') || e'\r\n\r\n' AS record
             FROM c
+        ), h AS (
+            SELECT *, sha256(record) AS sha, ('0x' || substr(sha256(record), 1, 15))::BIGINT % shards AS shard FROM r
         )
         SELECT page_id, shard, row_number() OVER w - 1 AS seq,
                (sum(strlen(record)) OVER w - strlen(record))::BIGINT AS offset, strlen(record) AS length,
-               sha256(record) AS record_sha256,
+               sha AS record_sha256,
                CASE draw WHEN 7 THEN 'changed' WHEN 53 THEN 'changed' WHEN 23 THEN 'missing' ELSE 'ok' END AS status
-        FROM r WINDOW w AS (PARTITION BY shard ORDER BY page_id)
+        FROM h WINDOW w AS (PARTITION BY shard ORDER BY page_id, sha)
     """,
     "op8_exact_dedup": r"""
         WITH d AS (

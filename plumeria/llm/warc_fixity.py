@@ -2,8 +2,7 @@
 
 Leaves hash the bytes of a record and its byte range, inner nodes the hashes of up to ``FANOUT`` children, and the
 shards' roots go up to one archive root. Two replicas agree when their roots do; otherwise only the children of
-mismatching nodes are read, level by level, down to the records that differ. Every level is a table of its own, so an
-audit reads next to nothing of an archive that is sound.
+mismatching nodes are compared, level by level, down to the records that differ. Every level is a table of its own.
 """
 
 from __future__ import annotations
@@ -19,9 +18,9 @@ FANOUT = 16
 SHARD_RECORDS = 4096
 
 
-def _hash16(value: Column) -> Column:
-    """The first four hexadecimal digits of a value's MD5 as a number."""
-    return F.conv(F.substring(F.md5(value.cast("string")), 1, 4), 16, 10).cast("long")
+def _hash60(digest: Column) -> Column:
+    """The first fifteen hexadecimal digits of a digest as a number."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def record_bytes(record_id: Column, url: Column, body: Column) -> Column:
@@ -44,22 +43,30 @@ def record_bytes(record_id: Column, url: Column, body: Column) -> Column:
 def write_archive(pages: DataFrame, shard_records: int = SHARD_RECORDS, page_id: str = "page_id") -> DataFrame:
     """(shard, seq, page_id, offset, length, record) of every row of ``pages``, in the shared folder.
 
-    Shards hold about ``shard_records`` records in order of page_id. A null html gives an empty body, a null id comes
-    first; rows that share an id follow one another by their bytes. An empty table gives an empty archive.
+    A record's shard is drawn from its SHA-256, so shards hold about ``shard_records`` different records whatever the
+    ids; within a shard records lie in order of page_id, a null one first, then of their hash. Equal rows are records
+    of their own, one after the other. A null html gives an empty body. An empty table gives an empty archive.
+    Places come from the ids, lengths and hashes alone; the records themselves are shuffled once, to be joined.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
         record_bytes(F.col(page_id), F.col("url"), F.col("html")).alias("record"),
-    )
-    shards = rows.count() // shard_records + 1
-    rows = rows.withColumn("shard", F.coalesce(_hash16(F.col("page_id")), F.lit(0)) % shards)
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("shard").orderBy(F.col("page_id").asc_nulls_first(), F.sha2("record", 256))
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.select(
-        "shard", (F.row_number().over(order) - 1).cast("long").alias("seq"), "page_id", before.alias("offset"), "length", "record"
-    )
-    return stored(placed, "warc")
+    ).withColumn("sha", F.sha2("record", 256))
+    slim = rows.groupBy("page_id", "sha").agg(F.max(F.octet_length("record")).cast("long").alias("length"), F.count("*").alias("copies"))
+    slim = stored(slim, "warc-slim")
+    shards = (slim.agg(F.sum("copies").alias("n")).first()["n"] or 0) // shard_records + 1
+    slim = slim.withColumn("shard", _hash60(F.col("sha")) % shards)
+    order = Window.partitionBy("shard").orderBy(F.col("page_id").asc_nulls_first(), "sha").rowsBetween(Window.unboundedPreceding, -1)
+    seq = F.coalesce(F.sum("copies").over(order), F.lit(0)).alias("seq")
+    offset = F.coalesce(F.sum(F.col("copies") * F.col("length")).over(order), F.lit(0)).alias("offset")
+    places = stored(slim.select("shard", seq, F.col("page_id").alias("_id"), "sha", offset, "length", "copies"), "warc-places")
+    same = rows["page_id"].eqNullSafe(F.col("_id")) & (rows["sha"] == places["sha"])
+    placed = ["shard", "seq", "page_id", "offset", "length", "record"]
+    one = rows.join(places.where("copies = 1"), same).select(*placed)
+    many = rows.join(places.where("copies > 1"), same).select("shard", "seq", "page_id", "offset", "length", "record", "copies")
+    many = many.dropDuplicates(["shard", "seq"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    many = many.withColumn("seq", F.col("seq") + F.col("copy")).withColumn("offset", F.col("offset") + F.col("copy") * F.col("length"))
+    return stored(one.unionByName(many.select(*placed)), "warc")
 
 
 @dataclass
@@ -142,7 +149,7 @@ def audit(archive: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
 
 def damaged_copy(archive: DataFrame) -> DataFrame:
     """A replica with known faults: of 101 records about one has a byte changed, one is cut short, one is missing."""
-    draw = F.coalesce(_hash16(F.concat(F.lit("damage:"), F.col("page_id").cast("string"))), F.lit(0)) % 101
+    draw = F.coalesce(_hash60(F.md5(F.concat(F.lit("damage:"), F.col("page_id").cast("string")))), F.lit(0)) % 101
     half = F.floor(F.col("length") / 2).cast("int")
     text = F.col("record")
     flipped = F.concat(F.substring(text, F.lit(1), half), F.lit("\x00").cast("binary"), F.substring(text, half + 2, F.col("length").cast("int")))

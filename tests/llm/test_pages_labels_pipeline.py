@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import pytest
@@ -24,7 +25,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text():
-    text, kept, blocks = html_extract.main_text(PAGE)
+    text, kept, blocks, _ = html_extract.main_text(PAGE)
     assert text == (
         "The title First paragraph with bold & été, long enough to be prose. Second one, not closed, over two lines. "
         "one point of the article another point of it"
@@ -32,6 +33,63 @@ def test_main_text():
     assert 0 < kept < blocks
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="no-comments"><p>Some text of the page, long enough.</p></body>', "Some text of the page, long enough."),
+        ('<article class="post comments-open"><h1>T</h1><p>Some text.</p></article>', "T Some text."),
+        ('<div title="the hidden valley"><p>Some text of the page.</p></div>', "Some text of the page."),
+        ('<div class="popular-science"><p>Some text of it.</p><p>More text of it, in words.</p></div>', "Some text of it. More text of it, in words."),
+        ("<p data-a=don't>It is text, said Ann's friend.</p><p>More text's here.</p>", "It is text, said Ann's friend. More text's here."),
+        ("<!-->It is text. <p>More of it comes here.</p>", "It is text. More of it comes here."),
+        ("<!-- <p>Not this.</p> --!><p title='a > b'>It is text, this one.</p>", "It is text, this one."),
+        ('<form id="page"><nav><a>x</a></nav><article><p>Text in a form.</p></article></form>', "Text in a form."),
+        ("<article><p>Text.</p><aside><p>Side text, long enough to be prose, is it not.</p></aside><p>End.</p></article>", "Text. End."),
+        ('<article><p>Text.</p></article><div class="comment-list"><article class="comment"><p>I liked it, dear author.</p></article></div>', "Text."),
+        ("<article><p>Text.</p><p hidden>Not seen.</p><p style='display: none'>Nor this.</p><p aria-hidden=true>Nor this.</p></article>", "Text."),
+    ],
+)
+def test_pages(page, text):
+    assert html_extract.main_text(page)[0] == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>A story begins here, long before all.</p><p>Yes</p><p>It goes on here, and on, to the end.</p>", "A story begins here, long before all. Yes It goes on here, and on, to the end."),
+        ("<article><h1>A</h1><p>In words, it is said.</p><ul><li><a href=x>A link text</a></li><li>point</li></ul></article>", "A In words, it is said. A link text point"),
+        ("<div><a href=a>News</a></div><div><a href=b>Sport</a></div><div>Read this, now.</div><div><a href=c>Play</a></div><div><a href=d>Win</a></div>", ""),
+    ],
+)
+def test_edges_set_labels(page, text):
+    """Pages that the costs of single blocks get wrong."""
+    found = html_extract.blocks(page)
+    costs = html_extract.capacities(found)
+    assert " ".join(x.text for x, (a, b) in zip(found, costs, strict=True) if a > b) != text
+    assert html_extract.main_text(page)[0] == text
+    assert html_extract.main_text(page)[3] > 0
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<b>" * 40_000 + "<p>x</p>" * 2000, "<div>" * 40_000 + "a<p>b" * 2000, "<span>x</div></b>" * 20_000):
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 10
+
+
+def test_weights_are_fitted_to_places(spark):
+    """What is short and numbered is content here; a fit learns it, from no more pages than it may."""
+    item = "<article>" + "".join(f"<p>{i} {i}{i}</p>" for i in range(12)) + "</article>"
+    prose = "<nav>" + "<p>Words of the menu, in a sentence that ends.</p>" * 12 + "</nav>"
+    df = spark.createDataFrame([(i % 40, "u", item + prose) for i in range(80)], "page_id long, url string, html string")
+    weights = html_extract.fit(df)
+    digits, ended = (html_extract.LOOKS.index(x) for x in ("digits", "ended"))
+    assert weights[digits] > html_extract.PRIOR[digits] + 0.5
+    assert weights[ended] < html_extract.PRIOR[ended] - 0.5
+    assert (html_extract.fit(df.where("false")) == html_extract.PRIOR).all()
+    assert (html_extract.fit(df.withColumn("html", F.lit("<p>x</p>"))) == html_extract.PRIOR).all()
+
+
 @pytest.mark.parametrize("page", ["", "plain", "<", "<p", "<!-- open", "</p></div>", "<script>x", "<a href='>'>", "\x00<p>퟿", "<p>" * 3000 + "x"])
 def test_odd_pages(page):
     html_extract.main_text(page)
@@ -70,7 +128,7 @@ def test_fixity_locates_damage(spark):
     archive = warc_fixity.write_archive(pages(spark, 120), shard_records=25)
     replica = warc_fixity.damaged_copy(archive)
     found = {x.page_id: x.status for x in warc_fixity.audit(archive, replica, fanout=3).collect()}
-    draw = {i: int(hashlib.md5(f"damage:{i}".encode()).hexdigest()[:4], 16) % 101 for i in range(120)}
+    draw = {i: int(hashlib.md5(f"damage:{i}".encode()).hexdigest()[:15], 16) % 101 for i in range(120)}
     want = {i: {7: "changed", 53: "changed", 23: "missing"}.get(draw[i], "ok") for i in range(120)}
     assert found == want
     assert {x.status for x in warc_fixity.audit(archive, archive, fanout=3).collect()} == {"ok"}
@@ -95,6 +153,20 @@ def test_fixity_offsets_and_roots(spark):
     assert warc_fixity.audit(empty, empty).count() == 0
 
 
+def test_archive_of_repeated_rows_and_null_ids(spark):
+    page = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (None, "u", "c"), (None, "u", "c"), (2, None, None)]
+    rows = spark.createDataFrame(page * 3, "page_id long, url string, html string").withColumn("copies", F.lit("x")).withColumn("sha", F.lit(1))
+    archive = warc_fixity.write_archive(rows, shard_records=4)
+    found = sorted(archive.collect(), key=lambda x: (x.shard, x.seq))
+    assert sorted(str(x.page_id) for x in found) == sorted(str(x[0]) for x in page * 3)
+    for _, group in itertools.groupby(found, lambda x: x.shard):
+        at = 0
+        for k, x in enumerate(group):
+            assert (x.seq, x.offset, x.length) == (k, at, len(x.record))
+            at += x.length
+    assert {x.status for x in warc_fixity.audit(archive, archive, fanout=3).collect()} == {"ok"}
+
+
 def corpus(spark, n=900):
     """Invented sentences; toxic ones hold an insult, groups are named in some of both, more often in toxic ones."""
     rng = random.Random(11)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -74,6 +75,29 @@ def test_token_files(spark, library):
     assert token_files.read_documents(token_files.write_token_files(documents(spark, []), PATH)).count() == 0
 
 
+def test_token_files_of_17_bits_and_odd_rows(spark, library):
+    """An end id beyond 16 bits makes 17-bit ids; one repeated id, null ids, null texts and clashing names."""
+    rows = [(7, t) for t in TEXTS * 3] + [(None, "a b"), (None, None), (3, "x " * 9000), (-5, "")]
+    df = documents(spark, rows).withColumn("shard", F.lit("s")).withColumn("bits", F.lit(1)).repartition(4)
+    files = token_files.write_token_files(df, PATH, end_id=100_000, shard_docs=5)
+    assert {x.bits for x in files.select("bits").distinct().collect()} == {17}
+    found = sorted(token_files.read_documents(files).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in found] == [None, None, -5, 3] + [7] * (3 * len(TEXTS))
+    want = sorted((str(i), zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 100_000], "<u4").tobytes())) for i, t in rows)
+    assert sorted((str(x.doc_id), x.ids_crc32) for x in found) == want
+    assert [x.start for x in found] == np.cumsum([0, *(x.n_tokens for x in found)])[:-1].tolist()
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}])
+def test_other_vocabularies_are_refused(tmp_path, change):
+    with open(PATH, encoding="utf-8") as file:
+        content = json.load(file) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(content))
+    with pytest.raises(ValueError, match="not covered"):
+        bpe.ByteBPE(str(path))
+
+
 @given(st.integers(1, 20), st.lists(st.integers(0, 2**20 - 1), min_size=1, max_size=200), st.data())
 @settings(max_examples=100, deadline=None)
 def test_packing(bits, ids, data):
@@ -124,6 +148,17 @@ def test_lacings_and_unknown_sizes(payload, lacing, parts, unknown):
     assert {p[5] for p in found} == {lacing}
 
 
+def test_key_frames_of_block_groups():
+    """A block of a group is a key frame unless the group refers to another block, wherever the reference stands."""
+    m = matroska
+    inside = m.vint(1) + b"\x00\x01\x00" + b"frame"
+    plain, refers = m.element(m.BLOCK, inside), m.element(m.REFERENCE_BLOCK, b"\x01")
+    groups = [plain, plain + refers, refers + plain, plain]
+    body = m.element(m.TIMESTAMP, b"\x00") + b"".join(m.element(m.BLOCK_GROUP, x) for x in groups)
+    data = m.element(m.EBML, b"") + m.element(m.SEGMENT, m.element(m.CLUSTER, body))
+    assert [x[4] for x in m.parse(data)["packets"]] == [True, False, False, True]
+
+
 def test_damaged_media_is_refused():
     data = matroska.write_media(b"x" * 640)
     with pytest.raises((ValueError, IndexError)):
