@@ -6,20 +6,20 @@ replicate comes from a repeatable hash, and each replicate is one sum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.scores import md5_number
 
 #: Cumulative Poisson probabilities with mean 1, up to 7 (fixed values).
-_POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
 
 
 def poisson_weight(seed: int, replicate: Column, cluster: Column) -> Column:
     """A repeatable Poisson(1) draw for a cluster in a replicate."""
     u = md5_number(F.lit(seed), replicate, cluster) / F.lit(4294967296.0)
     draw = F.lit(0)
-    for p in _POISSON:
+    for p in POISSON:
         draw = draw + (u >= p).cast("int")
     return draw
 
@@ -40,3 +40,45 @@ def cluster_bootstrap(sums: DataFrame, cluster: str, num: str, den: str, replica
 
 def verdict(low: Column, high: Column) -> Column:
     return F.when(low > 0, "better").when(high < 0, "worse").otherwise("undecided")
+
+
+def cluster_bootstrap_by(sums: DataFrame, by: str, cluster: str, num: str, den: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(by, value, low, high): ``cluster_bootstrap`` for each value of ``by``, with the same draws of clusters in all."""
+    drawn = sums.select(by, cluster, num, den, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
+    w = poisson_weight(seed, F.col("b"), F.col(cluster))
+    each = drawn.groupBy(by, "b").agg(F.sum(w * F.col(num)).alias("n"), F.sum(w * F.col(den)).alias("d")).where("d > 0")
+    quantiles = F.percentile(F.col("n") / F.col("d"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    whole = sums.groupBy(by).agg((F.sum(num) / F.sum(den)).alias("value"))
+    return whole.join(each.groupBy(by).agg(quantiles.alias("q")), by).select(by, "value", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def nested_bootstrap(cells: DataFrame, inner: str, outer: str, num: str, den: str, replicates: int = 200, alpha: float = 0.05) -> DataFrame:
+    """(value, replicates, low, high): the ratio of sums when both kinds of cluster are drawn anew.
+
+    ``cells`` has sums by (inner, outer); a cell weighs the product of both draws. Replicates without weight are left out.
+    """
+    drawn = cells.select(inner, outer, num, den, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
+    w = poisson_weight(0, F.col("b"), F.col(inner)) * poisson_weight(1, F.col("b"), F.col(outer))
+    each = drawn.groupBy("b").agg(F.sum(w * F.col(num)).alias("n"), F.sum(w * F.col(den)).alias("d")).where("d > 0")
+    ratios = each.agg(F.count("*").alias("replicates"), F.percentile(F.col("n") / F.col("d"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    whole = cells.agg((F.sum(num) / F.sum(den)).alias("value"))
+    return whole.join(F.broadcast(ratios)).select("value", "replicates", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # one row each
+
+
+def gate(low: Column, high: Column, margin: float) -> Column:
+    """Non-inferiority of an interval: pass above the margin, fail below it, else hold."""
+    return F.when(low > -margin, "pass").when(high < -margin, "fail").otherwise("hold")
+
+
+def two_sided_p(z: Column) -> Column:
+    """The two-sided p-value of a normal statistic, by a logistic approximation (within 0.0002)."""
+    x = F.abs(z)
+    return 2 / (1 + F.exp(1.5976 * x + 0.07056 * x**3))
+
+
+def holm(family: DataFrame, name: str, p: str, alpha: float = 0.05) -> DataFrame:
+    """``adjusted`` and ``rejected`` by Holm's step-down; the windows run over the family's few rows."""
+    order = Window.orderBy(p, name)
+    ranked = family.withColumn("_i", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy()))
+    step = F.max((F.col("_m") - F.col("_i") + 1) * F.col(p)).over(Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("adjusted", F.least(F.lit(1.0), step)).withColumn("rejected", step < alpha).drop("_i", "_m")
