@@ -59,6 +59,14 @@ def dedupe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.sum(kept).alias("kept"))
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(line, ' ') ORDER BY i) AS again FROM l)
+    SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS text FROM r WHERE trim(line, ' ') = '' OR again <= 2 GROUP BY doc_id""")
+def texts_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that it had twice before."""
+    return text.without_repeated_lines(documents(spark, sf_dir), "doc_id", "text").select("doc_id", F.md5("text").alias("text"))
+
+
 @query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\d+(?:,\\d{3})*(?:\\.\\d+)?\\s*%')) AS x FROM documents)
     SELECT doc_id, count(*) AS n, round(sum(replace(regexp_extract(x, '\\d+(?:,\\d{3})*(?:\\.\\d+)?'), ',', '')::DOUBLE), 4) AS total FROM m GROUP BY doc_id""")
 def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
