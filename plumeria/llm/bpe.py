@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeria.llm.pieces import ChunkEncoder, WordCutter, checked, ranges, text_groups
-from plumeria.llm.words import slices
+from plumeria.llm.words import lean, slices
 
 _NO_RANK = np.int64(1 << 40)
 
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
     an empty result, and other columns are ignored, whatever their names. A task holds about a million characters at
     once, or one text.
     """
-    return _two(docs, doc_id, text, "string", "text").mapInArrow(_encoded(path), "doc_id long, n_tokens long, ids array<int>")
+    return _two(docs, doc_id, text, "string", "text").mapInArrow(lean(_encoded(path)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
@@ -200,4 +200,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
     The ids are hashed as little-endian unsigned 32-bit integers, the decoded text in UTF-8. Rows as in ``encode``.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _two(docs, doc_id, text, "string", "text").mapInArrow(_digests(path), schema)
+    return _two(docs, doc_id, text, "string", "text").mapInArrow(lean(_digests(path)), schema)

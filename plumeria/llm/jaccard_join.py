@@ -36,18 +36,20 @@ from pyspark.sql import functions as F
 
 from plumeria.llm.common import Tables, stored
 from plumeria.llm.components import connected_components
-from plumeria.llm.words import ROWS, column_bytes, mix, shingle_hashes, slices, word_hashes
+from plumeria.llm.words import ROWS, column_bytes, lean, mix, shingle_hashes, slices, word_hashes
 
 #: 64-bit integers of a set's bitmap, and of an inner node's, which is folded.
 LANES, NODE_LANES = 32, 8
 #: Sets of a node that isn't split further; children of an inner node; the greatest depth of a signature tree.
 LEAVES, FANOUT_BITS, DEPTH = 16, 4, 7
+#: Texts whose sets a task holds at once.
+SLICE = 128
 #: The largest size of a level over that of the level before; contents left out, as a share of ``d``.
 STEP, SPARE = 1.4, 0.6
 #: Sets of a root, by the sketch, from which its rows are dealt by joins that adaptive execution splits.
 HOT_ROOT = 4096
 #: Levels of splits by tokens beyond the pivot.
-ROUNDS = 3
+ROUNDS = 2
 #: The count sketch over all tokens has 2**SKETCH_BITS counters, summed in PARTS parts: 1 MB at the driver.
 SKETCH_BITS, PARTS = 20, 64
 #: Steps of rarity for a doubling of a count.
@@ -95,10 +97,11 @@ def _counted(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in COUNTED.split(", ")]
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in slices(batches):
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in slices(batches, SLICE):
             sets = _sets(batch.column(1), width)
-            total += np.bincount(_spots(np.concatenate([np.empty(0, np.uint64), *sets])), minlength=len(total))
+            spots, counts = np.unique(_spots(np.concatenate([np.empty(0, np.uint64), *sets])), return_counts=True)
+            total[spots] += counts.astype(np.uint32)
             none = [pa.nulls(len(sets), x) for x in (pa.int32(), pa.binary(), pa.binary())]
             columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), _set_ids(sets), *none]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -196,7 +199,7 @@ def _rooted(width: int, percent: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, levels = shared.value, Levels(percent)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             sets = [x for x in _sets(batch.column(0), width) if len(x)]
             columns = [_set_ids(sets), pa.array([_sized(x, rarity) for x in sets], pa.int64())]
             columns.append(_lists([_roots(x, rarity, levels) for x in sets]))
@@ -212,7 +215,7 @@ def _sized(tokens: np.ndarray, rarity: np.ndarray) -> int:
 def _leaves(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             sets = [x for x in _sets(batch.column(0), width) if len(x)]
             maps = np.zeros((len(sets), LANES * 64), np.uint8)
             for row, tokens in zip(maps, sets, strict=True):
@@ -420,11 +423,11 @@ def _placed(docs: DataFrame, width: int, percent: int, text: str = "text", doc_i
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    counted = tables.store(source.mapInArrow(_counted(width), COUNTED), "rows")
+    counted = tables.store(source.mapInArrow(lean(_counted(width)), COUNTED), "rows")
     rows = counted.where("part IS NULL").select("doc_id", "n", "id")
     shared = spark.sparkContext.broadcast(_rarity(counted))
     first = Tables(spark, "jaccard-sets")
-    sets = first.store(source.select("text").mapInArrow(_rooted(width, percent, shared), "id long, sized long, roots array<long>"), "sets")
+    sets = first.store(source.select("text").mapInArrow(lean(_rooted(width, percent, shared)), "id long, sized long, roots array<long>"), "sets")
     rooted = sets.select(F.explode("roots").alias("g"), "id", "sized", F.col("id").alias("component"))
     # A root that isn't hot has few sets, by the sketch: its rows can meet in one task, in one shuffle.
     hot = F.shiftrightunsigned("g", 56) >= int(math.log2(1 + HOT_ROOT) * RARITY)
@@ -440,7 +443,7 @@ def _placed(docs: DataFrame, width: int, percent: int, text: str = "text", doc_i
     if fetched.count() <= FETCHED:
         fetched = F.broadcast(fetched)
     texts = source.join(fetched, source["doc_id"].eqNullSafe(fetched["doc_id"]), "left_semi").select("text")
-    leaves = tables.store(texts.mapInArrow(_leaves(width, shared), LEAF).dropDuplicates(["id"]), "leaves")
+    leaves = tables.store(texts.mapInArrow(lean(_leaves(width, shared)), LEAF).dropDuplicates(["id"]), "leaves")
 
     links, tested, open_ = [], [], []
     for level in range(ROUNDS + 1):
@@ -463,7 +466,7 @@ def _placed(docs: DataFrame, width: int, percent: int, text: str = "text", doc_i
         its = leaves.select(F.col("id").alias("g"), F.col("tokens").alias("its"))
         pairs = large.where("id <> g").join(its, "g").join(leaves.select("id", "tokens"), "id")
         pairs = pairs.select("g", "id", "sized", "tokens", "its", "component")
-        split = pairs.mapInArrow(_beyond(percent, shared), "roots array<long>, id long, sized long, component long")
+        split = pairs.mapInArrow(lean(_beyond(percent, shared)), "roots array<long>, id long, sized long, component long")
         split = tables.store(split, "split")
         rooted = split.select(F.explode("roots").alias("g"), "id", "sized", "component")
         members = tables.store(_members(tables.store(_met(rooted), "met")), "members")

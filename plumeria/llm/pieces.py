@@ -17,7 +17,7 @@ _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 #: Distinct chunks that one task remembers, and their characters together.
-REMEMBERED, CHARACTERS = 900_000, 24_000_000
+REMEMBERED, CHARACTERS = 250_000, 6_000_000
 #: Words that are encoded together.
 TOGETHER = 1 << 14
 

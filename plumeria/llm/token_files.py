@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumeria.llm.common import stored
 from plumeria.llm.pieces import ChunkEncoder, WordCutter, checked, ranges, text_groups
-from plumeria.llm.words import slices
+from plumeria.llm.words import lean, slices
 
 #: A block is closed at so many ids; a document isn't cut, so a longer one is a block of its own.
 BLOCK_IDS = 1 << 16
@@ -151,7 +151,7 @@ def write_token_files(
     shards = max(1, rows.count() // shard_docs)
     order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    return stored(dealt.mapInArrow(_written(path, end_id, bits), BLOCKS), "token-files")
+    return stored(dealt.mapInArrow(lean(_written(path, end_id, bits)), BLOCKS), "token-files")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
