@@ -24,6 +24,11 @@ SIGNED = 6
 SHORT, LIST_SHORT = 350, 700
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none around."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -52,11 +57,6 @@ def without_repeated_lines(docs: DataFrame, key: str, text: str, most: int = 2)
     return kept.groupBy(key).agg(F.array_join(F.transform(whole, lambda x: x["line"]), "\n").alias(text))
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def _unsigned(text: Column) -> Column:
     """A text with single spaces, without a signature behind its last sentence.
 
@@ -126,10 +126,10 @@ def summary_text(html: Column) -> Column:
 
 
 def character_ngrams(text: Column, n: int) -> Column:
-    """The distinct runs of n characters; cut from the array of characters, so long texts take linear time."""
-    letters = F.split(text, "")
+    """The distinct runs of n characters; a text is cut into characters once, so long ones take linear time."""
     last = F.length(text) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, F.lit(n)), ""))
+    places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    runs = _once(F.split(text, ""), lambda letters: F.transform(places, lambda i: F.array_join(F.slice(letters, i, F.lit(n)), "")))
     return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.scores import md5_number
+from plumeria.operators import asof
 
 
 def first_by_hash(df: DataFrame, group: list[str], n: Column | int, seed: int, *key: str) -> DataFrame:
@@ -33,16 +34,15 @@ def unseen(pool_: DataFrame, seen: DataFrame, user: str, item: str, t: str, s: s
 def group_safe_split(df: DataFrame, group: str, time: str, share: float) -> DataFrame:
     """``part`` (train or valid): groups in order of first time, cut where their rows come nearest to the share.
 
-    One row a group goes through the window, the rows don't.
+    One row a group goes through the prefix sums, dealt by day; the rows don't.
     """
     groups = df.groupBy(group).agg(F.min(time).alias("_t"), F.count("*").alias("_n"))
-    order = Window.orderBy("_t", group)
-    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy())
-    far = F.abs(upto - total * share)
-    placed = groups.withColumn("_upto", upto).withColumn("_far", far)
-    cut = placed.agg(F.min(F.struct("_far", "_upto"))["_upto"].alias("_cut"))
-    sides = placed.join(F.broadcast(cut)).select(group, F.when(F.col("_upto") <= F.col("_cut"), "train").otherwise("valid").alias("part"))  # one row
+    placed = asof.prefix_sums(groups, [], "_t", [F.col("_t"), F.col(group)], 86400, before=F.col("_n"))
+    placed = placed.withColumn("_upto", F.col("before") + F.col("_n"))
+    total = groups.agg(F.sum("_n").alias("_total"))
+    far = F.abs(F.col("_upto") - F.col("_total") * share)
+    cut = placed.join(F.broadcast(total)).agg(F.min(F.struct(far.alias("_far"), "_upto"))["_upto"].alias("_cut"))  # one row each
+    sides = placed.join(F.broadcast(cut)).select(group, F.when(F.col("_upto") <= F.col("_cut"), "train").otherwise("valid").alias("part"))
     return df.join(sides, group)
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions import scores, vectors
-from plumeria.operators import datasets, greedy, ranking
-from plumeria.plans.features import AS_OF, SIZE
+from plumeria.operators import asof, datasets, greedy, ranking
+from plumeria.plans.features import _UNIT, AS_OF, SIZE
 from plumeria.plans.ranking import GROUP, _TASKS, ranked_tasks
 from plumeria.plans.registry import LOG, query
 from plumeria.sources.tables import clicks, event_log, items, requests, table, views
@@ -59,13 +59,13 @@ def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_JUDGED}, r AS (SELECT truth, avg(rn) OVER (PARTITION BY size) AS rs, avg(rt) OVER (PARTITION BY truth) AS rq FROM (SELECT *, row_number() OVER (ORDER BY size) AS rn, row_number() OVER (ORDER BY truth) AS rt FROM judged))
     SELECT round(corr(rs, rq), 6) AS spearman FROM r""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of length and label; average ranks come from counts of distinct values, the rows don't sort."""
+    """Rank correlation of length and label; average ranks come from prefix sums over counts of distinct values."""
     df = judged(spark, sf_dir)
 
     def ranks(c: str) -> DataFrame:
         counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))  # one row a value
-        return counts.select(c, (upto - (F.col("_n") - 1) / 2).alias(f"rank_{c}"))
+        earlier = asof.prefix_sums(counts, [], c, [F.col(c)], 1024, before=F.col("_n"))
+        return earlier.select(c, (F.col("before") + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
 
     return df.join(ranks("size"), "size").join(ranks("truth"), "truth").agg(F.round(F.corr("rank_size", "rank_truth"), 6).alias("spearman"))
 
@@ -148,7 +148,10 @@ def knn_topk_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("asked", "place", "item", F.round("c", 5).alias("cosine"))
 
 
-@query()
+@query(f"""WITH {LOG}, v AS (SELECT item, category, {_UNIT} AS u FROM items i), e AS (SELECT item, category, unnest(u) AS x, unnest(range(64)) AS d FROM v),
+    t AS (SELECT category AS c, d, sum(x) AS total FROM e GROUP BY ALL), n AS (SELECT category AS c, count(*) AS n FROM v GROUP BY category), s AS (SELECT e.item, e.category, t.c, sum(e.x * t.total) AS s FROM e JOIN t USING (d) GROUP BY ALL),
+    k AS (SELECT item, category, max(CASE WHEN category = c AND n > 1 THEN 1 - (s - 1) / (n - 1) END) AS a, min(CASE WHEN category <> c THEN 1 - s / n END) AS b FROM s JOIN n USING (c) GROUP BY ALL)
+    SELECT category, count(*) AS n, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM k GROUP BY category""")
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine silhouette of the labels from sums of unit vectors by label: no pairs are made."""
     v = items(spark, sf_dir).select("item", "category", vectors.unit(F.col("emb")).alias("u"))
@@ -176,10 +179,13 @@ def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LOG}, r AS (SELECT req, t FROM requests) SELECT req, count(item) AS pool FROM r LEFT JOIN items ON pub_s BETWEEN t - 172800 AND t GROUP BY req""")
 def pool_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many items came out in the two days before each request."""
-    asked = requests(spark, sf_dir)
-    found = datasets.pool(asked, items(spark, sf_dir).select("item", "pub_s"), "t", "pub_s", 2 * DAY)
-    return asked.select("req").join(found.groupBy("req").agg(F.count("*").alias("pool")), "req", "left").na.fill(0)
+    """How many items came out in the two days before each request: the difference of two prefix counts, no pairs."""
+    cuts = F.explode(F.array(F.struct(F.lit(1).alias("sign"), (F.col("t") + 1).alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("t") - 2 * DAY).alias("at"))))
+    asked = requests(spark, sf_dir).select("req", cuts.alias("c")).select("req", "c.sign", "c.at", F.lit(0).alias("all_"))
+    out = items(spark, sf_dir).select("pub_s", F.lit(0).alias("all_"))
+    both = asof.merged(asked, out, "all_", "at", "pub_s")
+    counted = asof.prefix_sums(both, [], "at", [F.col("at"), F.col("kind")], 7 * DAY, n=F.col("kind").cast("long")).where("kind = 0")
+    return counted.groupBy("request.req").agg(F.sum(F.col("request.sign") * F.col("n")).alias("pool"))
 
 
 _MD5 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
@@ -251,7 +257,7 @@ def time_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, place, category FROM r WHERE place <= 3""")
 def static_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = items(spark, sf_dir).select("item", "category")
-    counts = clicks(spark, sf_dir).where(F.col("s") < AS_OF).join(kinds, "item").groupBy("user_id", "category").agg(F.count("*").alias("n"))
+    counts = clicks(spark, sf_dir, until=AS_OF).join(kinds, "item").groupBy("user_id", "category").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "category"))
     return counts.withColumn("place", place.cast("long")).where("place <= 3").select("user_id", "place", "category")
 
@@ -271,7 +277,7 @@ def offered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     snapshot = spark.range(1).select(F.lit(0).alias("all_"), F.lit(AS_OF).cast("long").alias("t"))
     pairs = datasets.pool(snapshot, items(spark, sf_dir), "t", "pub_s", 14 * DAY)
-    popular = clicks(spark, sf_dir).where(F.col("s") < AS_OF).groupBy("item").agg(F.count("*").alias("n"))
+    popular = clicks(spark, sf_dir, until=AS_OF).groupBy("item").agg(F.count("*").alias("n"))
     fresh = F.exp(-(F.lit(AS_OF) - F.col("pub_s")) / (48 * 3600.0))
     return pairs.join(popular, "item", "left").select("all_", "item", F.round(fresh + F.log1p(F.coalesce("n", F.lit(0)).cast("double")) / 5, 9).alias("score"), "emb", "pub_s")
 

@@ -93,7 +93,7 @@ _UNIT = "list_transform(emb, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(
 def decayed_profile_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's profile is the half-life weighted sum of clicked unit vectors; its cosine to one item."""
     unit = items(spark, sf_dir).select("item", vectors.unit(F.col("emb")).alias("u"))
-    seen = clicks(spark, sf_dir).where(F.col("s") < AS_OF).join(unit, "item")
+    seen = clicks(spark, sf_dir, until=AS_OF).join(unit, "item")
     weight = scores.half_life(F.lit(AS_OF) - F.col("s"), 7 * DAY)
     sums = seen.groupBy("user_id").agg(F.count("*").alias("n"), *vectors.element_sums(F.col("u"), SIZE, weight))
     target = unit.where("item = 7").select(F.col("u").alias("q"))
@@ -115,7 +115,7 @@ def decayed_profile_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def onboarding_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.4 of the preferred items' direction and 0.6 of the clicked ones', which fade by days."""
     unit = items(spark, sf_dir).select("item", vectors.unit(F.col("emb")).alias("u"))
-    log = event_log(spark, sf_dir, "click", "signup").where(F.col("s") < AS_OF).join(unit, "item")
+    log = event_log(spark, sf_dir, "click", "signup", until=AS_OF).join(unit, "item")
     click = F.col("event_type") == "click"
     fade = F.exp(F.lit(-0.05) * F.floor((F.lit(AS_OF) - F.col("s")) / DAY))
     sums = log.withColumn("kind", click.cast("int")).groupBy("user_id", "kind").agg(
@@ -247,7 +247,7 @@ def cold_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item, k AS clicks, n AS inviews, round((k + 20 * p0) / (n + 20), 6) AS shrunk_ctr FROM c, p""")
 def shrunk_ctr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click-through rates drawn to the rate of all items."""
-    log = event_log(spark, sf_dir, "click", "view").where(F.col("s") < AS_OF)
+    log = event_log(spark, sf_dir, "click", "view", until=AS_OF)
     click = F.col("event_type") == "click"
     counts = log.groupBy("item").agg(F.count_if(click).alias("clicks"), F.count_if(~click).alias("inviews"))
     prior = counts.agg((F.sum("clicks") / F.sum("inviews")).alias("p0"))  # one row

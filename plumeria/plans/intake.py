@@ -266,7 +266,7 @@ def source_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
            round((CASE WHEN item % 3 = 0 THEN 0.5 + 0.3 ELSE 0.5 END) * (0.01 * (item % 100)) + CASE WHEN item % 3 = 0 THEN 0 ELSE 0.3 * 0.5 END + 0.1 * exp(-age / 3600.0 / 48) + 0.1 * least(1.0, ln(1 + item::DOUBLE) / 5), 6) AS prior FROM x""")
 def scalar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decay by whole days, examination by place, click chance, age band, exploring propensity, and the prior score."""
-    x = event_log(spark, sf_dir).where(F.col("s") < AS_OF).withColumn("age", F.lit(AS_OF) - F.col("s"))
+    x = event_log(spark, sf_dir, until=AS_OF).withColumn("age", F.lit(AS_OF) - F.col("s"))
     long, short = F.lit(0.01) * (F.col("item") % 100), F.when(F.col("item") % 3 != 0, F.lit(0.5))
     return x.select(
         "event_id", F.round(scores.floored_decay(F.col("age"), 7, 0.1), 6).alias("floored"), F.round(scores.examination(F.col("item") % 10, F.lit(0.8)), 6).alias("examined"),

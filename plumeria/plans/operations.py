@@ -316,7 +316,7 @@ def fallback_list_every_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     Items are ranked once within their kind. Of a kind no more than the first twenty unseen can be on a list, so
     twenty and as many as the user has seen of it are offered; other kinds only where the preferred ones can't fill it.
     """
-    seen = event_log(spark, sf_dir, "click").where(F.col("s") < AS_OF).select("user_id", "item")
+    seen = event_log(spark, sf_dir, "click", until=AS_OF).select("user_id", "item")
     kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("cat"))
     place = F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("n"), "item"))
     pool = seen.groupBy("item").agg(F.count("*").alias("n")).join(kinds, "item").withColumn("rank", place)

@@ -18,7 +18,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, day, item, label, score): a user's items of a day, whether clicked, scored by popularity."""
     log = event_log(spark, sf_dir, "click", "view").withColumn("day", F.expr("s div 86400"))
     label = F.max((F.col("event_type") == "click").cast("int")).alias("label")
-    popular = clicks(spark, sf_dir).where(F.col("s") < AS_OF).groupBy("item").agg(F.count("*").alias("score"))
+    popular = clicks(spark, sf_dir, until=AS_OF).groupBy("item").agg(F.count("*").alias("score"))
     return log.groupBy(*GROUP, "item").agg(label).join(popular, "item", "left").na.fill(0)
 
 
@@ -170,10 +170,10 @@ def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a viewed item's category is one of the three that the user clicked most before the snapshot."""
     kinds = items(spark, sf_dir).select("item", "category")
-    counts = clicks(spark, sf_dir).where(F.col("s") < AS_OF).join(kinds, "item").groupBy("user_id", "category").agg(F.count("*").alias("n"))
+    counts = clicks(spark, sf_dir, until=AS_OF).join(kinds, "item").groupBy("user_id", "category").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "category"))
     cats = counts.withColumn("r", place).where("r <= 3").groupBy("user_id").agg(F.collect_set("category").alias("cats"))
-    seen = event_log(spark, sf_dir, "view").where(F.col("s") >= AS_OF).join(kinds, "item").join(cats, "user_id", "left")
+    seen = event_log(spark, sf_dir, "view", since=AS_OF).join(kinds, "item").join(cats, "user_id", "left")
     return seen.select(
         "event_id", F.when(F.col("cats").isNull(), 0).otherwise(F.size("cats")).cast("long").alias("user_ncat"),
         F.coalesce(F.array_contains("cats", F.col("category")), F.lit(False)).cast("int").alias("is_cat_match"),

@@ -126,24 +126,28 @@ def url_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"), section.alias("section"), F.coalesce(F.element_at(names, section), F.lit("other")).alias("category"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, left(text, 60) AS a, lead(left(text, 60)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
-    g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS y FROM t WHERE b IS NOT NULL)
-    SELECT conv_id, turn, round(CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM g""")
+_TURNS = """WITH t AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+    g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, length(a) - {m} + 1), lambda i: substr(a, i, {n}))) AS x, list_distinct(list_transform(range(1, length(b) - {m} + 1), lambda i: substr(b, i, {n}))) AS y FROM t WHERE b IS NOT NULL)
+    SELECT conv_id, turn, round(CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM g"""
+
+
+@query(_TURNS.format(n=2, m=1))
 def char_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of the beginnings of turns that follow one another, by pairs of characters."""
-    return turn_likeness(spark, sf_dir, F.substring("text", 1, 60))
+    """Likeness of whole turns that follow one another, by pairs of characters."""
+    return turn_likeness(spark, sf_dir, 2)
 
 
-@query()
+@query(_TURNS.format(n=5, m=4))
 def turn_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``char_ngram_jaccard`` over whole turns."""
-    return turn_likeness(spark, sf_dir, F.col("text"))
+    """``char_ngram_jaccard`` by runs of five characters."""
+    return turn_likeness(spark, sf_dir, 5)
 
 
-def turn_likeness(spark: SparkSession, sf_dir: str, words: Column) -> DataFrame:
+def turn_likeness(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("a"), F.lead(words).over(w).alias("b")).where("b IS NOT NULL")
-    likeness = text.jaccard(text.character_ngrams(F.col("a"), 2), text.character_ngrams(F.col("b"), 2))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b IS NOT NULL")
+    t = t.select("conv_id", "turn", text.character_ngrams(F.col("a"), n).alias("a"), text.character_ngrams(F.col("b"), n).alias("b"))
+    likeness = text.jaccard(F.col("a"), F.col("b"))
     return t.select("conv_id", "turn", F.round(likeness, 6).alias("jaccard"))
 
 
@@ -199,34 +203,40 @@ def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unionByName(equal)
 
 
-@query("""SELECT source, round(max(n) / sum(n), 6) AS top_share, sum(n)::BIGINT AS titles FROM (SELECT source, trim(regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', ' ', 'g'), ' ') AS k, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source""")
+@query("""SELECT source, round(max(n) / sum(n), 6) AS top_share, sum(n)::BIGINT AS titles FROM (SELECT source, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g'), ' ') AS k, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source""")
 def duplicate_title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of the most frequent normalised title of a source."""
-    return title_shares(spark, sf_dir, F.substring("text", 1, 30))
+    """The share of the most frequent normalised title, the first line of a text, of a source."""
+    return title_shares(spark, sf_dir, F.split("text", "\n")[0])
 
 
-@query()
+@query("""SELECT source, round(max(n) / sum(n), 6) AS top_share, sum(n)::BIGINT AS titles FROM (SELECT source, coalesce(split_part(text, chr(10), 1), '') AS k, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source""")
 def first_line_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``duplicate_title_ratio`` with the whole first line of a text as its title."""
-    return title_shares(spark, sf_dir, F.split("text", "\n")[0])
+    """``duplicate_title_ratio`` by the first lines as they stand."""
+    return line_shares(spark, sf_dir, F.split("text", "\n")[0])
 
 
 def title_shares(spark: SparkSession, sf_dir: str, title: Column) -> DataFrame:
-    key = F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "))
+    return line_shares(spark, sf_dir, F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " ")))
+
+
+def line_shares(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
     counts = documents(spark, sf_dir).groupBy("source", key.alias("k")).agg(F.count("*").alias("n"))
     return counts.groupBy("source").agg(F.round(F.max("n") / F.sum("n"), 6).alias("top_share"), F.sum("n").alias("titles"))
 
 
-@query("""WITH w AS (SELECT doc_id, source, unnest(list_distinct(list_filter(string_split(lower(left(text, 400)), ' '), lambda x: length(x) >= 6))) AS k FROM documents),
+@query("""WITH w AS (SELECT doc_id, source, unnest(list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 6))) AS k FROM documents),
     n AS (SELECT source, count(*) AS size FROM documents GROUP BY source), c AS (SELECT source, k, count(*) AS n FROM w GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, length(k) DESC, k) AS place FROM c)
     SELECT source, place, k AS term, round(r.n / size, 6) AS coverage FROM r JOIN n USING (source) WHERE place <= 3""")
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long words that most documents of a source hold near their beginning."""
-    return terms(spark, sf_dir, F.split(F.lower(F.substring("text", 1, 400)), " ", -1))
+    """The long words, parted by spaces, that most documents of a source hold."""
+    return terms(spark, sf_dir, F.split(F.lower("text"), " ", -1))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, source, unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: length(x) >= 6))) AS k FROM documents),
+    n AS (SELECT source, count(*) AS size FROM documents GROUP BY source), c AS (SELECT source, k, count(*) AS n FROM w GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, length(k) DESC, k) AS place FROM c)
+    SELECT source, place, k AS term, round(r.n / size, 6) AS coverage FROM r JOIN n USING (source) WHERE place <= 3""")
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``top_terms`` over whole documents, words being runs without white space."""
     return terms(spark, sf_dir, F.split(F.lower("text"), r"\s+", -1))

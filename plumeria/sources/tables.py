@@ -18,9 +18,18 @@ def micros(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} AS TIMESTAMP_NTZ))")
 
 
-def event_log(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """(event_id, user_id, event_type, value, item, us, s) of the events of these types, or of all."""
+def instant(second: int) -> Column:
+    """A second as a literal of the raw column's type, so a filter on it reaches the files."""
+    return F.expr(f"timestampadd(SECOND, {second}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+
+def event_log(spark: SparkSession, sf_dir: str, *kinds: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """(event_id, user_id, event_type, value, item, us, s) of the events of these types, or of all, of since <= s < until."""
     events = table(spark, sf_dir, "events")
+    if since is not None:
+        events = events.where(F.col("ts") >= instant(since))
+    if until is not None:
+        events = events.where(F.col("ts") < instant(until))
     if kinds:
         events = events.where(F.col("event_type").isin(*kinds))
     item = F.get_json_object("props", "$.k").cast("long")
@@ -28,12 +37,12 @@ def event_log(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return log.withColumn("s", F.expr("us div 1000000"))
 
 
-def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_log(spark, sf_dir, "click").drop("event_type", "value")
+def clicks(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    return event_log(spark, sf_dir, "click", since=since, until=until).drop("event_type", "value")
 
 
-def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_log(spark, sf_dir, "view").drop("event_type", "value")
+def views(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    return event_log(spark, sf_dir, "view", since=since, until=until).drop("event_type", "value")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
