@@ -3,7 +3,7 @@
 A text's key is the 64-bit hash of its normalised form (without ASCII white space). The index holds one entry for
 each key with its number of rows. The directory addresses buckets by the leading bits of the key: it starts with one
 cell, and as long as a bucket holds more than ``bucket_capacity`` keys, it is split by the next bit (the directory
-doubles), down to ``2**max_depth`` cells. Owner tasks process ranges of the directory: the entries are written to the
+doubles), down to as many cells as the number of keys calls for. Owner tasks process ranges of the directory: the entries are written to the
 shared folder ranged by bucket. Keys that several rows share form a chain; its texts are compared byte for byte, so
 two texts with one hash stay apart, at any depth.
 
@@ -13,6 +13,8 @@ group meet their class in a join that adaptive execution can split.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ SALTS = 32
 
 def _best(n_points: str = "n_points", doc_id: str = "doc_id") -> Column:
     """Orders rows of a class: those with a doc_id first, then most code points, then the smallest doc_id."""
-    return F.max(F.struct(F.col(doc_id).isNotNull().alias("has_id"), F.col(n_points).alias("n"), (-F.col(doc_id)).alias("d")))
+    return F.max(F.struct(F.col(doc_id).isNotNull().alias("has_id"), F.col(n_points).alias("n"), F.bitwise_not(doc_id).alias("d")))
 
 
 def directory(entries: DataFrame, bucket_capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -38,7 +40,7 @@ def directory(entries: DataFrame, bucket_capacity: int = BUCKET_CAPACITY, max_de
     """
     cells = entries.groupBy(cell_of("key", max_depth).alias("cell")).agg(F.count("*").alias("in_cell"))
     levels = cells.select("cell", "in_cell", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    first = F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)")
+    first = F.expr(f"shiftleft(shiftrightunsigned(cell, {max_depth} - depth), {max_depth} - depth)")
     levels = levels.select("cell", "in_cell", "depth", first.alias("bucket"))
     buckets = levels.groupBy("depth", "bucket").agg(F.sum("in_cell").alias("n_keys"))
     fits = (F.col("n_keys") <= bucket_capacity) | (F.col("depth") == max_depth)
@@ -52,17 +54,21 @@ def directory(entries: DataFrame, bucket_capacity: int = BUCKET_CAPACITY, max_de
 
 def cell_of(key: str, max_depth: int = MAX_DEPTH) -> Column:
     """The directory cell of a key: its leading ``max_depth`` bits."""
-    return F.shiftrightunsigned(key, 64 - max_depth).cast("int")
+    return F.shiftrightunsigned(key, 64 - max_depth)
 
 
-def build_index(rows: DataFrame, bucket_capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def build_index(rows: DataFrame, bucket_capacity: int = BUCKET_CAPACITY, max_depth: int | None = None) -> DataFrame:
     """The index over ``rows`` (column ``key``), read back from the shared folder: key, n_rows, bucket, depth, n_keys.
 
-    Entries lie in files ranged by bucket, ordered by key within a bucket; each file belongs to one owner task.
+    Entries lie in files ranged by bucket, ordered by key within a bucket; each file belongs to one owner task. Unless
+    given, the greatest depth is ``MAX_DEPTH`` or four bits more than evenly spread keys need.
     """
     entries = stored(rows.groupBy("key").agg(F.count("*").alias("n_rows")), "dedup-entries")
-    # At most 2**max_depth rows of five integers: about 2 MB at the default depth.
-    cells = F.broadcast(directory(entries, bucket_capacity, max_depth))
+    if max_depth is None:
+        max_depth = min(60, max(MAX_DEPTH, math.ceil(math.log2(max(1, entries.count() / bucket_capacity))) + 4))
+    cells = directory(entries, bucket_capacity, max_depth)
+    if max_depth <= MAX_DEPTH:  # at most 2**16 rows of five integers, about 2 MB; a larger directory is joined
+        cells = F.broadcast(cells)
     placed = entries.withColumn("cell", cell_of("key", max_depth)).join(cells, "cell").drop("cell")
     placed = placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
     return stored(placed.select("key", "n_rows", "bucket", "depth", "n_keys"), "dedup-index")
@@ -73,7 +79,7 @@ def exact_dedup(
     text: str = "text",
     doc_id: str = "doc_id",
     bucket_capacity: int = BUCKET_CAPACITY,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     key: Column | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
@@ -92,7 +98,7 @@ def _decided(
     text: str = "text",
     doc_id: str = "doc_id",
     bucket_capacity: int = BUCKET_CAPACITY,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     key: Column | None = None,
 ) -> DataFrame:
     """The rows of ``exact_dedup`` with their code points and those of the row that stays."""
@@ -117,7 +123,7 @@ def _decided(
         classes.select(
             "key",
             F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-            (-F.col("best.d")).alias("keep_id"),
+            F.bitwise_not("best.d").alias("keep_id"),
             F.col("best.n").alias("best_points"),
             "group_size",
         ),

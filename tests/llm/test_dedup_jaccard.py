@@ -182,6 +182,8 @@ def test_exact_dedup_equals_brute_force(spark, options):
 
 
 def test_exact_dedup_of_empty_and_repeated_rows(spark):
+    ends = exact_dedup(documents(spark, [(-(2**63), "x"), (2**63 - 1, "x"), (5, "y")])).collect()
+    assert {(x.doc_id, x.keep_id) for x in ends} == {(-(2**63), -(2**63)), (2**63 - 1, -(2**63)), (5, 5)}
     assert exact_dedup(documents(spark, [])).count() == 0
     found = exact_dedup(documents(spark, [(1, "x"), (1, "x"), (2, "x ")])).collect()
     assert sorted((x.doc_id, x.keep_id, x.group_size) for x in found) == [(1, 2, 3), (1, 2, 3), (2, 2, 3)]
