@@ -308,23 +308,25 @@ def _met(rooted: DataFrame) -> DataFrame:
 def _members(met: DataFrame) -> DataFrame:
     """``met`` with the pivots of g.
 
-    p, p_n: the smallest set; c, c_n: the one with the commonest tokens; held: the sets of g.
+    p, p_n, p_of: the smallest set, its size and component; c, c_n, c_of: those of the set with the commonest tokens;
+    held: the sets of g.
     """
     low = F.col("id").bitwiseAND(F.lit(0xFFFFFFFF))
     small = F.shiftleft(F.shiftright("sized", 16), 32).bitwiseOR(low)
     central = F.shiftleft(F.col("sized").bitwiseAND(F.lit(0xFFFF)), 32).bitwiseOR(low)
     pivots = met.groupBy("g").agg(
-        F.min_by("id", small).alias("p"), F.min(F.shiftright("sized", 16)).alias("p_n"),
-        F.max_by("id", central).alias("c"), F.max_by(F.shiftright("sized", 16), central).alias("c_n"), F.count("*").alias("held"),
+        F.min_by("id", small).alias("p"), F.min(F.shiftright("sized", 16)).alias("p_n"), F.min_by("component", small).alias("p_of"),
+        F.max_by("id", central).alias("c"), F.max_by(F.shiftright("sized", 16), central).alias("c_n"),
+        F.max_by("component", central).alias("c_of"), F.count("*").alias("held"),
     )
     return met.withColumn("n", F.shiftright("sized", 16)).join(pivots, "g")
 
 
 def _spokes(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every set and the pivots of its nodes, where their sizes allow a link."""
+    """(a, b): every set and the pivots of its nodes of other components, where their sizes allow a link."""
     fits = lambda k: (F.col(k) * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col(k) * percent)
-    to_small = members.where(F.col("id") != F.col("p")).where(fits("p_n")).select(F.col("p").alias("a"), F.col("id").alias("b"))
-    to_centre = members.where("held > 2 AND id <> c AND c <> p").where(fits("c_n")).select(F.col("c").alias("a"), F.col("id").alias("b"))
+    to_small = members.where("id <> p AND component <> p_of").where(fits("p_n")).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    to_centre = members.where("held > 2 AND id <> c AND c <> p AND component <> c_of").where(fits("c_n")).select(F.col("c").alias("a"), F.col("id").alias("b"))
     pairs = to_small.unionByName(to_centre)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
