@@ -18,6 +18,8 @@ CHUNKS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 #: Distinct chunks that one task remembers, and their characters together.
 REMEMBERED, CHARACTERS = 250_000, 6_000_000
+#: The same where an encoder costs more than the memory.
+REMEMBERED_MORE = 900_000
 #: Words that are encoded together.
 TOGETHER = 1 << 14
 
@@ -60,16 +62,16 @@ class Runs:
             self.new.append(name)
             return number
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED):
         """``learn`` gives (flat integers, how many each) for new strings."""
-        self._learn = learn
+        self._learn, self._remembered = learn, remembered
         self._numbers, self._held = self._Numbers(), 0
         self._values, self._lengths, self._starts = (np.empty(0, np.int64) for _ in range(3))
 
     def __call__(self, lists: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """The runs of all strings, one after another, their lengths, and how many strings each list has."""
-        if len(self._numbers) > REMEMBERED or self._held > CHARACTERS:
-            self.__init__(self._learn)
+        if len(self._numbers) > self._remembered or self._held > CHARACTERS * self._remembered // REMEMBERED:
+            self.__init__(self._learn, self._remembered)
         find = self._numbers.__getitem__
         which: list[int] = []
         counts = []
@@ -126,8 +128,8 @@ def whole(key: str) -> str:
 class ChunkEncoder:
     """Ids of texts; ``encode`` turns distinct chunks into (flat ids, number of ids of each chunk)."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self._chunks = Runs(lambda keys: encode(list(map(whole, keys))))
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED):
+        self._chunks = Runs(lambda keys: encode(list(map(whole, keys))), remembered)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each text has."""
@@ -141,7 +143,7 @@ class WordCutter:
     ``special`` are strings that are one word wherever they stand.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: Iterable[str] = ()):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: Iterable[str] = (), remembered: int = REMEMBERED):
         self._special = sorted(special, key=len, reverse=True)
         self._marks = regex.compile("(" + "|".join(map(regex.escape, self._special)) + ")") if self._special else None
         self._find = regex.compile(PATTERN).findall
@@ -150,7 +152,7 @@ class WordCutter:
             parts = [encode(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
             return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
 
-        self._words = Runs(learn)
+        self._words = Runs(learn, remembered)
 
     def _cut(self, chunk: str) -> list[str]:
         # Most chunks are a space and letters, and perhaps a mark; isalpha() is true for letters alone, as \p{L} is.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.llm.common import stored
-from plumeria.llm.pieces import ChunkEncoder, WordCutter, checked, ranges, text_groups
+from plumeria.llm.pieces import REMEMBERED_MORE, ChunkEncoder, WordCutter, checked, ranges, text_groups
 from plumeria.llm.words import lean, slices
 
 #: A block is closed at so many ids; a document isn't cut, so a longer one is a block of its own.
@@ -96,7 +96,7 @@ def library(path: str) -> tuple[ChunkEncoder, int]:
         return ids, counts
 
     special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    return ChunkEncoder(WordCutter(encode, special)), tokenizer.get_vocab_size(with_added_tokens=True)
+    return ChunkEncoder(WordCutter(encode, special, REMEMBERED_MORE), REMEMBERED_MORE), tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 def _written(path: str, end_id: int | None, bits: int | None):
