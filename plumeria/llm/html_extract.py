@@ -91,7 +91,10 @@ _ENDINGS = tuple(".!?\u2026\u3002\"\u201d\u00bb")
 
 @dataclass(slots=True)
 class Node:
-    """An open element: its tag, its evidence for content with that of its ancestors, its parent."""
+    """An open element: its tag, its evidence for content with that of its ancestors, its parent.
+
+    ``block`` is the nearest block-level element or the root, none where the element is one itself.
+    """
 
     tag: str
     parent: Node | None
@@ -100,6 +103,7 @@ class Node:
     dropped: bool = False
     link: bool = False
     heading: bool = False
+    block: Node | None = None
 
 
 @dataclass(slots=True)
@@ -184,9 +188,7 @@ def blocks(page: str) -> list[Block]:
             if "&" in text:
                 text = html.unescape(text)
             if not parts:
-                owner = node
-                while owner.parent is not None and owner.tag not in BLOCK_TAGS:
-                    owner = owner.parent
+                owner = node.block or node
             parts.append(text)
             if node.link:
                 linked += len(text.strip())
@@ -246,6 +248,7 @@ def blocks(page: str) -> list[Block]:
         child.dropped = node.dropped or tag in DROPPED_TAGS or hidden
         child.link = node.link or tag == "a"
         child.heading = node.heading or tag in HEADINGS
+        child.block = None if tag in BLOCK_TAGS else node.block or node
         node = child
         open_[tag] += 1
     close()

@@ -63,6 +63,8 @@ def write_archive(pages: DataFrame, shard_records: int = SHARD_RECORDS, page_id:
     same = rows["page_id"].eqNullSafe(F.col("_id")) & (rows["sha"] == places["sha"])
     placed = ["shard", "seq", "page_id", "offset", "length", "record"]
     one = rows.join(places.where("copies = 1"), same).select(*placed)
+    if places.where("copies > 1").isEmpty():
+        return stored(one, "warc")
     many = rows.join(places.where("copies > 1"), same).select("shard", "seq", "page_id", "offset", "length", "record", "copies")
     many = many.dropDuplicates(["shard", "seq"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     many = many.withColumn("seq", F.col("seq") + F.col("copy")).withColumn("offset", F.col("offset") + F.col("copy") * F.col("length"))
