@@ -302,10 +302,10 @@ def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOG}, k AS (SELECT DISTINCT user_id, item FROM clicks) SELECT event_id, (k.user_id IS NOT NULL)::INTEGER AS clicked FROM views LEFT JOIN k USING (user_id, item)")
 def packed_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a view's (user, item) is among the clicked pairs, by one packed key."""
-    key = (F.shiftleft("user_id", 20) + F.col("item")).alias("key")
-    pairs = clicks(spark, sf_dir).select(key).distinct().withColumn("clicked", F.lit(1))
-    return event_log(spark, sf_dir, "view").select("event_id", key).join(pairs, "key", "left").select("event_id", F.coalesce("clicked", F.lit(0)).alias("clicked"))
+    """Whether a view's (user, item) is among the clicked pairs; a pair without user or item is never."""
+    key = ["user_id", "item"]
+    pairs = clicks(spark, sf_dir).select(*key).distinct().withColumn("clicked", F.lit(1))
+    return event_log(spark, sf_dir, "view").select("event_id", *key).join(pairs, key, "left").select("event_id", F.coalesce("clicked", F.lit(0)).alias("clicked"))
 
 
 @query(f"""WITH {LOG}, c AS (SELECT item, count(*) FILTER (event_type = 'click') AS k, count(*) FILTER (event_type = 'view') AS n FROM log GROUP BY item),

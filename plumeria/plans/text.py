@@ -137,12 +137,6 @@ def char_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_likeness(spark, sf_dir, 2)
 
 
-@query(_TURNS.format(n=5, m=4))
-def turn_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``char_ngram_jaccard`` by runs of five characters."""
-    return turn_likeness(spark, sf_dir, 5)
-
-
 def turn_likeness(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b IS NOT NULL")

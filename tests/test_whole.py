@@ -189,7 +189,7 @@ def test_whole_texts_are_read(spark, tmp_path):
         if c == d:
             want[c, k] = round(len(pairs(a) & pairs(b)) / len(pairs(a) | pairs(b)), 6)
     assert min(want.values()) < 1
-    assert {(x.conv_id, x.turn): x.jaccard for x in QUERIES["turn_jaccard"](spark, str(tmp_path)).collect()} == want
+    assert {(x.conv_id, x.turn): x.jaccard for x in QUERIES["char_ngram_jaccard"](spark, str(tmp_path)).collect()} == want
 
     title = "a long title of one press, the "
     docs = [(i, "s", f"{title}{i % 4 and i}th\n" + "short " * 90 + ("\nbelated" if i % 3 else " remote") + ("\tsecondly" if i < 9 else "")) for i in range(20)]
