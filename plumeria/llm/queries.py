@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumeria.llm import bpe, html_extract, matroska, mixing, quality, token_files, toxicity, warc_fixity
 from plumeria.llm.common import table
 from plumeria.llm.exact_dedup import exact_dedup
 from plumeria.llm.jaccard_join import jaccard_components
+from plumeria.llm.line_dedup import deduped_lines
 
 
 def vocabulary() -> str:
@@ -65,6 +67,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = deduped_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_min_cut": op1_html_min_cut,
     "op2_matroska_media": op2_matroska_media,
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_ordinal": op9_quality_ordinal,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -194,4 +202,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, l.component_id
         FROM documents d JOIN least l ON l.u = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
     """,
+    "op11_line_dedup": r"""
+        WITH l AS (
+            SELECT row, doc_id, unnest(s) AS line, unnest(range(len(s))) AS i, len(s) AS n_lines
+            FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+        ), k AS (
+            SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+        ), held AS (
+            SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key
+            HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INTEGER) >= 3
+        ), j AS (
+            SELECT k.*, held.key IS NOT NULL AND doc_id IS DISTINCT FROM keep AS lost FROM k LEFT JOIN held ON held.key = k.key
+        )
+        SELECT any_value(doc_id) AS doc_id, any_value(n_lines)::BIGINT AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+        FROM j GROUP BY row
+    """,
 }
