@@ -12,6 +12,7 @@ from plumeria.llm.common import table
 from plumeria.llm.exact_dedup import exact_dedup
 from plumeria.llm.jaccard_join import jaccard_components
 from plumeria.llm.line_dedup import deduped_lines
+from plumeria.llm.periodic import periodic_runs
 
 
 def vocabulary() -> str:
@@ -72,6 +73,30 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def with_periods(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): by a hash of its id, a tenth of the documents repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h"))
+    d = d.select("doc_id", "text", "h", F.when(F.col("h") % 10 == 0, words).alias("words"))
+    d = d.selectExpr("doc_id", "text", "words", "size(words) AS n", "h div 10 AS g")
+    d = d.selectExpr("*", "CASE WHEN n > 0 THEN cast(g % n AS int) END AS a")
+    d = d.selectExpr("*", "cast(1 + (n - a) div (3 + g % 8) AS int) AS p")
+    again = "slice(flatten(array_repeat(slice(words, a + 1, p), cast(1 + (n - a) div p AS int))), 1, n - a)"
+    return d.selectExpr("doc_id", f"CASE WHEN n > 0 THEN concat_ws(' ', concat(slice(words, 1, a), {again})) ELSE text END AS text")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    lines = F.array_join(F.transform("runs", line), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_min_cut": op1_html_min_cut,
     "op2_matroska_media": op2_matroska_media,
@@ -84,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_ordinal": op9_quality_ordinal,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
