@@ -42,7 +42,7 @@ def _row(block: int, part: int, arrays: list[np.ndarray]) -> pa.RecordBatch | No
 
 
 def merged(rows: DataFrame, dtypes: list[str], add: Add, fan: int = FAN) -> DataFrame:
-    """One row for each block of ``rows``: all its parts put together by ``add``."""
+    """One row for each block of ``rows``: all its parts put together by ``add``, level by level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, []

@@ -13,6 +13,7 @@ from plumeria.llm.exact_dedup import exact_dedup
 from plumeria.llm.jaccard_join import jaccard_components
 from plumeria.llm.line_dedup import deduped_lines
 from plumeria.llm.periodic import periodic_runs
+from plumeria.llm.phrases import collocations
 
 
 def vocabulary() -> str:
@@ -97,6 +98,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_min_cut": op1_html_min_cut,
     "op2_matroska_media": op2_matroska_media,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_line_dedup": op11_line_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -245,4 +251,38 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
         FROM j GROUP BY row
     """,
+    "op13_phrase_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), p AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+        ), g AS (
+            SELECT lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]),
+                   list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) AS phrase
+            FROM p
+        ), f AS (
+            SELECT lang, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY lang, phrase
+        ), totals AS (
+            SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(w) = 1 GROUP BY lang
+        ), c AS (
+            SELECT * FROM f WHERE len(w) >= 2 AND f >= 10
+        ), cuts AS (
+            SELECT lang, phrase, f AS a, unnest(range(1, len(w))) AS k, w FROM c
+        ), scored AS (
+            SELECT x.lang, x.phrase, x.a, k, l.f AS l, r.f AS r,
+                   ((x.a::HUGEINT * x.a * 1000000) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[:k], ' ')
+                        JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[k+1:], ' ')
+        ), best AS (
+            SELECT lang, phrase, a, unnest(min_by({'l': l, 'r': r, 'score': score}, {'s': score, 'k': k})) FROM scored GROUP BY lang, phrase, a
+        ), kept AS (
+            SELECT b.* FROM best b WHERE NOT EXISTS (
+                SELECT 1 FROM c WHERE len(c.w) = 3 AND c.lang = b.lang AND len(string_split(b.phrase, ' ')) = 2
+                AND (array_to_string(c.w[1:2], ' ') = b.phrase OR array_to_string(c.w[2:3], ' ') = b.phrase) AND 100 * c.f >= 50 * b.a)
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
 }

@@ -12,7 +12,9 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from plumeria.llm import line_dedup, periodic
+from pyspark.sql import functions as F
+
+from plumeria.llm import line_dedup, perfect_hash, periodic, phrases
 from plumeria.llm.queries import QUERIES, with_periods
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -195,3 +197,77 @@ def test_runs_query(spark, tmp_path):
 
 def test_runs_of_an_empty_table(spark):
     assert periodic.periodic_runs(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+# Phrases
+
+
+def plain_phrases(docs, least=10, words=3, inside=50, top=2000):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    f, n = defaultdict(int), defaultdict(int)
+    for _, text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", (text or "").translate(lower)):
+            own = re.findall(r"[^ \t]+", piece)
+            n[lang] += len(own)
+            for k in range(1, words + 1):
+                for i in range(len(own) - k + 1):
+                    f[lang, tuple(own[i : i + k])] += 1
+    rows = defaultdict(list)
+    long = {key for key, a in f.items() if a >= least and len(key[1]) > 1}
+    for lang, p in long:
+        a = f[lang, p]
+        if any(x == lang and len(q) > len(p) and 100 * f[x, q] >= inside * a and any(q[i : i + len(p)] == p for i in range(len(q))) for x, q in long):
+            continue
+        score, cut = min((1_000_000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+        rows[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:cut]], f[lang, p[cut:]], cut))
+    return sorted((lang, i, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0], x[5]) for lang, own in rows.items() for i, x in enumerate(sorted(own)[:top], 1))
+
+
+def phrase_documents():
+    rng = random.Random(12)
+    vocabulary = ["New", "york", "York", "city", "ÉTÉ", "été", "a", "the", "of", "\xa0", "x" * 300] + [f"w{k}" for k in range(40)]
+    docs = []
+    for i in range(160):
+        own = [rng.choice(vocabulary) for _ in range(rng.randint(0, 120))]
+        for _ in range(3):
+            own.insert(rng.randint(0, len(own)), rng.choice(["new york city", "NEW  york\tcity", "the the the the", "of a"]))
+        text = "".join(w + rng.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "!\r\n"]) for w in own)
+        docs.append((i, text, rng.choice(["en", "en", "de", None, "und", ""])))
+    return docs + [(5, docs[5][1], docs[5][2]), (None, docs[6][1], "en"), (900, None, "en"), (901, "", "fr"), (902, " .,\n", "fr"), (903, "z" * 700_000 + " of a" * 120_000, "en")]
+
+
+@pytest.mark.parametrize(("words", "options"), [(3, {}), (3, {"cells": 1 << 16, "round_keys": 150, "top": 30}), (4, {"least": 5, "inside": 80, "top": None}), (2, {})])
+def test_phrases(spark, monkeypatch, words, options):
+    if "round_keys" in options:
+        monkeypatch.setattr(phrases.perfect_hash, "shard_bits", lambda n: 4)
+    docs = phrase_documents()
+    frame = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, lang string, phrase int, key string").repartition(5)
+    found = phrases.collocations(frame, words=words, **options).select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "cut")
+    want = plain_phrases(docs, options.get("least", 10), words, options.get("inside", 50), options.get("top", 2000) or 10**9)
+    assert sorted(map(tuple, found.collect())) == want
+    assert len(want) > 60
+
+
+def test_phrases_scores_past_64_bits(spark):
+    big = 4_000_000_000
+    row = spark.createDataFrame([(big, big + 1, big + 7)], "a long, l long, r long").select(phrases._score(*map(F.col, "alr"))).first()
+    assert row[0] == 1_000_000 * big * big // ((big + 1) * (big + 7))
+
+
+def test_phrases_of_an_empty_table(spark):
+    assert phrases.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 70_000])
+def test_perfect_hash(spark, n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1))
+    sizes, bits, stored = perfect_hash.build(keys)
+    assert sorted(stored.tolist()) == keys.tolist() and sum(sizes) == 64 * len(bits)
+    high = perfect_hash.shard_bits(len(keys), 1 << 10)
+    frame = spark.createDataFrame([(k,) for k in keys.view(np.int64).tolist()[:5000]], "key long")
+    slots = perfect_hash.Slots(perfect_hash.shards(frame, high).collect(), high)
+    held = keys[:5000]
+    assert sorted(slots.find(held).tolist()) == list(range(len(held)))
+    assert (slots.find(held) >= 0).all() and (slots.find(held + np.uint64(1)) == -1).all()
