@@ -12,14 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
 from plumeria.llm.words import mix
 
 #: Keys of a shard, about, and places for each key at a level.
 SHARD_KEYS, ROOM = 1 << 15, 2
+#: Leading bits of a key that name its bin.
+BINS = 10
 _LEVELS = 64
-SCHEMA = "shard long, sizes array<int>, bits binary, keys binary"
+SCHEMA = "bin long, sub long, extra long, sizes array<int>, bits binary, keys binary"
 
 
 def _places(keys: np.ndarray, level: int, size: np.ndarray | int) -> np.ndarray:
@@ -46,49 +47,56 @@ def build(keys: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
     return sizes, np.concatenate([empty, *bits]), np.concatenate([empty, *stored])
 
 
-def shard_bits(n_keys: int, shard_keys: int = SHARD_KEYS) -> int:
-    """The leading bits of a key that name its shard."""
-    return max(0, (n_keys - 1).bit_length() - (shard_keys.bit_length() - 1)) if n_keys else 0
+def binned(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct keys as rows (bin, keys), the input of ``shards``."""
+    cuts = np.searchsorted(keys, np.arange(1 << BINS, dtype=np.uint64) << np.uint64(64 - BINS)).tolist() + [len(keys)]
+    rows = [{"bin": k, "keys": keys[low:up].tobytes()} for k, (low, up) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if low < up]
+    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bin", pa.int64()), ("keys", pa.binary())]))
 
 
-def shards(keys: DataFrame, high: int) -> DataFrame:
-    """A row for each shard of the distinct keys (column ``key``); a task builds one shard after another."""
+def shards(rows: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """The shards of all keys in ``rows`` (bin, keys), each key once however often it comes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(shard: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-            sizes, bits, stored = build(np.concatenate(parts))
-            one = {"shard": shard, "sizes": sizes, "bits": bits.tobytes(), "keys": stored.tobytes()}
-            types = [("shard", pa.int64()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("keys", pa.binary())]
-            return pa.RecordBatch.from_pylist([one], schema=pa.schema(types))
+    A task takes one bin of leading bits after another, and cuts it by the bits that follow into shards of about
+    ``shard_keys``. It holds the keys of one bin.
+    """
+    schema = pa.schema([("bin", pa.int64()), ("sub", pa.int64()), ("extra", pa.int64()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("keys", pa.binary())])
+
+    def built(bin_: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        extra = max(0, (len(keys) - 1).bit_length() - (shard_keys - 1).bit_length())
+        sub = (keys >> np.uint64(64 - BINS - extra)) & np.uint64((1 << extra) - 1)
+        for k in range(1 << extra):
+            sizes, bits, stored = build(keys[sub == k])
+            one = {"bin": bin_, "sub": k, "extra": extra, "sizes": sizes, "bits": bits.tobytes(), "keys": stored.tobytes()}
+            yield pa.RecordBatch.from_pylist([one], schema=schema)
 
-        at, parts = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, waiting, held = None, np.empty(0, np.uint64), [], 0
         for batch in batches:
-            own, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-            for low, up in zip(cuts[:-1], cuts[1:], strict=True):
-                if up == low:
-                    continue
-                if own[low] != at and parts:
-                    yield row(at, parts)
-                    parts = []
-                at = int(own[low])
-                parts.append(key[low:up])
-        if parts:
-            yield row(at, parts)
-
-    shard = F.shiftrightunsigned("key", 64 - high) if high else F.lit(0).cast("long")
-    dealt = keys.select(shard.alias("shard"), "key").repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, SCHEMA)
+            for bin_, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bin_ != at:
+                    if at is not None:
+                        yield from built(at, np.unique(np.concatenate([keys, *waiting])))
+                    at, keys, waiting, held = bin_, keys[:0], [], 0
+                waiting.append(np.frombuffer(part, np.uint64))
+                held += len(waiting[-1])
+                if held > max(len(keys), 1 << 20):
+                    keys, waiting, held = np.unique(np.concatenate([keys, *waiting])), [], 0
+        if at is not None:
+            yield from built(at, np.unique(np.concatenate([keys, *waiting])))
+
+    return rows.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, SCHEMA)
 
 
 class Slots:
-    """The slots of the keys of some shards, one shard's after another's."""
+    """The slots of the keys of some bins, one shard's after another's."""
 
-    def __init__(self, rows: list[Row], high: int):
-        rows = sorted(rows, key=lambda r: r["shard"])
-        self.high = high
-        self.which = np.full(1 << high, -1, np.int64)
-        self.which[[r["shard"] for r in rows]] = np.arange(len(rows))
+    def __init__(self, rows: list[Row]):
+        rows = sorted(rows, key=lambda r: (r["bin"], r["sub"]))
+        self.which, self.extra = np.full(1 << BINS, -1, np.int64), np.zeros(1 << BINS, np.uint64)
+        for i, r in enumerate(rows):
+            if not r["sub"]:
+                self.which[r["bin"]], self.extra[r["bin"]] = i, r["extra"]
         depth = max((len(r["sizes"]) for r in rows), default=0)
         self.size = np.zeros((len(rows), depth), np.int64)
         for i, r in enumerate(rows):
@@ -107,8 +115,10 @@ class Slots:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where it isn't in the set."""
         found = np.full(len(keys), -1, np.int64)
-        shard = self.which[(keys >> np.uint64(64 - self.high)).astype(np.int64)] if self.high else np.full(len(keys), self.which[0])
+        bin_ = (keys >> np.uint64(64 - BINS)).astype(np.int64)
+        extra, shard = self.extra[bin_], self.which[bin_]
         left = np.flatnonzero(shard >= 0)
+        shard = shard + ((keys >> (np.uint64(64 - BINS) - extra)) & ((np.uint64(1) << extra) - np.uint64(1))).astype(np.int64)
         for level in range(self.size.shape[1]):
             size = self.size[shard[left], level]
             left, size = left[size > 0], size[size > 0]

@@ -125,10 +125,6 @@ def _saturated(state: list[np.ndarray], places: np.ndarray, values: list[np.ndar
     state[0][places] = np.minimum(state[0][places].astype(np.int64) + values[0], 255)
 
 
-def _summed(state: list[np.ndarray], places: np.ndarray, values: list[np.ndarray]) -> None:
-    state[0][places] += values[0]
-
-
 def frequent_cells(rows: DataFrame, width: int, passed: list, least: int = LEAST, cells: int = CELLS) -> np.ndarray:
     """A bit for each cell of the sketch: whether ``least`` phrases of ``width`` words fell into it. ``cells`` / 8 bytes."""
 
@@ -151,53 +147,87 @@ def frequent_cells(rows: DataFrame, width: int, passed: list, least: int = LEAST
     return np.packbits(blocks.whole(counted.mapInArrow(enough, blocks.SCHEMA), cells, "uint8"), bitorder="little")
 
 
-def candidates(rows: DataFrame, passed: list, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(phrases, languages): (lang, phrase, width, key) of all candidates, and (lang, n) with the number of words."""
+def candidate_keys(rows: DataFrame, passed: list, words: int = WORDS) -> DataFrame:
+    """(bin, keys): the keys of all phrases that pass their levels, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("width", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-        seen = np.empty(0, np.uint64)
+        keys, waiting, held = np.empty(0, np.uint64), [], 0
         for one in _batches(batches):
-            by_language: dict[str, int] = {}
-            for lang, n in zip(one.languages, np.bincount(one.text, minlength=len(one.languages)).tolist(), strict=True):
-                by_language[lang] = by_language.get(lang, 0) + n
-            out = [{"lang": lang, "n": n} for lang, n in by_language.items()]
-            fresh = []
-            for width, begins, hashes in one.levels([x.value for x in passed], words):
-                keys, where = np.unique(hashes, return_index=True)
-                at = np.searchsorted(seen, keys)
-                new = seen[np.minimum(at, len(seen) - 1)] != keys if len(seen) else np.ones(len(keys), bool)
-                fresh.append(keys[new])
-                for key, i in zip(keys[new].view(np.int64).tolist(), begins[where[new]].tolist(), strict=True):
-                    out.append({"lang": one.languages[one.text[i]], "phrase": one.phrase(i, width), "width": width, "key": key})
-            seen = np.sort(np.concatenate([seen, *fresh]))
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            waiting += [hashes for _, _, hashes in one.levels([x.value for x in passed], words)]
+            held += sum(map(len, waiting[-words:]))
+            if held > max(len(keys), 1 << 20):
+                keys, waiting, held = np.unique(np.concatenate([keys, *waiting])), [], 0
+        yield from perfect_hash.binned(np.unique(np.concatenate([keys, *waiting])))
 
-    found = stored(rows.mapInArrow(lean(run), "lang string, phrase string, width int, key long, n long"), "phrases-found")
-    phrases = found.where("phrase IS NOT NULL").groupBy("lang", "phrase", "width").agg(F.first("key").alias("key"))
-    return stored(phrases, "phrases-candidates"), found.where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(run), "bin long, keys binary")
 
 
-def slot_counts(rows: DataFrame, slots, passed: list, words: int = WORDS) -> np.ndarray:
-    """How often each slot's phrase occurs: as many numbers as a round has keys."""
+def _text_marks(one: Words, texts: pa.Array) -> np.ndarray:
+    """A 32-bit hash of each text, for each of its words."""
+    data, offsets = column_bytes(texts)
+    marks = [xxhash.xxh32_intdigest(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.array(marks, np.uint32)[one.text]
+
+
+def _counted(state: list[np.ndarray], places: np.ndarray, values: list[np.ndarray]) -> None:
+    known = state[0][places] > 0
+    state[1][places] = np.where(known, np.minimum(state[1][places], values[1]), values[1])
+    state[0][places] += values[0]
+
+
+def slot_counts(rows: DataFrame, slots, passed: list, words: int = WORDS) -> DataFrame:
+    """Blocks of how often each slot's phrase occurs, and of the least mark of a text that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = slots.value
-        counts, waiting, held = np.zeros(len(own), np.int64), [], 0
-        for one in _batches(batches):
-            for _, _, hashes in one.levels([x.value for x in passed], words):
+        counts, marks, waiting, held = np.zeros(len(own), np.int64), np.full(len(own), (1 << 32) - 1, np.uint32), [], 0
+        for batch in slices(batches):
+            one = Words(batch.column(0), batch.column(1))
+            by_word = _text_marks(one, batch.column(1))
+            for width, begins, hashes in one.levels([x.value for x in passed], words):
                 found = own.find(hashes)
-                waiting.append(found[found >= 0])
+                known = found >= 0
+                waiting.append(found[known])
                 held += len(waiting[-1])
+                if width > 1:
+                    np.minimum.at(marks, found[known], by_word[begins[known]])
             if held > len(own):
                 counts += np.bincount(np.concatenate(waiting), minlength=len(own))
                 waiting, held = [], 0
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=len(own))
-        yield from blocks.block_rows([counts], TaskContext.get().partitionId())
+        yield from blocks.block_rows([counts, marks], TaskContext.get().partitionId())
+
+    return blocks.merged(rows.mapInArrow(lean(run), blocks.SCHEMA), ["int64", "uint32"], _counted)
+
+
+def frequent_phrases(rows: DataFrame, slots, counts, marks, passed: list, least: int = LEAST, words: int = WORDS) -> DataFrame:
+    """(lang, phrase, width, n): the phrases of two words and more that occur ``least`` times, from the texts with
+    their least mark, so that few tasks give the same one; and rows without a phrase that add up to a language's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("width", pa.int32()), ("n", pa.int64())])
+        own, total, mark = slots.value, counts.value, marks.value
+        told, in_all = np.zeros(len(own), bool), {}
+        for batch in slices(batches):
+            one = Words(batch.column(0), batch.column(1))
+            for lang, n in zip(one.languages, np.bincount(one.text, minlength=len(one.languages)).tolist(), strict=True):
+                in_all[lang] = in_all.get(lang, 0) + n
+            by_word, out = _text_marks(one, batch.column(1)), []
+            for width, begins, hashes in one.levels([x.value for x in passed], words):
+                if width == 1:
+                    continue
+                found = own.find(hashes)
+                good = found >= 0
+                good[good] = (total[found[good]] >= least) & (mark[found[good]] == by_word[begins[good]]) & ~told[found[good]]
+                fresh, where = np.unique(found[good], return_index=True)
+                told[fresh] = True
+                for i in begins[good][where].tolist():
+                    out.append({"lang": one.languages[one.text[i]], "phrase": one.phrase(i, width), "width": width})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        yield pa.RecordBatch.from_pylist([{"lang": lang, "n": n} for lang, n in in_all.items()], schema=schema)
 
-    counted = blocks.merged(rows.mapInArrow(lean(run), blocks.SCHEMA), ["int64"], _summed)
-    return blocks.whole(counted, len(slots.value), "int64")
+    return rows.mapInArrow(lean(run), "lang string, phrase string, width int, n long")
 
 
 def _read(phrases: DataFrame, slots, counts, words: int) -> DataFrame:
@@ -265,18 +295,30 @@ def collocations(
     passed: list = []
     for width in range(1, words + 1):
         passed.append(context.broadcast(frequent_cells(rows, width, passed, least, cells)))
-    phrases, languages = candidates(rows, passed, words)
-
-    high = perfect_hash.shard_bits(phrases.count())
-    shards = stored(perfect_hash.shards(phrases.dropDuplicates(["key"]).select("key"), high), "phrases-shards")
-    n_keys = shards.agg(F.sum(F.octet_length("keys")).alias("n")).first()["n"] or 0
-    rounds = -(-n_keys // (8 * round_keys))
-    read = phrases.where("width > 1").select("lang", "phrase", "width", F.array_repeat(F.lit(0).cast("long"), 2 * words - 1).alias("f"))
-    for k in range(rounds):
-        own = shards.where(F.col("shard") % rounds == k).collect()  # about round_keys keys
-        slots = context.broadcast(perfect_hash.Slots(own, high))
-        read = _read(read, slots, context.broadcast(slot_counts(rows, slots, passed, words)), words)
-    counted = stored(read.where(F.col("f")[0] >= least), "phrases-counts")
+    shards = stored(perfect_hash.shards(candidate_keys(rows, passed, words)), "phrases-shards")
+    n_keys = (shards.agg(F.sum(F.octet_length("keys")).alias("n")).first()["n"] or 0) // 8
+    rounds = [shards.where(F.col("bin") % k == i) for k in [-(-n_keys // round_keys)] for i in range(k)]
+    share = lambda x: context.broadcast(x)  # noqa: E731 - of a round's keys, about round_keys
+    found, sums = [], []
+    for own in rounds:
+        slots = share(perfect_hash.Slots(own.collect()))
+        sums.append(stored(slot_counts(rows, slots, passed, words), "phrases-slots"))
+        counts, marks = (share(blocks.whole(sums[-1], len(slots.value), d, k)) for k, d in enumerate(("int64", "uint32")))
+        found.append(stored(frequent_phrases(rows, slots, counts, marks, passed, least, words), "phrases-found"))
+        for x in (slots, counts, marks):
+            x.destroy()
+    if not found:  # no word is frequent
+        return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, width int, a long, l long, r long, n long, score long, cut int")
+    languages = found[0].where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    phrases = reduce(DataFrame.unionByName, found).where("phrase IS NOT NULL").select("lang", "phrase", "width").distinct()
+    read = phrases.withColumn("f", F.array_repeat(F.lit(0).cast("long"), 2 * words - 1))
+    for own, sum_ in zip(rounds, sums, strict=True):
+        slots = share(perfect_hash.Slots(own.collect()))
+        counts = share(blocks.whole(sum_, len(slots.value), "int64"))
+        read = stored(_read(read, slots, counts, words), "phrases-counts")
+        slots.destroy()
+        counts.destroy()
+    counted = read
 
     parts = [
         F.when(F.col("width") > c, F.struct(_score(F.col("f")[0], F.col("f")[2 * c - 1], F.col("f")[2 * c]).alias("score"), F.lit(c).alias("cut"), F.col("f")[2 * c - 1].alias("l"), F.col("f")[2 * c].alias("r")))
