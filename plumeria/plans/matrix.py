@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeria.operators import density
 from plumeria.operators import feature_matrix as matrix
 from plumeria.operators import pairwise
 from plumeria.plans.features import _UNIT
@@ -108,3 +109,12 @@ def pairwise_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = sum(abs(w) for w in fit.weights) or None
     rows = [(t, w, w / total if total else None, fit.groups, fit.pairs, fit.converged) for t, w in zip(TERMS, weights, strict=True)]
     return spark.createDataFrame(rows, "term string, weight double, share double, groups long, pairs long, converged boolean")  # one row a term
+
+
+@query()
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch, item, cluster, size): the clusters of the items that came out within one month, by density of their vectors."""
+    month = F.expr("pub_s div 2592000").alias("batch")
+    found = density.clusters(items(spark, sf_dir).select(month, F.col("item").alias("id"), F.col("emb").alias("vec")))
+    sizes = found.where("cluster IS NOT NULL").groupBy("batch", "cluster").agg(F.count("*").alias("size"))
+    return found.join(sizes, ["batch", "cluster"], "left").select("batch", F.col("id").alias("item"), "cluster", "size")
