@@ -58,6 +58,18 @@ class Tables:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes for ``df`` not to have it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

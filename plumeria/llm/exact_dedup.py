@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import stored, without_white_space
+from plumeria.llm.common import fresh_names, stored, without_white_space
 
 BUCKET_CAPACITY = 4096
 MAX_DEPTH = 16
@@ -146,21 +146,22 @@ def kept_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns.
 
     Rows are told apart by doc_id; where an id, or null, has several rows, by their code points and the hash of the
-    text too, and of rows that are equal in these one stays.
+    text too, and of rows that are equal in these one stays. Other columns may have any names.
     """
+    id_, id_points, id_sha, own_points, own_sha = fresh_names(docs, "id_", "points_", "sha_", "own_points", "own_sha")
     rows = _decided(docs, text, doc_id)
     rows = rows.select("doc_id", "n_points", "text_sha256", (F.col("kept") & (F.col("n_points") == F.col("keep_points"))).alias("stays"))
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.bool_or("stays").alias("stays"))
-    ids = stored(ids.where("n_rows > 1 OR NOT stays").select(F.col("doc_id").alias("_id"), "stays"), "dedup-ids")
+    ids = stored(ids.where("n_rows > 1 OR NOT stays").select(F.col("doc_id").alias(id_), "stays"), "dedup-ids")
     own = F.col(doc_id).cast("long")
-    one = docs.join(ids.select("_id"), own.eqNullSafe(F.col("_id")), "left_anti")
-    several = ids.where("stays").select("_id")
+    one = docs.join(ids.select(id_), own.eqNullSafe(F.col(id_)), "left_anti")
+    several = ids.where("stays").select(id_)
     if several.isEmpty():
         return one
-    wanted = rows.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("n_points").alias("_points"), F.col("text_sha256").alias("_sha")).distinct()
+    wanted = rows.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias(id_), F.col("n_points").alias(id_points), F.col("text_sha256").alias(id_sha)).distinct()
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    named = docs.join(several, own.eqNullSafe(F.col("_id")), "left_semi")
-    named = named.withColumn("_points", F.char_length(whole)).withColumn("_sha", F.sha2(without_white_space(whole).cast("binary"), 256))
-    found = named.join(wanted.withColumnRenamed("_points", "_p").withColumnRenamed("_sha", "_s"), own.eqNullSafe(F.col("_id")) & (F.col("_points") == F.col("_p")) & (F.col("_sha") == F.col("_s")), "left_semi")
-    return one.unionByName(found.dropDuplicates(["_sha"]).drop("_points", "_sha"))
+    named = docs.join(several, own.eqNullSafe(F.col(id_)), "left_semi")
+    named = named.withColumn(own_points, F.char_length(whole)).withColumn(own_sha, F.sha2(without_white_space(whole).cast("binary"), 256))
+    found = named.join(wanted, own.eqNullSafe(F.col(id_)) & (F.col(own_points) == F.col(id_points)) & (F.col(own_sha) == F.col(id_sha)), "left_semi")
+    return one.unionByName(found.dropDuplicates([own_sha]).drop(own_points, own_sha))

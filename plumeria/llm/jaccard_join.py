@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import Tables, stored
+from plumeria.llm.common import Tables, fresh_names, stored
 from plumeria.llm.components import connected_components
 from plumeria.llm.words import ROWS, column_bytes, lean, mix, shingle_hashes, slices, word_hashes
 
@@ -491,8 +491,9 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Of a group one row stays, that with the smallest doc_id; one with a null doc_id only in a group without ids. Rows
     without words stay. Rows are told apart by doc_id, and by their sets too where an id, or null, has several rows;
-    of rows that are equal in both one stays.
+    of rows that are equal in both one stays. Other columns may have any names.
     """
+    id_, id_set, own_set = fresh_names(docs, "id_", "set_", "own_set")
     placed = _placed(docs, width, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"), F.col("id").alias("i"))).alias("first")
     firsts = stored(placed.where("n > 0").groupBy("component").agg(first), "jaccard-first")
@@ -500,14 +501,14 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stays = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("id") == F.col("first.i")))
     rows = rows.select("doc_id", "id", stays.alias("stays"))
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.bool_or("stays").alias("stays"))
-    ids = stored(ids.where("n_rows > 1 OR NOT stays").select(F.col("doc_id").alias("_id"), "stays"), "jaccard-ids")
+    ids = stored(ids.where("n_rows > 1 OR NOT stays").select(F.col("doc_id").alias(id_), "stays"), "jaccard-ids")
     own = F.col("doc_id").cast("long")
-    one = docs.join(ids.select("_id"), own.eqNullSafe(F.col("_id")), "left_anti")
-    several = ids.where("stays").select("_id")
+    one = docs.join(ids.select(id_), own.eqNullSafe(F.col(id_)), "left_anti")
+    several = ids.where("stays").select(id_)
     if several.isEmpty():
         return one
-    wanted = rows.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("id").alias("_i")).distinct()
+    wanted = rows.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias(id_), F.col("id").alias(id_set)).distinct()
 
     @F.arrow_udf("long")
     def set_id(texts: pa.Array) -> pa.Array:
@@ -515,7 +516,7 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             return pa.array([], pa.int64())
         return pa.concat_arrays([_set_ids(_sets(texts[at : at + ROWS], width)) for at in range(0, len(texts), ROWS)])
 
-    named = docs.join(several, own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_set", set_id(F.col("text").cast("string")))
-    found = named.join(wanted, own.eqNullSafe(F.col("_id")) & F.col("_set").eqNullSafe(F.col("_i")), "left_semi")
-    kept = found.where("_set IS NOT NULL").dropDuplicates(["doc_id", "_set"]).unionByName(found.where("_set IS NULL"))
-    return one.unionByName(kept.drop("_set"))
+    named = docs.join(several, own.eqNullSafe(F.col(id_)), "left_semi").withColumn(own_set, set_id(F.col("text").cast("string")))
+    found = named.join(wanted, own.eqNullSafe(F.col(id_)) & F.col(own_set).eqNullSafe(F.col(id_set)), "left_semi")
+    kept = found.where(F.col(own_set).isNotNull()).dropDuplicates(["doc_id", own_set]).unionByName(found.where(F.col(own_set).isNull()))
+    return one.unionByName(kept.drop(own_set))

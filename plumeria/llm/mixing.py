@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import stored
+from plumeria.llm.common import fresh_names, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -168,16 +168,17 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, rounded to whole documents, half up.
 
-    Rows that share doc_id, source and size come as often as the most taken of them.
+    Rows that share doc_id, source and size come as often as the most taken of them. Other columns may have any names.
     """
+    id_, key_, size_, copies_, copy_ = fresh_names(docs, "id_", "key_", "size_", "copies_", "copy_")
     documents, _ = mix(docs, **options)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    wanted = documents.where("size > 0").groupBy("doc_id", "key", "size").agg(F.max(copies).alias("_copies"))
-    wanted = wanted.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "_copies")
+    wanted = documents.where("size > 0").groupBy("doc_id", "key", "size").agg(F.max(copies).alias(copies_))
+    wanted = wanted.where(F.col(copies_) > 0).select(F.col("doc_id").alias(id_), F.col("key").alias(key_), F.col("size").alias(size_), copies_)
     name = F.col("source").cast("string")
     key = F.when(name.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), name))
     joined = docs.join(
         wanted,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")) & (word_count(F.col("text")) == F.col("_size")),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (key == F.col(key_)) & (word_count(F.col("text").cast("string")) == F.col(size_)),
     )
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies_))).alias(copy_)).drop(copy_)

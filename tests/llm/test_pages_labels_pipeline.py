@@ -283,3 +283,21 @@ def test_pipeline_runs_whole(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids"]
     assert 0 < out.count() <= 240
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns named as the stages name their own, on rows that make every branch run: repeated and null ids."""
+    from plumeria.llm import exact_dedup, jaccard_join, mixing
+
+    names = ["_id", "_points", "_sha", "_set", "_copies", "_copy", "_key", "_size", "id_", "points_", "sha_", "set_", "own_set", "own_sha", "ID_", "n_points", "stays", "key", "size", "norm", "salt"]
+    names = [n for k, n in enumerate(names) if n.lower() not in {x.lower() for x in names[:k]}]
+    text = "one two three four five six seven"
+    docs = [(1, text, "a"), (1, text, "a"), (1, text + " ", "a"), (2, text.upper(), "a"), (None, text, None), (None, "of its own kind", "b"), (3, None, "b"), (3, "another text", "b")]
+    frame = spark.createDataFrame([(*d, *range(len(names))) for d in docs], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for stage, ids in ((exact_dedup.kept_documents, [1, 2, 3, 3, None]), (jaccard_join.first_of_groups, [1, 3, 3, None]), (mixing.mixed_documents, None)):
+        found = stage(frame)
+        assert found.columns == frame.columns
+        rows = found.collect()
+        assert all(tuple(r)[3:] == tuple(range(len(names))) for r in rows)
+        if ids is not None:
+            assert sorted((r.doc_id for r in rows), key=lambda x: (x is None, x)) == ids
