@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumeria.functions import vectors
 from plumeria.operators import density
 from plumeria.operators import feature_matrix as matrix
-from plumeria.operators import pairwise
+from plumeria.operators import pairwise, profile_state, roots, spans
 from plumeria.plans.features import _UNIT
 from plumeria.plans.registry import LOG, query
-from plumeria.sources.tables import clicks, event_log, items, views
+from plumeria.sources.tables import clicks, event_log, items, table, views
 
 #: Candidates of a request: the bought item and those at these distances from it.
 STEPS = (0, 1, 7, 19, 40)
@@ -118,3 +119,53 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = density.clusters(items(spark, sf_dir).select(month, F.col("item").alias("id"), F.col("emb").alias("vec")))
     sizes = found.where("cluster IS NOT NULL").groupBy("batch", "cluster").agg(F.count("*").alias("size"))
     return found.join(sizes, ["batch", "cluster"], "left").select("batch", F.col("id").alias("item"), "cluster", "size")
+
+
+@query(f"""WITH {LOG}, e AS (SELECT user_id, s, category, {_UNIT} AS u, max(s) OVER (PARTITION BY user_id) AS anchor FROM clicks JOIN items USING (item)),
+    d AS (SELECT user_id, dim, sum(w * x) AS x FROM (SELECT user_id, pow(0.5, (anchor - s) / 604800.0) AS w, unnest(u) AS x, unnest(range(64)) AS dim FROM e) GROUP BY user_id, dim),
+    n AS (SELECT user_id, round(sqrt(sum(x * x)), 5) AS length, round(max(x) FILTER (dim = 0), 5) + 0.0 AS first FROM d GROUP BY user_id),
+    c AS (SELECT user_id, category, count(*) AS k FROM e GROUP BY user_id, category)
+    SELECT user_id, any_value(anchor) AS anchor_s, count(*) AS hist_len, any_value(length) AS length, any_value(first) AS first,
+           (SELECT max(k) FROM c WHERE c.user_id = e.user_id) AS top_count, count(DISTINCT category) AS categories
+    FROM e JOIN n USING (user_id) GROUP BY user_id""")
+def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mergeable profile of every user: anchor, events, length and first element of the sum, and its categories."""
+    unit = items(spark, sf_dir).select("item", "category", vectors.unit(F.col("emb")).alias("vec"))
+    found = profile_state.profile_states(clicks(spark, sf_dir).join(unit, "item"))
+    return found.select(
+        "user_id", "anchor_s", "hist_len", F.round(vectors.norm(F.col("hist_sum")), 5).alias("length"), F.round(F.col("hist_sum")[0], 5).alias("first"),
+        F.array_max(F.map_values("counts")).alias("top_count"), F.size("counts").cast("long").alias("categories"),
+    )
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, length(coalesce(text, '')) AS size FROM documents),
+    lines AS (SELECT doc_id, i, size, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS b, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM l),
+    windows AS (SELECT doc_id, k, k * 400 AS b, least(k * 400 + 500, length(text)) AS e FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range((length(coalesce(text, '')) + 399) // 400)) AS k FROM documents))
+    SELECT w.doc_id, w.k AS "window", count(*) AS lines, count(*) FILTER (w.b <= l.b AND l.e <= w.e) AS whole_lines, sum(least(w.e, l.e) - greatest(w.b, l.b))::BIGINT AS covered
+    FROM windows w JOIN lines l ON l.doc_id = w.doc_id AND l.b < w.e AND w.b < l.e AND l.b < l.e GROUP BY ALL""")
+def window_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each window of 500 characters, every 400: the lines that it meets, those it holds whole, and the characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = F.char_length("text")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # a document's own lines
+    lines = rows.withColumn("end", F.sum(F.char_length("line") + 1).over(w) - 1).select("doc_id", F.struct("i", (F.col("end") - F.char_length("line")).alias("b"), F.col("end").alias("e")).alias("id"))
+    lines = lines.select("doc_id", "id", F.col("id.b").alias("begin"), F.col("id.e").alias("end"))
+    cuts = docs.where(size > 0).select("doc_id", size.alias("size"), F.explode(F.sequence(F.lit(0), F.expr("(char_length(text) + 399) div 400 - 1"))).alias("k"))
+    windows = cuts.select("doc_id", F.struct("k", (F.col("k") * 400).alias("b"), F.least(F.col("k") * 400 + 500, "size").alias("e")).alias("id"))
+    windows = windows.select("doc_id", "id", F.col("id.b").cast("long").alias("begin"), F.col("id.e").cast("long").alias("end"))
+    found = spans.overlaps(windows, lines, "doc_id")
+    whole = (F.col("left_id.b") <= F.col("right_id.b")) & (F.col("right_id.e") <= F.col("left_id.e"))
+    return found.groupBy("doc_id", F.col("left_id.k").cast("long").alias("window")).agg(F.count("*").alias("lines"), F.count_if(whole).alias("whole_lines"), F.sum(F.col("end") - F.col("begin")).alias("covered"))
+
+
+@query(f"""WITH RECURSIVE {LOG}, z AS (SELECT ln(1 + value) - 2 AS z FROM log WHERE value IS NOT NULL),
+    b AS (SELECT 0 AS i, -40.0::DOUBLE AS lo, 40.0::DOUBLE AS hi
+          UNION ALL SELECT i + 1, CASE WHEN r < 0.1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN r < 0.1 THEN hi ELSE (lo + hi) / 2 END
+          FROM (SELECT i, lo, hi, (SELECT avg(1 / (1 + exp(-(z + (lo + hi) / 2)))) FROM z) AS r FROM b WHERE i < 50))
+    SELECT round((lo + hi) / 2, 5) AS bias, round((SELECT avg(1 / (1 + exp(-(z + (lo + hi) / 2)))) FROM z), 5) AS rate FROM b WHERE i = 50""")
+def calibrated_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constant that brings the mean click probability of the events' scores to one in ten."""
+    scores = event_log(spark, sf_dir).where("value IS NOT NULL").select((F.log1p("value") - 2).alias("z"))
+    bias, rate = roots.calibrated(scores, "z", 0.1)
+    return spark.createDataFrame([(round(bias, 5), round(rate, 5))], "bias double, rate double")  # one row

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumeria.operators import profile_state
 from plumeria.operators.sessions import GAP_S
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-HALF_LIFE_S = 7 * 86400
+HALF_LIFE_S = profile_state.HALF_LIFE_S
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 16, lag_s: int = 2) -> DataFrame:
@@ -53,28 +55,23 @@ PROFILE = "user_id long, anchor_s long, hist_len long, hist_sum array<double>"
 def profiles(clicks: DataFrame, half_life_s: float = HALF_LIFE_S) -> DataFrame:
     """The state of each user after every batch: clicks as (user_id, s, emb), in any order.
 
-    The state is the decayed sum of the clicked vectors as of its latest click (``anchor_s``). A later click decays
-    the sum to its own time, an earlier one is added with its own decay, so the order of arrival doesn't matter. A
-    click without a vector isn't counted; vectors must have one length.
+    The state is that of ``operators.profile_state``, and a batch is one merge into it: neither the order of arrival nor
+    the cut into batches matters. A click without a second or a vector isn't counted; vectors must have one length.
     """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor, count, total = state.get if state.exists else (None, 0, None)
+        own = None
+        if state.exists:
+            anchor, count, total = state.get
+            own = (np.array(total), anchor, count, {})
         for part in parts:
-            for s, emb in zip(part["s"], part["emb"], strict=True):
-                if emb is None:
-                    continue
-                if total is None:
-                    anchor, total = int(s), [0.0] * len(emb)
-                if s > anchor:
-                    fade = 0.5 ** ((s - anchor) / half_life_s)
-                    anchor, total = int(s), [x * fade for x in total]
-                weight = 0.5 ** ((anchor - s) / half_life_s)
-                total = [x + weight * float(y) for x, y in zip(total, emb, strict=True)]
-                count += 1
-        if total is not None:
-            state.update((anchor, count, total))
-            yield pd.DataFrame({"user_id": [key[0]], "anchor_s": [anchor], "hist_len": [count], "hist_sum": [total]})
+            good = part[part["emb"].notna() & part["s"].notna()]
+            if len(good):
+                fresh = profile_state.from_events(good["s"].to_numpy(np.int64), np.stack(good["emb"]).astype(float), np.zeros(len(good), int), half_life_s)
+                own = profile_state.merge(own, (*fresh[:3], {}), half_life_s)
+        if own is not None:
+            state.update((own[1], own[2], own[0].tolist()))
+            yield pd.DataFrame({"user_id": [key[0]], "anchor_s": [own[1]], "hist_len": [own[2]], "hist_sum": [own[0].tolist()]})
 
     kept = "anchor_s long, hist_len long, hist_sum array<double>"
     return clicks.groupBy("user_id").applyInPandasWithState(update, PROFILE, kept, "update", GroupStateTimeout.NoTimeout)
