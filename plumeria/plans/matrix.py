@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from plumeria.functions import vectors
 from plumeria.operators import density
 from plumeria.operators import feature_matrix as matrix
-from plumeria.operators import pairwise, profile_state, roots, spans
-from plumeria.plans.features import _UNIT
+from plumeria.operators import pairwise, profile_state, roots, search, spans
+from plumeria.plans.features import _POPULARITY, _UNIT, AS_OF, popularity
 from plumeria.plans.registry import LOG, query
 from plumeria.sources.tables import clicks, event_log, items, table, views
 
@@ -169,3 +169,40 @@ def calibrated_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = event_log(spark, sf_dir).where("value IS NOT NULL").select((F.log1p("value") - 2).alias("z"))
     bias, rate = roots.calibrated(scores, "z", 0.1)
     return spark.createDataFrame([(round(bias, 5), round(rate, 5))], "bias double, rate double")  # one row
+
+
+#: The declared space of the popularity score, and the configurations drawn from it.
+SPACE, CONFIGS = {"half_life": (6.0, 336.0, "log"), "alpha": (0.0, 1.0, "uniform")}, 24
+_DRAW = "('0x' || substr(md5('{0}:' || i), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE"
+
+
+@query(f"""WITH {LOG}, {_POPULARITY}, c AS (SELECT i AS config, exp(ln(6.0) + {_DRAW.format("half_life")} * (ln(336.0) - ln(6.0))) AS half_life, {_DRAW.format("alpha")} AS alpha FROM range({CONFIGS}) r(i)),
+    r AS (SELECT i.item, greatest(0, ({AS_OF} - pub_s) / 3600.0) AS hours, coalesce(clicks_24h, 0) AS n, coalesce(k, 0) AS later FROM items i LEFT JOIN pop USING (item)
+          LEFT JOIN (SELECT item, count(*) AS k FROM clicks WHERE s >= {AS_OF} AND s < {AS_OF} + 259200 GROUP BY item) USING (item) WHERE pub_s <= {AS_OF}),
+    f AS (SELECT config, half_life, alpha, count(*) AS evaluated, corr(alpha * ln(1 + n) + (1 - alpha) * pow(0.5, hours / half_life), later) AS fit FROM r, c GROUP BY ALL)
+    SELECT config, round(half_life, 5) AS half_life, round(alpha, 5) AS alpha, evaluated, round(fit, 5) + 0.0 AS fit,
+           row_number() OVER (ORDER BY round(fit, 9) DESC NULLS LAST, config) AS place FROM f""")
+def space_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every drawn popularity score against the clicks of the three days after, all on the same items in one scan."""
+    later = clicks(spark, sf_dir, since=AS_OF, until=AS_OF + 259200).groupBy("item").agg(F.count("*").alias("later"))
+    live = items(spark, sf_dir).where(F.col("pub_s") <= AS_OF).select("item", F.greatest(F.lit(0.0), (F.lit(AS_OF) - F.col("pub_s")) / 3600.0).alias("hours"))
+    rows = live.join(popularity(spark, sf_dir).select("item", "clicks_24h"), "item", "left").join(later, "item", "left").na.fill(0)
+    score = F.col("alpha") * F.log1p("clicks_24h") + (1 - F.col("alpha")) * F.pow(F.lit(0.5), F.col("hours") / F.col("half_life"))
+    found = search.searched(rows, search.configurations(spark, CONFIGS, SPACE), score, "later")
+    return found.select("config", F.round("half_life", 5).alias("half_life"), F.round("alpha", 5).alias("alpha"), "evaluated", F.round("fit", 5).alias("fit"), "place")
+
+
+@query(f"""WITH {LOG}, u AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS n, count(*) FILTER (event_type = 'purchase') AS bought FROM log GROUP BY user_id),
+    k AS (SELECT k, avg(bought / n) AS rate FROM u, range(1, 31) r(k) WHERE n >= k GROUP BY k), b AS (SELECT sum(bought) / sum(n) AS base FROM u WHERE n > 0),
+    v AS (SELECT k, coalesce(abs(rate - base) <= 0.1 * base, FALSE) AS holds FROM k, b)
+    SELECT (SELECT min(k) FROM v WHERE k > coalesce((SELECT max(k) FROM v WHERE NOT holds), 0)) AS smallest, round(base, 6) AS base, (SELECT count(*) FROM v) AS sizes FROM b""")
+def monotone_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least number of clicks from which on users' mean purchase rate stays within a tenth of the pooled one."""
+    log = event_log(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("bought")).where("n > 0")
+    sizes = F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(30).cast("long")))).alias("k")
+    rates = log.select(sizes, (F.col("bought") / F.col("n")).alias("rate")).groupBy("k").agg(F.avg("rate").alias("rate"))
+    base = log.agg((F.sum("bought") / F.sum("n")).alias("base"))  # one row
+    verdicts = rates.join(F.broadcast(base)).withColumn("holds", F.abs(F.col("rate") - F.col("base")) <= 0.1 * F.col("base"))
+    found = search.smallest_that_holds(verdicts, "k", "holds")  # one row
+    counted = verdicts.agg(F.count("*").alias("sizes"))
+    return found.join(F.broadcast(base)).join(F.broadcast(counted)).select("smallest", F.round("base", 6).alias("base"), "sizes")

@@ -7,8 +7,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plumeria.operators import profile_state, roots, spans
+from plumeria.operators import profile_state, roots, search, spans
 from plumeria.streaming import events as stream
 
 DDL = "user_id long, s long, vec array<float>, category int"
@@ -105,3 +106,24 @@ def test_calibrated(spark):
     for bad, target in ((frame.where("z IS NULL"), 0.5), (frame, 0.0), (frame, 1.0), (frame, 1e-30)):
         with pytest.raises(ValueError):
             roots.calibrated(bad, "z", target)
+
+
+def test_smallest_that_holds(spark):
+    rows = [("a", k, k not in (2, 5)) for k in range(1, 9)] + [("b", 1, True), ("b", 2, True), ("c", 1, True), ("c", 2, False), ("d", 1, False), ("d", 2, True), ("d", 2, None), ("d", 3, True)]
+    found = search.smallest_that_holds(spark.createDataFrame(rows, "g string, k long, ok boolean"), "k", "ok", ["g"])
+    assert {r.g: r.smallest for r in found.collect()} == {"a": 6, "b": 1, "c": None, "d": 3}
+    assert search.smallest_that_holds(spark.createDataFrame([], "k long, ok boolean"), "k", "ok").collect()[0].smallest is None
+
+
+def test_searched_on_equal_rows(spark):
+    rng = random.Random(1)
+    rows = [(rng.random(), rng.random(), rng.choice([0, 1, None])) for _ in range(200)]
+    configs = search.configurations(spark, 5, {"w": (0.0, 1.0, "uniform"), "h": (1.0, 100.0, "log")})
+    drawn = {r.config: (r.w, r.h) for r in configs.collect()}
+    assert len(set(drawn.values())) == 5 and all(0 <= w < 1 and 1 <= h < 100 for w, h in drawn.values())
+    found = search.searched(spark.createDataFrame(rows, "x double, y double, label int"), configs, F.col("w") * F.col("x") + F.col("y") / F.col("h"), "label").collect()
+    good = [r for r in rows if r[2] is not None]
+    for r in found:
+        w, h = drawn[r.config]
+        assert r.evaluated == len(good) and abs(r.fit - np.corrcoef([w * x + y / h for x, y, _ in good], [z for *_, z in good])[0, 1]) < 1e-9
+    assert [r.config for r in sorted(found, key=lambda r: r.place)] == [r.config for r in sorted(found, key=lambda r: (-round(r.fit, 9), r.config))]
