@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What ends an article's body, what marks a list of articles, and an e-mail address (fixed values).
 END_MARKERS = (
@@ -239,3 +242,9 @@ def quotes(text: Column) -> Column:
 
 def dates(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({DATE})"), 1)
+
+
+@F.arrow_udf(StringType())
+def nfc(texts: pa.Array) -> pa.Array:
+    """Texts in Unicode normal form C, so that one text has one hash however it was typed; a null stays null."""
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())

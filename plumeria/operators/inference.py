@@ -82,3 +82,19 @@ def holm(family: DataFrame, name: str, p: str, alpha: float = 0.05) -> DataFrame
     ranked = family.withColumn("_i", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy()))
     step = F.max((F.col("_m") - F.col("_i") + 1) * F.col(p)).over(Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("adjusted", F.least(F.lit(1.0), step)).withColumn("rejected", step < alpha).drop("_i", "_m")
+
+
+def weighted_kappa(rows: DataFrame, one: str, two: str) -> DataFrame:
+    """(n, unweighted, linear, quadratic): Cohen's kappa of two judges' grades by three weights of their difference.
+
+    Grades are whole numbers; rows where either is null are left out. One count for each pair of grades is all that is
+    shuffled. A kappa is null where both judges give one grade only, and n 0 without rows.
+    """
+    counts = rows.where(F.col(one).isNotNull() & F.col(two).isNotNull()).groupBy(F.col(one).alias("x"), F.col(two).alias("y")).agg(F.count("*").alias("n"))
+    first, second = counts.groupBy("x").agg(F.sum("n").alias("p")), counts.groupBy("y").agg(F.sum("n").alias("q"))
+    apart = F.abs(F.col("x") - F.col("y")).cast("double")
+    weights = {"unweighted": (apart > 0).cast("double"), "linear": apart, "quadratic": apart * apart}
+    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.sum(w * F.col("n")).alias(f"o_{k}") for k, w in weights.items()])  # one row
+    expected = first.join(second.hint("broadcast"), how="cross").agg(*[F.sum(w * F.col("p") * F.col("q")).alias(f"e_{k}") for k, w in weights.items()])  # grades squared
+    both = seen.join(F.broadcast(expected))
+    return both.select("n", *[F.when(F.col(f"e_{k}") > 0, 1 - F.col(f"o_{k}") * F.col("n") / F.col(f"e_{k}")).alias(k) for k in weights])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions import scores, vectors
-from plumeria.operators import asof, datasets, greedy, ranking
+from plumeria.operators import asof, datasets, greedy, inference, ranking
 from plumeria.plans.features import _UNIT, AS_OF, SIZE
 from plumeria.plans.ranking import GROUP, _TASKS, ranked_tasks
 from plumeria.plans.registry import LOG, query
@@ -319,3 +319,16 @@ def impression_click_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views(spark, sf_dir).groupBy("user_id", "item").agg(F.min("s").alias("first_view"))
     b = clicks(spark, sf_dir).groupBy("user_id", "item").agg(F.min("s").alias("first_click"))
     return a.join(b, ["user_id", "item"], "full").na.fill(-1)
+
+
+@query("""WITH g AS (SELECT least(n_chars // 700, 5) AS a, least(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) // 120, 5) AS b FROM documents),
+    o AS (SELECT count(*) AS n, sum(abs(a - b)) AS l, sum((a - b) * (a - b)) AS q, count(*) FILTER (a <> b) AS u FROM g WHERE a IS NOT NULL AND b IS NOT NULL),
+    e AS (SELECT sum(abs(x.a - y.b) * x.n * y.n) AS l, sum((x.a - y.b) * (x.a - y.b) * x.n * y.n) AS q, sum(x.n * y.n) FILTER (x.a <> y.b) AS u
+          FROM (SELECT a, count(*) AS n FROM g GROUP BY a) x, (SELECT b, count(*) AS n FROM g GROUP BY b) y)
+    SELECT n, round(1 - o.u * n / e.u, 6) AS unweighted, round(1 - o.l * n / e.l, 6) AS linear, round(1 - o.q * n / e.q, 6) AS quadratic FROM o, e""")
+def graded_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two grades of a document's size, by characters and by words."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    grades = table(spark, sf_dir, "documents").select(F.expr("least(n_chars div 700, 5)").alias("a"), F.least(F.floor(words / 120), F.lit(5)).cast("long").alias("b"))
+    found = inference.weighted_kappa(grades, "a", "b")
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("unweighted", "linear", "quadratic")])

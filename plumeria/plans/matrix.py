@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions import vectors
-from plumeria.operators import density
+from plumeria.operators import asof, density
 from plumeria.operators import feature_matrix as matrix
 from plumeria.operators import pairwise, profile_state, roots, search, spans
 from plumeria.plans.features import _POPULARITY, _UNIT, AS_OF, popularity
@@ -206,3 +206,23 @@ def monotone_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.smallest_that_holds(verdicts, "k", "holds")  # one row
     counted = verdicts.agg(F.count("*").alias("sizes"))
     return found.join(F.broadcast(base)).join(F.broadcast(counted)).select("smallest", F.round("base", 6).alias("base"), "sizes")
+
+
+@query(f"""WITH {LOG}, r AS (SELECT event_id AS req, user_id, s + 1 AS t, item FROM log WHERE event_type = 'purchase'),
+    p AS (SELECT r.req, r.item, c.item AS seen, row_number() OVER (PARTITION BY r.req ORDER BY c.s DESC, c.item DESC, c.event_id DESC) AS place
+          FROM r JOIN clicks c ON c.user_id = r.user_id AND c.s < t AND c.s >= t - 604800 JOIN items k ON k.item = c.item),
+    m AS (SELECT req, place, list_cosine_similarity(a.emb::DOUBLE[], b.emb::DOUBLE[]) AS c, p.item = seen AS same FROM p JOIN items a ON a.item = p.item JOIN items b ON b.item = seen WHERE place <= 10)
+    SELECT req, count(*) AS n, round(max(c), 5) + 0.0 AS best, round(list_avg(list(c ORDER BY c DESC)[:3]), 5) + 0.0 AS top3, round(max(c) FILTER (place = 1), 5) + 0.0 AS latest, max(same::INTEGER) AS in_recent
+    FROM m GROUP BY req""")
+def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How like the bought item is to the ten last clicked ones: the most, the mean of the three most, the latest, and whether it is one of them."""
+    known = items(spark, sf_dir).select("item", "emb")
+    bought = event_log(spark, sf_dir, "purchase").select(F.col("event_id").alias("req"), "user_id", (F.col("s") + 1).alias("t"), (F.col("s") + 1 - 604800).alias("low"), "item")
+    log = clicks(spark, sf_dir).select("user_id", "s", F.col("item").alias("seen"), "event_id").join(known.select(F.col("item").alias("seen"), F.col("emb").alias("b")), "seen")
+    found = asof.window_join(bought.where("user_id IS NOT NULL"), log, "user_id", "low", "t", "s", 86400)
+    last = asof.last_n(found, ["req"], [F.desc("s"), F.desc("seen"), F.desc("event_id")], 10)
+    c = last.join(known, "item").select("req", "place", vectors.cosine(F.col("emb"), F.col("b")).alias("c"), (F.col("item") == F.col("seen")).cast("int").alias("same"))
+    three = F.slice(F.sort_array(F.collect_list("c"), asc=False), 1, 3)  # ten at most
+    sums = c.groupBy("req").agg(F.count("*").alias("n"), F.max("c").alias("best"), three.alias("three"), F.max(F.when(F.col("place") == 1, F.col("c"))).alias("latest"), F.max("same").alias("in_recent"))
+    mean = F.aggregate("three", F.lit(0.0), lambda a, x: a + x) / F.size("three")
+    return sums.select("req", "n", F.round("best", 5).alias("best"), F.round(mean, 5).alias("top3"), F.round("latest", 5).alias("latest"), "in_recent")

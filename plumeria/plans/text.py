@@ -250,3 +250,12 @@ def terms(spark: SparkSession, sf_dir: str, split: Column) -> DataFrame:
     sizes = docs.groupBy("source").agg(F.count("*").alias("size"))
     top = counts.withColumn("place", place.cast("long")).where("place <= 3").join(sizes, "source")
     return top.select("source", "place", "term", F.round(F.col("n") / F.col("size"), 6).alias("coverage"))
+
+
+@query("""WITH t AS (SELECT doc_id, replace(coalesce(text, ''), 'e', 'e' || chr(769)) AS text FROM documents)
+    SELECT doc_id, sha256(nfc_normalize(text)) AS nfc_sha256, nfc_normalize(text) <> text AS changed, length(nfc_normalize(text)) AS points FROM t""")
+def nfc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of every text in normal form C, from texts whose e has a combining accent."""
+    typed = F.replace(F.coalesce("text", F.lit("")), F.lit("e"), F.lit("e\u0301"))
+    t = documents(spark, sf_dir).select("doc_id", typed.alias("text")).withColumn("normal", text.nfc("text"))
+    return t.select("doc_id", F.sha2(F.col("normal").cast("binary"), 256).alias("nfc_sha256"), (F.col("normal") != F.col("text")).alias("changed"), F.char_length("normal").cast("long").alias("points"))

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumeria.operators import profile_state, roots, search, spans
+from plumeria.functions import text
+from plumeria.operators import inference, profile_state, roots, search, spans
 from plumeria.streaming import events as stream
 
 DDL = "user_id long, s long, vec array<float>, category int"
@@ -127,3 +128,25 @@ def test_searched_on_equal_rows(spark):
         w, h = drawn[r.config]
         assert r.evaluated == len(good) and abs(r.fit - np.corrcoef([w * x + y / h for x, y, _ in good], [z for *_, z in good])[0, 1]) < 1e-9
     assert [r.config for r in sorted(found, key=lambda r: r.place)] == [r.config for r in sorted(found, key=lambda r: (-round(r.fit, 9), r.config))]
+
+
+def test_weighted_kappa(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(4), rng.randrange(5)) for _ in range(300)] + [(k, k) for k in range(4)] * 40
+    a, b = np.array(rows).T
+    want = []
+    for w in (lambda d: (d != 0) * 1.0, np.abs, lambda d: d * d):
+        expected = np.mean([w(a - y).mean() for y in b])
+        want.append(1 - w(a - b).mean() / expected)
+    frame = spark.createDataFrame([*rows, (None, 1), (1, None)], "a int, b int")
+    found = inference.weighted_kappa(frame, "a", "b").first()
+    assert found.n == len(rows)
+    np.testing.assert_allclose(list(found)[1:], want, rtol=1e-12)
+    assert list(inference.weighted_kappa(frame.where("a = 1 AND b = 1"), "a", "b").first())[1:] == [None] * 3
+    assert list(inference.weighted_kappa(frame.limit(0), "a", "b").first()) == [0, None, None, None]
+
+
+def test_normal_form(spark):
+    rows = [("e\u0301a\u0308", "\xe9\xe4"), ("\u212b", "\xc5"), ("plain", "plain"), ("", ""), (None, None), ("\ud55c\u1100\u1161", "\ud55c\uac00")]
+    found = spark.createDataFrame([(x,) for x, _ in rows], "t string").select(text.nfc("t").alias("n")).collect()
+    assert [r.n for r in found] == [y for _, y in rows]
