@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.scores import bucket, md5_number
-from plumeria.operators import asof
+from plumeria.operators import asof, quantiles
 from plumeria.plans.features import AS_OF
 from plumeria.plans.registry import LOG, query
 from plumeria.sources.tables import event_log, table
@@ -73,13 +73,15 @@ def rollup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(quantile_cont(seconds, 0.75) FILTER (s >= {AS_OF} - 604800), 5) AS recent_p75, round(quantile_cont(seconds, 0.75) FILTER (s < {AS_OF} - 604800), 5) AS before_p75
         FROM runs WHERE s < {AS_OF} GROUP BY job""")
 def delay_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = F.col("s") >= AS_OF - 7 * DAY
-    p = lambda x, q: F.round(F.percentile(x, F.lit(q)), 5)
-    sec = F.col("seconds")
-    return runs(spark, sf_dir).where(F.col("s") < AS_OF).groupBy("job").agg(
-        p(sec, 0.5).alias("median"), p(sec, 0.95).alias("p95"), F.round(F.max(sec), 5).alias("longest"),
-        p(F.when(recent, sec), 0.75).alias("recent_p75"), p(F.when(~recent, sec), 0.75).alias("before_p75"),
-    )
+    """A job's percentiles over all its runs and over those of the last week and before; no task holds a job."""
+    timed = runs(spark, sf_dir).where(F.col("s") < AS_OF)
+    part = F.when(F.col("s") >= AS_OF - 7 * DAY, "recent").otherwise("before")
+    rows = timed.select(F.explode(F.array(F.lit("all"), part)).alias("part"), "job", "seconds").select(F.concat_ws(":", "part", "job").alias("key"), "seconds")
+    found = quantiles.percentiles(rows, "key", "seconds", [0.5, 0.75, 0.95]).withColumn("job", F.substring_index("key", ":", -1))
+    p = lambda part, q: F.round(F.max(F.when(F.col("key").startswith(part) & (F.col("share") == q), F.col("percentile"))), 5)
+    shares = found.groupBy("job").agg(p("all", 0.5).alias("median"), p("all", 0.95).alias("p95"), p("recent", 0.75).alias("recent_p75"), p("before", 0.75).alias("before_p75"))
+    longest = timed.groupBy("job").agg(F.round(F.max("seconds"), 5).alias("longest"))
+    return longest.join(shares, "job", "left").select("job", "median", "p95", "longest", "recent_p75", "before_p75")
 
 
 @query("""WITH d AS (SELECT source, n_chars, doc_id % 4 = 0 AS recent FROM documents),

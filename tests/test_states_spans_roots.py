@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumeria.functions import text
-from plumeria.operators import inference, profile_state, roots, search, spans
+from plumeria.operators import inference, profile_state, quantiles, roots, search, spans
 from plumeria.streaming import events as stream
 
 DDL = "user_id long, s long, vec array<float>, category int"
@@ -150,3 +150,16 @@ def test_normal_form(spark):
     rows = [("e\u0301a\u0308", "\xe9\xe4"), ("\u212b", "\xc5"), ("plain", "plain"), ("", ""), (None, None), ("\ud55c\u1100\u1161", "\ud55c\uac00")]
     found = spark.createDataFrame([(x,) for x, _ in rows], "t string").select(text.nfc("t").alias("n")).collect()
     assert [r.n for r in found] == [y for _, y in rows]
+
+
+def test_percentiles(spark):
+    rng = random.Random(6)
+    groups = {"hot": [rng.lognormvariate(0, 2) for _ in range(20_000)], "ties": [float(rng.randrange(3)) for _ in range(5000)], "one": [7.0], "two": [1.0, 4.0], None: [3.0, 1.0, 2.0], "some": [rng.random() for _ in range(1234)]}
+    rows = [(g, v) for g, values in groups.items() for v in [*values, None]] + [("none", None)]
+    shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]
+    found = quantiles.percentiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "g", "v", shares)
+    got = {(r.g, r.share): (r.n, r.percentile) for r in found.collect()}
+    assert got.keys() == {(g, q) for g in groups for q in shares}
+    for (g, q), (n, p) in got.items():
+        assert n == len(groups[g]) and math.isclose(p, float(np.quantile(groups[g], q)), rel_tol=1e-12), (g, q)
+    assert quantiles.percentiles(spark.createDataFrame([], "g string, v double"), "g", "v", [0.5]).collect() == []
