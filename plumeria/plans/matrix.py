@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions import vectors
-from plumeria.operators import asof, density
+from plumeria.operators import asof, boosting, density
 from plumeria.operators import feature_matrix as matrix
-from plumeria.operators import pairwise, profile_state, roots, search, spans
+from plumeria.operators import pairwise, profile_state, roots, rounds, search, spans
 from plumeria.plans.features import _POPULARITY, _UNIT, AS_OF, popularity
 from plumeria.plans.registry import LOG, query
 from plumeria.sources.tables import clicks, event_log, items, table, views
@@ -112,6 +112,19 @@ def pairwise_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "term string, weight double, share double, groups long, pairs long, converged boolean")  # one row a term
 
 
+@query()
+def boosted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(req, item, bought, score, place): candidates of the later fifth of requests by trees fitted to the earlier ones."""
+    bought = event_log(spark, sf_dir, "purchase").select(F.col("event_id").alias("req"), F.col("item").alias("own"), (F.col("s") + 1).alias("t"))
+    x = F.array(*[F.col(c).cast("double") for c in matrix.COLUMNS]).alias("x")
+    rows = rounds.cut(matrix_rows(spark, sf_dir).join(bought, "req").select("req", "item", "t", x, (F.col("item") == F.col("own")).cast("int").alias("bought")))
+    parted = rows.join(F.broadcast(rows.agg(F.percentile_approx("t", 0.8).alias("until"))))  # one row
+    ranker = boosting.fit(parted.where("t <= until"), "req", "item", "x", "bought", trees=10)
+    scored = parted.where("t > until").select("req", "item", "bought", ranker.score(F.col("x")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("req").orderBy(F.desc("score"), "item"))  # five candidates a request
+    return scored.withColumn("place", place.cast("long"))
+
+
 @query()
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(batch, item, cluster, size): the clusters of the items that came out within one month, by density of their vectors."""
