@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumeria.functions import text
+from plumeria.functions import fuzzy, text
 from plumeria.plans.registry import query
 from plumeria.sources.tables import table
 
@@ -90,6 +90,32 @@ def fact_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Least likeness at which a name and a quotation count as found in a text.
+NAMED, QUOTED = 85.0, 90.0
+
+
+@query()
+def name_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and quotations of an assistant's turn held against the user's turn before it, and how alike both turns' names are.
+
+    A name is a word of at least four letters that begins with a capital, once a turn. An answer that no user's turn
+    precedes has nothing to support it; a null text is empty.
+    """
+    turns = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)  # rows stream in order
+    asked = F.last(F.when(F.col("role") == "user", F.coalesce("text", F.lit(""))), ignorenulls=True).over(w)
+    both = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(asked, F.lit("")).alias("source")).where("role = 'assistant'")
+    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b([A-Z][a-z]{3,})\b"), 1))
+    parts = both.select("conv_id", "turn", "source", names("text").alias("names"), names("source").alias("known"), F.array_distinct(text.quotes(F.col("text"))).alias("quoted"))
+    found = parts.select(
+        "conv_id", "turn", fuzzy.partial_ratios(F.col("names"), F.col("source"), NAMED).alias("n"), fuzzy.partial_ratios(F.col("quoted"), F.col("source"), QUOTED).alias("q"),
+        F.round(fuzzy.soft_jaccard(F.col("names"), F.col("known")), 6).alias("likeness"),
+    )
+    count = lambda c, least: F.size(F.filter(c, lambda x: x >= least)).cast("long")
+    size = lambda c: F.size(c).cast("long")
+    return found.select("conv_id", "turn", size("n").alias("names"), count("n", NAMED).alias("supported"), size("q").alias("quotes"), count("q", QUOTED).alias("quotes_supported"), "likeness")
+
+
 @query("""SELECT doc_id, length(text) AS chars, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS paragraphs, length(text) - length(replace(text, '!', '')) AS exclamations,
         len(regexp_extract_all(text, '[A-Z]{4,}')) AS shouted FROM documents""")
 def style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
