@@ -98,3 +98,43 @@ def weighted_kappa(rows: DataFrame, one: str, two: str) -> DataFrame:
     expected = first.join(second.hint("broadcast"), how="cross").agg(*[F.sum(w * F.col("p") * F.col("q")).alias(f"e_{k}") for k, w in weights.items()])  # grades squared
     both = seen.join(F.broadcast(expected))
     return both.select("n", *[F.when(F.col(f"e_{k}") > 0, 1 - F.col(f"o_{k}") * F.col("n") / F.col(f"e_{k}")).alias(k) for k in weights])
+
+
+def self_preference(
+    rows: DataFrame, cluster: str, generator: str, judge: str, family: str, judge_score: str, human_score: str, reference: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05,
+) -> DataFrame:
+    """(judge, family, n, own_gap, reference_gap, contrast, low, high): how much more a judge favours its own family than the reference judge does.
+
+    A row's error is the judge's score less the human one, each standardised over the judge's rows (0 where they don't
+    vary). A gap is the mean error of texts from a family less that of all others; the contrast is the judge's gap less
+    the reference judge's for the same family. The interval is of percentiles of the contrast with clusters drawn anew,
+    by the same draws for both judges; draws that lack one of the four means are left out.
+
+    Rows with a null column are left out. Judges whose family made no text have no row, nor has any without rows of the
+    reference judge; a judge's family is the least of its rows'. A cell of (judge, cluster, generator) is one row before
+    anything is drawn, and what is left after it is one row for each judge, generator and draw.
+    """
+    named = {"c": cluster, "g": generator, "j": judge, "f": family, "x": judge_score, "y": human_score}
+    own = rows.select(*[F.col(v).alias(k) for k, v in named.items()]).dropna().withColumns({k: F.col(k).cast("double") for k in "xy"})
+    scale = own.groupBy("j").agg(*[f(k).alias(f"{n}{k}") for k in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.min("f").alias("f"), F.count("*").alias("rows"))
+    cells = own.groupBy("j", "c", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n")).join(scale.drop("f", "rows"), "j")
+    z = lambda k: F.when(F.col(f"s{k}") > 0, (F.col(k) - F.col("n") * F.col(f"m{k}")) / F.col(f"s{k}")).otherwise(0.0)
+    drawn = cells.select("j", "c", "g", "n", (z("x") - z("y")).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
+    # Draw 0 is the sample itself.
+    w = F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, F.col("b"), F.col("c")))
+    sums = drawn.groupBy("j", "g", "b").agg(F.sum(w * F.col("e")).alias("e"), F.sum(w * F.col("n")).alias("n"))
+    all_ = sums.groupBy("j", "b").agg(F.sum("e").alias("all_e"), F.sum("n").alias("all_n"))
+    part = sums.join(all_, ["j", "b"])
+    mean = lambda e, n: F.when(n > 0, e / n)
+    gap = mean(F.col("e"), F.col("n")) - mean(F.col("all_e") - F.col("e"), F.col("all_n") - F.col("n"))
+    gaps = part.select("j", F.col("g").alias("f"), "b", gap.alias("gap"))
+    judges = scale.where(F.col("j") != reference).select("j", "f", "rows")
+    mine = gaps.join(judges, ["j", "f"])
+    both = mine.join(gaps.where(F.col("j") == reference).select("f", "b", F.col("gap").alias("ref")), ["f", "b"])
+    first = lambda c: F.max(F.when(F.col("b") == 0, c))
+    contrast = F.col("gap") - F.col("ref")
+    found = both.groupBy("j", "f").agg(
+        F.max("rows").alias("n"), first(F.col("gap")).alias("own_gap"), first(F.col("ref")).alias("reference_gap"), first(contrast).alias("contrast"),
+        F.percentile(F.when(F.col("b") > 0, contrast), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"),
+    )
+    return found.select(F.col("j").alias("judge"), F.col("f").alias("family"), "n", "own_gap", "reference_gap", "contrast", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))

@@ -114,6 +114,32 @@ def seed_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.round("mean", 6).alias("mean"), F.round("least", 6).alias("least_low"), F.round(low, 6).alias("combined_low"), ((F.col("least") > 0) & (low > 0)).alias("holds"))
 
 
+_JUDGES = ("j0", "j1", "j2", "ref")
+_PREFERENCE = f"""
+    r AS (SELECT user_id AS c, item % 3 AS g, j, k, value AS y, value * (1 + 0.1 * k) + 20 * ('0x' || substr(md5(j || ':' || event_id), 1, 8))::BIGINT / 4294967296.0 + CASE WHEN item % 3 = k THEN 5 ELSE 0 END AS x
+          FROM log, (SELECT unnest({list(_JUDGES)}) AS j, unnest(range({len(_JUDGES)})) AS k) WHERE value IS NOT NULL AND item IS NOT NULL AND user_id IS NOT NULL),
+    s AS (SELECT j, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy, count(*) AS n FROM r GROUP BY j),
+    cell AS (SELECT j, c, g, k, sum((x - mx) / sx - (y - my) / sy) AS e, count(*) AS n FROM r JOIN (SELECT j, mx, sx, my, sy FROM s) USING (j) GROUP BY ALL),
+    draw AS (SELECT *, ('0x' || substr(md5('0:' || b || ':' || c), 1, 8))::BIGINT / 4294967296.0 AS u FROM cell, range(0, 101) t(b)),
+    part AS (SELECT j, k, g, b, CASE WHEN b = 0 THEN 1 ELSE {_poisson('u')} END AS w, e, n FROM draw),
+    gaps AS (SELECT a.j, a.k, b, f, sum(w * e) FILTER (g = f) / sum(w * n) FILTER (g = f) - sum(w * e) FILTER (g <> f) / sum(w * n) FILTER (g <> f) AS gap FROM part a, range(3) h(f) GROUP BY ALL),
+    pair AS (SELECT o.j, o.f, o.b, o.gap, p.gap AS ref FROM gaps o JOIN gaps p ON p.j = 'ref' AND p.f = o.f AND p.b = o.b WHERE o.k = o.f AND o.j <> 'ref')
+"""
+
+
+@query(f"""WITH {LOG}, {_PREFERENCE} SELECT j AS judge, f AS family, (SELECT n FROM s WHERE s.j = pair.j) AS n, round(max(gap) FILTER (b = 0), 6) AS own_gap, round(max(ref) FILTER (b = 0), 6) AS reference_gap,
+    round(max(gap - ref) FILTER (b = 0), 6) AS contrast, round(quantile_cont(gap - ref, 0.025) FILTER (b > 0), 6) AS low, round(quantile_cont(gap - ref, 0.975) FILTER (b > 0), 6) AS high FROM pair GROUP BY j, f""")
+def self_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three judges, each with a liking for its own third of the items, held against one without: contrasts with users drawn anew."""
+    log = event_log(spark, sf_dir).where("value IS NOT NULL AND item IS NOT NULL").select("event_id", "user_id", "value", (F.col("item") % 3).alias("made_by"))
+    rated = log.select("*", F.posexplode(F.array(*map(F.lit, _JUDGES))).alias("k", "judge"))
+    noise = 20 * md5_number(F.col("judge"), F.col("event_id")) / F.lit(4294967296.0)
+    score = F.col("value") * (1 + 0.1 * F.col("k")) + noise + F.when(F.col("made_by") == F.col("k"), 5).otherwise(0)
+    rows = rated.select("user_id", "made_by", "judge", F.col("k").cast("long").alias("family"), score.alias("score"), "value")
+    found = inference.self_preference(rows, "user_id", "made_by", "judge", "family", "score", "value", "ref", replicates=100)
+    return found.select("judge", "family", "n", *[F.round(c, 6).alias(c) for c in ("own_gap", "reference_gap", "contrast", "low", "high")])
+
+
 @query(f"""WITH {LOG}, {_TASKS}, {_MRR}, f AS (SELECT day % 7 AS test, avg(a - b) / nullif(stddev_samp(a - b) / sqrt(count(*)), 0) AS z FROM mrr WHERE seed = 0 GROUP BY day % 7),
     p AS (SELECT test, 2 / (1 + exp(1.5976 * abs(z) + 0.07056 * abs(z) ** 3)) AS p FROM f WHERE z IS NOT NULL),
     o AS (SELECT *, row_number() OVER (ORDER BY p, test) AS i, count(*) OVER () AS m FROM p)
