@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.scores import md5_number
+from plumeria.operators import rounds
 
 #: Cumulative Poisson probabilities with mean 1, up to 7 (fixed values).
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
@@ -119,10 +120,11 @@ def self_preference(
     scale = own.groupBy("j").agg(*[f(k).alias(f"{n}{k}") for k in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.min("f").alias("f"), F.count("*").alias("rows"))
     cells = own.groupBy("j", "c", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n")).join(scale.drop("f", "rows"), "j")
     z = lambda k: F.when(F.col(f"s{k}") > 0, (F.col(k) - F.col("n") * F.col(f"m{k}")) / F.col(f"s{k}")).otherwise(0.0)
-    drawn = cells.select("j", "c", "g", "n", (z("x") - z("y")).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
-    # Draw 0 is the sample itself.
-    w = F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, F.col("b"), F.col("c")))
-    sums = drawn.groupBy("j", "g", "b").agg(F.sum(w * F.col("e")).alias("e"), F.sum(w * F.col("n")).alias("n"))
+    # A cluster's cells, no more than judges times generators, share its draws; draw 0 is the sample itself.
+    of = cells.groupBy("c").agg(F.collect_list(F.struct("j", "g", "n", (z("x") - z("y")).alias("e"))).alias("cells"))
+    drawn = of.select("c", "cells", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
+    weighed = drawn.withColumn("w", F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, F.col("b"), F.col("c")))).where("w > 0").select("b", "w", F.inline("cells"))
+    sums = rounds.cut(weighed.groupBy("j", "g", "b").agg(F.sum(F.col("w") * F.col("e")).alias("e"), F.sum(F.col("w") * F.col("n")).alias("n")))
     all_ = sums.groupBy("j", "b").agg(F.sum("e").alias("all_e"), F.sum("n").alias("all_n"))
     part = sums.join(all_, ["j", "b"])
     mean = lambda e, n: F.when(n > 0, e / n)
