@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.scores import md5_number
-from plumeria.operators import asof
+from plumeria.operators import asof, inference, quantiles
 from plumeria.operators.rounds import cut
 
 #: Least scores and most claims of the rules, the strictest first.
@@ -134,3 +134,53 @@ def confidence_gate(rows: DataFrame, least_auc: float, least_gain: float, folds:
     gain = F.col("oof") - F.col("baseline")
     recommended = F.coalesce((F.col("auc") >= least_auc) & (gain >= least_gain), F.lit(False))
     return found.select("n", "n_unparsed", "auc", "baseline", "oof", gain.alias("gain"), "threshold", recommended.alias("recommended"))
+
+
+def bake_off(rows: DataFrame, most_unsupported: float, most_drift: float, least_first_try: float, most_p95: float, attempts: tuple[int, int] = (3, 2), replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """One row for each candidate: its rates, its expected cost of 100 texts, whether it passes the gates, and who wins.
+
+    ``rows`` has (candidate, item, drafted, publishable, unsupported, drift, blocked, responded, first_try, latency,
+    generation_cost, tone_cost): a text, the people's verdict (null: none), what is wrong with it, its calls and costs.
+    A text is generated and toned anew up to ``attempts`` times while it is blocked or drifts. Of the candidates that
+    pass, the one with the best publishable rate is the top; the others are tied with it unless the interval of their
+    paired difference, with items drawn anew, leaves 0 out. The cheapest of the tied ones wins, then the least name.
+
+    Columns: candidate, n, n_failed, n_labelled, publishable_rate, unsupported_rate, drift_rate, block_rate,
+    first_try_rate, p95_latency, cost_per_100, passes, n_pairs, diff, low, high (top less candidate, null but for those
+    that pass and aren't the top), tied, winner. Rows without candidate or item are left out, null flags are no, null
+    costs and calls are 0. A measure that nothing bears is null, and its gate not passed. Of repeated (candidate, item)
+    the pairs take the best verdict. No pair of candidates is made but with the top; an item's verdicts share their draws.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    good = rows.where("candidate IS NOT NULL AND item IS NOT NULL")
+    draft = yes("drafted")
+    of_drafts = lambda x: F.avg(F.when(draft, x))
+    amount = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    sums = good.groupBy("candidate").agg(
+        F.count("*").alias("n"), F.count_if(~draft).alias("n_failed"), F.count("publishable").alias("n_labelled"), F.avg(F.col("publishable").cast("int")).alias("publishable_rate"),
+        *[of_drafts(yes(c).cast("int")).alias(n) for c, n in (("unsupported", "unsupported_rate"), ("drift", "drift_rate"), ("blocked", "block_rate"))],
+        (F.sum(amount("first_try")) / F.nullif(F.sum(amount("responded")), F.lit(0.0))).alias("first_try_rate"), F.avg(amount("generation_cost")).alias("g"), of_drafts(amount("tone_cost")).alias("t"),
+    )
+    slow = quantiles.percentiles(good, "candidate", "latency", [0.95]).select("candidate", F.col("percentile").alias("p95_latency"))
+    tries = lambda p, most: F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(0.0), lambda s, k: s + F.pow(p, k))
+    cost = 100 * (F.col("g") * tries(F.col("block_rate"), attempts[0]) + F.col("t") * tries(F.col("drift_rate"), attempts[1]))
+    gates = (F.col("unsupported_rate") <= most_unsupported) & (F.col("drift_rate") <= most_drift) & (F.col("first_try_rate") >= least_first_try) & (F.col("p95_latency") <= most_p95)
+    found = cut(sums.join(slow, "candidate", "left").withColumn("cost_per_100", cost).withColumn("passes", F.coalesce(gates, F.lit(False))).drop("g", "t"))
+    best = F.struct(-F.coalesce("publishable_rate", F.lit(-1.0)), F.coalesce("cost_per_100", F.lit(float("inf"))), "candidate")
+    top = found.where("passes").agg(F.min_by("candidate", best).alias("top"))  # one row
+    voted = good.where("publishable IS NOT NULL").groupBy("item", "candidate").agg(F.max(F.col("publishable").cast("int")).alias("v"))
+    voted = voted.join(F.broadcast(found.where("passes").select("candidate")), "candidate")  # one row a candidate
+    items = voted.groupBy("item").agg(F.collect_list(F.struct("candidate", "v")).alias("all")).join(F.broadcast(top))
+    mine = F.get(F.filter("all", lambda x: x["candidate"] == F.col("top")), F.lit(0))["v"]
+    apart = items.withColumn("mine", mine).where("mine IS NOT NULL").withColumn("others", F.filter("all", lambda x: x["candidate"] != F.col("top")))
+    drawn = apart.select("item", "mine", "others", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
+    drawn = drawn.withColumn("w", F.when(F.col("b") == 0, 1).otherwise(inference.poisson_weight(seed, F.col("b"), F.col("item")))).where("w > 0").select("b", "w", "mine", F.inline("others"))
+    each = drawn.groupBy("candidate", "b").agg((F.sum(F.col("w") * (F.col("mine") - F.col("v"))) / F.sum("w")).alias("d"), F.sum("w").alias("pairs"))
+    whole = lambda c: F.max(F.when(F.col("b") == 0, F.col(c)))
+    diffs = each.groupBy("candidate").agg(whole("pairs").alias("n_pairs"), whole("d").alias("diff"), F.percentile(F.when(F.col("b") > 0, F.col("d")), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    diffs = diffs.select("candidate", "n_pairs", "diff", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    joined = found.join(diffs, "candidate", "left").join(F.broadcast(top), how="left")
+    tied = F.col("passes") & ((F.col("candidate") == F.col("top")) | F.col("low").isNull() | ((F.col("low") <= 0) & (F.col("high") >= 0)))
+    joined = cut(joined.withColumn("tied", tied))
+    wins = joined.where("tied").agg(F.min_by("candidate", F.struct(F.coalesce("cost_per_100", F.lit(float("inf"))), "candidate")).alias("best"))  # one row
+    return joined.join(F.broadcast(wins)).withColumn("winner", F.coalesce(F.col("candidate") == F.col("best"), F.lit(False))).drop("best", "top")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeria.functions.scores import md5_number
-from plumeria.operators import judging
+from plumeria.operators import inference, judging
 from plumeria.plans.registry import query
 from plumeria.sources.tables import table
 
@@ -97,3 +97,43 @@ def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = judging.confidence_gate(rows, 0.7, 0.02)
     return found.withColumns({c: F.round(c, 6) for c in ("auc", "baseline", "oof", "gain", "threshold")})
+
+
+_U = "('0x' || substr(md5('0:' || b || ':' || item), 1, 8))::BIGINT / 4294967296.0"
+_BAKED = f"""
+    d AS (SELECT doc_id AS item, n_chars, quality, k FROM documents JOIN labels USING (doc_id), (SELECT unnest([0, 1, 2, 3]) AS k) WHERE quality IS NOT NULL),
+    r AS (SELECT k, item, {_DRAW.format('made').replace('doc_id', 'item')} % 50 > 0 AS drafted, CASE WHEN {_DRAW.format('read').replace('doc_id', 'item')} % 9 > 0 THEN {_DRAW.format('good').replace('doc_id', 'item')} % 100 < 60 + 20 * quality - [0, 1, 9, 0][k + 1] END AS publishable,
+                 {_DRAW.format('number').replace('doc_id', 'item')} % 100 < [3, 3, 3, 30][k + 1] AS unsupported, {_DRAW.format('drift').replace('doc_id', 'item')} % 100 < 5 + k AS drift, {_DRAW.format('block').replace('doc_id', 'item')} % 100 < 10 AS blocked,
+                 {_DRAW.format('first').replace('doc_id', 'item')} % 100 < 96 AS first_try, 1 + n_chars / 1000.0 * (1 + k) AS latency, n_chars * (4 - k) / 1000000.0 AS g, n_chars / 2000000.0 AS t FROM d),
+    m AS (SELECT k, count(*) AS n, count(*) FILTER (NOT drafted) AS n_failed, count(publishable) AS n_labelled, avg(publishable::INTEGER) AS publishable_rate, avg(unsupported::INTEGER) FILTER (drafted) AS unsupported_rate,
+                 avg(drift::INTEGER) FILTER (drafted) AS drift_rate, avg(blocked::INTEGER) FILTER (drafted) AS block_rate, sum(first_try::INTEGER) / (2.0 * count(*)) AS first_try_rate, quantile_cont(latency::DOUBLE, 0.95) AS p95_latency,
+                 avg(g) AS g, avg(t) FILTER (drafted) AS t FROM r GROUP BY k),
+    c AS (SELECT *, 100 * (g * (1 + block_rate + block_rate ** 2) + t * (1 + drift_rate)) AS cost_per_100, unsupported_rate <= 0.1 AND drift_rate <= 0.2 AND first_try_rate >= 0.4 AND p95_latency <= 100 AS passes FROM m),
+    top AS (SELECT k AS top FROM c WHERE passes ORDER BY publishable_rate DESC, cost_per_100, k LIMIT 1),
+    p AS (SELECT r.k, r.item, x.publishable::INTEGER - r.publishable::INTEGER AS d FROM r JOIN c USING (k), top, r x WHERE x.k = top AND x.item = r.item AND r.k <> top AND c.passes AND r.publishable IS NOT NULL AND x.publishable IS NOT NULL),
+    w AS (SELECT k, b, d, {" + ".join(f"({_U} >= {p})::INTEGER" for p in inference.POISSON)} AS w FROM p, (SELECT unnest(range(1, 101)) AS b)),
+    v AS (SELECT k, b, sum(w * d) / sum(w) AS d FROM w GROUP BY k, b HAVING sum(w) > 0),
+    q AS (SELECT k, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM v GROUP BY k),
+    s AS (SELECT k, count(*) AS n_pairs, avg(d) AS diff FROM p GROUP BY k),
+    f AS (SELECT c.*, n_pairs, diff, low, high, passes AND (k = top OR low IS NULL OR low <= 0 AND high >= 0) AS tied FROM c LEFT JOIN s USING (k) LEFT JOIN q USING (k), top)
+"""
+
+
+@query(f"""WITH {_BAKED} SELECT 'c' || k AS candidate, n, n_failed, n_labelled, round(publishable_rate, 6) AS publishable_rate, round(unsupported_rate, 6) AS unsupported_rate, round(drift_rate, 6) AS drift_rate, round(block_rate, 6) AS block_rate,
+    round(first_try_rate, 6) AS first_try_rate, round(p95_latency, 6) AS p95_latency, round(cost_per_100, 6) AS cost_per_100, passes, n_pairs, round(diff, 6) AS diff, round(low, 6) AS low, round(high, 6) AS high, tied,
+    k = (SELECT k FROM f WHERE tied ORDER BY cost_per_100, k LIMIT 1) AS winner FROM f""")
+def bake_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four candidates on every labelled document: gates, expected costs, paired differences and the one to adopt."""
+    each = labelled(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+    draw = lambda name: md5_number(F.concat(F.lit(name), F.col("k").cast("string")), F.col("doc_id"))
+    by = lambda *x: F.element_at(F.array(*map(F.lit, x)), F.col("k") + 1)
+    rows = each.select(
+        F.concat(F.lit("c"), F.col("k").cast("string")).alias("candidate"), F.col("doc_id").alias("item"), (draw("made") % 50 > 0).alias("drafted"),
+        F.when(draw("read") % 9 > 0, draw("good") % 100 < 60 + 20 * F.col("quality") - by(0, 1, 9, 0)).alias("publishable"),
+        (draw("number") % 100 < by(3, 3, 3, 30)).alias("unsupported"), (draw("drift") % 100 < 5 + F.col("k")).alias("drift"), (draw("block") % 100 < 10).alias("blocked"),
+        F.lit(2).alias("responded"), (draw("first") % 100 < 96).cast("int").alias("first_try"), (1 + F.col("n_chars") / 1000.0 * (1 + F.col("k"))).alias("latency"),
+        (F.col("n_chars") * (4 - F.col("k")) / 1000000.0).alias("generation_cost"), (F.col("n_chars") / 2000000.0).alias("tone_cost"),
+    )
+    found = judging.bake_off(rows, 0.1, 0.2, 0.4, 100.0, replicates=100)
+    measures = ("publishable_rate", "unsupported_rate", "drift_rate", "block_rate", "first_try_rate", "p95_latency", "cost_per_100", "diff", "low", "high")
+    return found.withColumns({c: F.round(c, 6) for c in measures})

@@ -132,3 +132,45 @@ def test_gate(spark, kind):
 def test_gate_of_an_empty_table(spark):
     r = judging.confidence_gate(spark.createDataFrame([], GATE), 0.6, 0.05).collect()
     assert [tuple(x) for x in r] == [(0, 0, None, None, None, None, None, False)]
+
+
+BAKED = "candidate string, item long, drafted boolean, publishable boolean, unsupported boolean, drift boolean, blocked boolean, responded int, first_try int, latency double, generation_cost double, tone_cost double, b int"
+
+
+def texts(rng, name, n, good, price, unsupported=0.02):
+    return [
+        (name, k, bool(k % 10), bool(rng.random() < good) if k % 7 else None, bool(rng.random() < unsupported), k % 9 == 0, k % 4 == 0, 2, 2 - (k % 8 == 0), float(k % 50), price, price / 2 if k % 3 else None, 1)
+        for k in range(n)
+    ]
+
+
+def test_bake_off(spark):
+    rng = np.random.default_rng(5)
+    rows = texts(rng, "dear", 400, 0.9, 3.0) + texts(rng, "alike", 400, 0.88, 1.0) + texts(rng, "worse", 400, 0.5, 0.1) + texts(rng, "wrong", 400, 1.0, 0.1, 0.5)
+    rows += [("unread", 1, None, None, None, None, None, None, None, None, None, None, 1), (None, 1, *rows[0][2:]), ("dear", None, *rows[0][2:])]
+    got = {r.candidate: r for r in judging.bake_off(spark.createDataFrame(rows, BAKED), 0.1, 0.3, 0.9, 60.0).collect()}
+    assert set(got) == {"dear", "alike", "worse", "wrong", "unread"}
+    for name in ("dear", "alike", "worse", "wrong"):
+        own = [r for r in rows if r[0] == name and r[1] is not None]
+        drafts, votes = [r for r in own if r[2]], [r[3] for r in own if r[3] is not None]
+        block, drift = np.mean([r[6] for r in drafts]), np.mean([r[5] for r in drafts])
+        cost = 100 * (np.mean([r[10] for r in own]) * (1 + block + block**2) + np.mean([r[11] or 0 for r in drafts]) * (1 + drift))
+        r = got[name]
+        assert (r.n, r.n_failed, r.n_labelled) == (400, 40, len(votes))
+        for a, b in ((r.publishable_rate, np.mean(votes)), (r.unsupported_rate, np.mean([x[4] for x in drafts])), (r.first_try_rate, np.mean([x[8] for x in own]) / 2), (r.p95_latency, np.percentile([x[9] for x in own], 95)), (r.cost_per_100, cost)):
+            assert a == pytest.approx(b)
+    assert {k for k, r in got.items() if r.passes} == {"dear", "alike", "worse"} and got["unread"].unsupported_rate is None
+    assert {k for k, r in got.items() if r.tied} == {"dear", "alike"} and [k for k, r in got.items() if r.winner] == ["alike"]
+    top = max(("dear", "alike"), key=lambda k: got[k].publishable_rate)
+    vote = {(r[0], r[1]): r[3] for r in rows}
+    d = [vote[top, k] - vote["worse", k] for k in range(400) if k % 7]
+    assert got["worse"].n_pairs == len(d) and got["worse"].diff == pytest.approx(np.mean(d)) and got["worse"].low > 0
+    half = 1.96 * np.std(d) / len(d) ** 0.5
+    assert got["worse"].low == pytest.approx(np.mean(d) - half, abs=0.03) and got["worse"].high == pytest.approx(np.mean(d) + half, abs=0.03)
+
+
+def test_bake_off_without_survivors(spark):
+    rows = texts(np.random.default_rng(6), "only", 30, 0.5, 1.0)
+    r = judging.bake_off(spark.createDataFrame(rows + rows[:3], BAKED), 0.1, 0.3, 0.9, 1.0).collect()[0]
+    assert (r.n, r.passes, r.tied, r.winner, r.diff) == (33, False, False, False, None)
+    assert judging.bake_off(spark.createDataFrame([], BAKED), 0.1, 0.3, 0.9, 1.0).collect() == []
