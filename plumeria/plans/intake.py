@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.functions import scores
+from plumeria.functions import scores, text
 from plumeria.plans.features import AS_OF
 from plumeria.plans.operations import _RUNS, runs
 from plumeria.plans.ranking import _SLOTS, _TASKS, GROUP, slots, tasks
@@ -107,12 +107,17 @@ def pack_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT source, ('0x' || substr(md5(doc_id || '|' || coalesce(lang, '') || '|' || coalesce(source, '') || '|' || n_chars || '|' || coalesce(text, '')), 1, 12))::BIGINT AS h FROM documents)
     SELECT source, count(*) AS rows_, sum(h)::BIGINT AS checksum FROM r GROUP BY source UNION ALL SELECT 'TRAILER', count(*), sum(h)::BIGINT FROM r""")
 def export_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts and an order-free checksum of an export, by source and in its trailer."""
+    """Row counts and an order-free checksum of an export, by source and in its trailer.
+
+    Sums are exact as decimals. From some 65,000 rows on they can pass the 63 bits of the column, where the SQL's cast
+    fails; a checksum is then the sum modulo 2**64 in two's complement, and below that the sum itself.
+    """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     line = F.concat_ws("|", *[part(c) for c in ("doc_id", "lang", "source", "n_chars", "text")])
-    h = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("long")
-    by = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("rows_"), F.sum(h).alias("checksum"))
-    return by.unionByName(by.agg(F.lit("TRAILER").alias("source"), F.sum("rows_").alias("rows_"), F.sum("checksum").alias("checksum")))
+    h = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(15,0)")
+    by = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("rows_"), F.sum(h).alias("sum_"))
+    all_ = by.agg(F.lit("TRAILER").alias("source"), F.coalesce(F.sum("rows_"), F.lit(0)).alias("rows_"), F.sum("sum_").alias("sum_"))
+    return by.unionByName(all_).select("source", "rows_", text.in_64_bits(F.col("sum_")).alias("checksum"))
 
 
 @query("""WITH h AS (SELECT source, md5(coalesce(text, '')) AS h FROM documents), c AS (SELECT source, h, count(*) AS n FROM h GROUP BY ALL), s AS (SELECT source, sum(n)::BIGINT AS parsed, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS dup FROM c GROUP BY source)
