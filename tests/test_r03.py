@@ -38,3 +38,13 @@ def test_export_of_no_rows_has_a_trailer(spark, tmp_path):
     found = QUERIES["export_integrity"](spark, str(tmp_path))
     assert [tuple(x) for x in found.collect()] == [("TRAILER", 0, None)] == by_sql("export_integrity", documents=f"{tmp_path}/documents.parquet")
     assert dict(found.dtypes)["checksum"] == "bigint"
+
+
+def test_titles_differ_by_bytes_as_in_sql(spark, tmp_path):
+    """Accents and Hangul: two or three bytes an edit, so some pairs are no pairs."""
+    base = "the same beginning of one of the titles "
+    texts = [base, base.replace("of one", "öf öne"), base.replace("o", "ó"), base.replace("titles", "títlés"), base.replace("titles", "tít한é"), base.replace("one", "two"), "é" * 40, "é" * 38 + "e", "", None]
+    spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want = by_sql("near_dup_titles", documents=f"{tmp_path}/documents.parquet")
+    assert len(want) >= 4
+    assert sorted(map(tuple, QUERIES["near_dup_titles"](spark, str(tmp_path)).collect())) == sorted(want)
