@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import duckdb
+import numpy as np
 
+from plumeria.operators import nearest
 from plumeria.plans.catalog import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,3 +51,25 @@ def test_titles_differ_by_bytes_as_in_sql(spark, tmp_path):
     want = by_sql("near_dup_titles", documents=f"{tmp_path}/documents.parquet")
     assert len(want) >= 4
     assert sorted(map(tuple, QUERIES["near_dup_titles"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_votes_of_nearest_with_copies_and_nulls(spark, tmp_path):
+    """Copies that tie by the hundred, products that tie when rounded, null vectors; tiles of a few rows."""
+    rng = random.Random(4)
+    hot = [rng.gauss(0, 1) for _ in range(64)]
+    rows = []
+    for i in range(600):
+        vec = hot if i % 3 == 0 else [x + 1e-11 * rng.random() for x in hot] if i % 50 == 1 else [rng.gauss(0, 1) for _ in range(64)]
+        rows.append((i, None if i in (40, 77) else vec, rng.randrange(3)))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "event_id long, user_id long, event_type string, value double, props string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    want = by_sql("knn_vote", embeddings=f"{tmp_path}/embeddings.parquet", events=f"{tmp_path}/events.parquet")
+    found = QUERIES["knn_vote"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_a_tile_gives_few_pairs_however_many_tie():
+    ids, vectors = np.arange(5000), np.ones((5000, 4))
+    found = list(nearest.candidates(vectors[:20], vectors, ids[:20], ids, 10, 9))
+    assert sum(len(i) for i, _, _ in found) == 200
+    assert [j.tolist() for i, j, _ in found][0][:10] == list(range(1, 11))
