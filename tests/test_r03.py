@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from plumeria.operators import nearest
+from plumeria.functions import text
+from plumeria.operators import boosting, nearest, pairwise, shingles
 from plumeria.plans.catalog import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,3 +77,25 @@ def test_a_tile_gives_few_pairs_however_many_tie():
     found = list(nearest.candidates(vectors[:20], vectors, ids[:20], ids, 10, 9))
     assert sum(len(i) for i, _, _ in found) == 200
     assert [j.tolist() for i, j, _ in found][0][:10] == list(range(1, 11))
+
+
+def test_shared_runs_are_exact_however_full_the_filter(spark, tmp_path, monkeypatch):
+    """Runs over the ends of pieces, characters beyond 16 bits, repeats, short and null texts; a filter of 64 bits lets all pass."""
+    rng = random.Random(6)
+    known = ["".join(rng.choice("abé한😀\n") for _ in range(k)) for k in (0, 5, 15, 16, 17, 40, 90)]
+    texts = [*known, None, known[5] + known[6], "xx" + known[6][20:50] + "yy" + known[6][20:50], "".join(rng.choice("ab") for _ in range(300)), known[6][1:17]]
+    cut = lambda x: {x[i : i + 16] for i in range(len(x) - 15)}
+    all_ = set().union(*map(cut, known))
+    want = {i: len(cut(x or "") & all_) for i, x in enumerate(texts) if cut(x or "") & all_}
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    base = spark.createDataFrame([(x,) for x in [*known, None]], "text string")
+    for bits in (64, 1 << 20):
+        assert {x.id: x.shared for x in shingles.shared(frame, base, 16, bits).collect()} == want
+    every = np.ones(8, np.uint8) * 255
+    monkeypatch.setattr(shingles, "PIECE", 21)
+    assert set(shingles._passed(known[6], 16, every, 64)) == set(shingles._passed(known[6], 16, None, 64)) == cut(known[6])
+    points = np.frombuffer((known[6] + known[6][3:30]).encode("utf-32-le"), np.uint32)
+    for n in (1, 3, 16, 21):
+        h = shingles.hashes(points, n).tolist()
+        assert len(h) == len(points) - n + 1
+        assert len(set(h)) == len({tuple(points[i : i + n]) for i in range(len(h))})
