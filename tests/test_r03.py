@@ -99,3 +99,21 @@ def test_shared_runs_are_exact_however_full_the_filter(spark, tmp_path, monkeypa
         h = shingles.hashes(points, n).tolist()
         assert len(h) == len(points) - n + 1
         assert len(set(h)) == len({tuple(points[i : i + n]) for i in range(len(h))})
+
+
+def test_amounts_are_read_from_their_stretches_only(spark):
+    """Any order of tokens, against the reading of all tokens of the text one by one."""
+    rng = random.Random(7)
+    parts = ["1", "2,000", "3.5", "1,2345", "7.", "$", "만", "조", "천억", "%", "%p", "%포인트", "원", "명", "bp", "b", "billion", "million", "x", ",", ".", "2024년", "3월 5일", "\n", " ", "  ", " "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    frame = spark.createDataFrame([(x,) for x in texts], "t string")
+    whole = text._amounts(F.regexp_replace("t", text.DATE, " ; "))
+    assert frame.where(text.numbers(F.col("t")) != whole).count() == 0
+    assert frame.where(F.size(whole) > 1).count() > 500
+
+
+def test_only_stretches_with_a_unit_or_scale_are_read(spark):
+    """300,000 plain characters and 20,000 bare numbers hold 3,000 amounts, each read by itself."""
+    frame = spark.range(1).selectExpr("concat(repeat('some plain words ', 20000), repeat('7 8,000 9.5; ', 7000), repeat('5% and 3만 5천 명; ', 1500)) AS t")
+    found = frame.select(text.numbers(F.col("t")).alias("x")).first()["x"]
+    assert [(x.value, x.unit) for x in found] == [(5.0, "%"), (35_000.0, "명")] * 1500
