@@ -117,3 +117,16 @@ def test_only_stretches_with_a_unit_or_scale_are_read(spark):
     frame = spark.range(1).selectExpr("concat(repeat('some plain words ', 20000), repeat('7 8,000 9.5; ', 7000), repeat('5% and 3만 5천 명; ', 1500)) AS t")
     found = frame.select(text.numbers(F.col("t")).alias("x")).first()["x"]
     assert [(x.value, x.unit) for x in found] == [(5.0, "%"), (35_000.0, "명")] * 1500
+
+
+def test_normal_forms_are_made_a_slice_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(text, "HELD", 10)
+    texts = ["é" * 4, None, "plain", "", "ㅎ한", "x" * 30, "ä"]
+    slices = list(text._normal_slices(pa.array(texts, pa.string())))
+    assert len(slices) > 1 and max(sum(len(x or "") for x in s[:-1]) for s in slices) <= 10
+    assert [x for s in slices for x in s] == [None if x is None else unicodedata.normalize("NFC", x) for x in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.nfc("t").alias("n"), text.nfc_digest("t").alias("d"))
+    for i, n, d in frame.collect():
+        one = None if texts[i] is None else unicodedata.normalize("NFC", texts[i])
+        assert n == one
+        assert (d and tuple(d)) == (None if one is None else (hashlib.sha256(one.encode()).hexdigest(), one != texts[i], len(one)))
