@@ -1,7 +1,7 @@
 """Weights of a linear score by pairwise conditional logistic regression, fitted by distributed Newton steps.
 
 In each group every positive row is held against every negative one; a group's pairs weigh 1 together. The pairs are
-made in the tasks, from the rows of a group as they lie in one sorted partition, a block at a time, and add up to one
+made in the tasks, from the rows of very many small groups or of a block of a large one at a time, and add up to one
 loss, gradient and Hessian a task: no table of pairs exists. The driver solves for the step from these few numbers.
 """
 
@@ -12,11 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Positive rows that meet a group's negative rows at once.
 BLOCK = 256
+#: Pairs of whole groups that are made at once.
+TOGETHER = 1 << 16
 #: Step lengths that are tried in one pass where the whole step doesn't lower the loss enough.
 _SHORTER = tuple(0.5**k for k in range(1, 27))
 
@@ -41,6 +44,29 @@ def _lists(rows: DataFrame, group: str, features: str, label: str) -> DataFrame:
     return lists.where("size(positive) > 0 AND size(negative) > 0").drop("_g")
 
 
+def _differences(batch: pa.RecordBatch, size: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positive less negative row, weight) for all pairs of a batch of groups: small groups together, large ones in blocks."""
+    sides = []
+    for name in ("positive", "negative"):
+        column = batch.column(name)
+        rows = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // size
+        sides.append((column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size), rows, np.cumsum(rows) - rows))
+    (positive, p, p_at), (negative, n, n_at) = sides
+    pairs = p * n
+    for k in np.flatnonzero(pairs > TOGETHER):
+        against = negative[n_at[k] : n_at[k] + n[k]]
+        for at in range(p_at[k], p_at[k] + p[k], block):
+            d = (positive[at : min(at + block, p_at[k] + p[k]), None] - against[None]).reshape(-1, size)
+            yield d, np.full(len(d), 1.0 / pairs[k])
+    small = np.flatnonzero(pairs <= TOGETHER)
+    if len(small):
+        ends = np.cumsum(pairs[small])
+        for own in np.split(small, np.flatnonzero(np.diff(ends // TOGETHER)) + 1):
+            group = np.repeat(own, pairs[own])
+            place = np.arange(len(group)) - np.repeat(np.cumsum(pairs[own]) - pairs[own], pairs[own])
+            yield positive[p_at[group] + place // n[group]] - negative[n_at[group] + place % n[group]], 1.0 / pairs[group]
+
+
 def _sums(lists: DataFrame, points: np.ndarray, whole: bool, block: int) -> tuple[np.ndarray, int, int]:
     """(sums, groups, pairs): the losses at all points and, if ``whole``, gradient and Hessian at the first."""
     size = points.shape[1]
@@ -49,18 +75,15 @@ def _sums(lists: DataFrame, points: np.ndarray, whole: bool, block: int) -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, groups, pairs = np.zeros(width), 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                positive, negative = (np.array(row[k]).reshape(-1, size) for k in ("positive", "negative"))
-                a = 1.0 / (len(positive) * len(negative))
-                groups, pairs = groups + 1, pairs + len(positive) * len(negative)
-                for at in range(0, len(positive), block):
-                    d = (positive[at : at + block, None] - negative[None]).reshape(-1, size)
-                    z = d @ points.T
-                    total[: len(points)] += a * np.logaddexp(0.0, -z).sum(axis=0)
-                    if whole:
-                        s = 0.5 - 0.5 * np.tanh(0.5 * z[:, 0])  # sigma(-z), without overflow
-                        total[len(points) : len(points) + size] -= a * (s @ d)
-                        total[len(points) + size :] += a * ((d.T * (s * (1 - s))) @ d).ravel()
+            groups += batch.num_rows
+            for d, a in _differences(batch, size, block):
+                pairs += len(d)
+                z = d @ points.T
+                total[: len(points)] += a @ np.logaddexp(0.0, -z)
+                if whole:
+                    s = 0.5 - 0.5 * np.tanh(0.5 * z[:, 0])  # sigma(-z), without overflow
+                    total[len(points) : len(points) + size] -= (a * s) @ d
+                    total[len(points) + size :] += ((d.T * (a * s * (1 - s))) @ d).ravel()
         yield pa.RecordBatch.from_pylist([{"sums": total.tolist(), "groups": groups, "pairs": pairs}])
 
     tasks = lists.select("positive", "negative").mapInArrow(run, "sums array<double>, groups long, pairs long").collect()  # one row a task

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumeria.functions import text
 from plumeria.operators import boosting, nearest, pairwise, shingles
+from plumeria.operators import feature_matrix as matrix
 from plumeria.plans.catalog import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,6 +80,16 @@ def test_a_tile_gives_few_pairs_however_many_tie():
     assert [j.tolist() for i, j, _ in found][0][:10] == list(range(1, 11))
 
 
+def test_differences_of_many_groups_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(pairwise, "TOGETHER", 7)
+    rng = np.random.default_rng(1)
+    groups = [(rng.normal(size=(a, 3)), rng.normal(size=(b, 3))) for a, b in ((1, 4), (2, 2), (3, 5), (1, 1), (1, 6), (2, 3))]
+    batch = pa.RecordBatch.from_pylist([{"positive": x.ravel().tolist(), "negative": y.ravel().tolist()} for x, y in groups])
+    found = [(*d, a) for ds, weights in pairwise._differences(batch, 3, 2) for d, a in zip(ds.tolist(), weights.tolist(), strict=True)]
+    want = [(*(p - q).tolist(), 1 / (len(x) * len(y))) for x, y in groups for p in x for q in y]
+    assert sorted(found) == sorted(want)
+
+
 def test_shared_runs_are_exact_however_full_the_filter(spark, tmp_path, monkeypatch):
     """Runs over the ends of pieces, characters beyond 16 bits, repeats, short and null texts; a filter of 64 bits lets all pass."""
     rng = random.Random(6)
