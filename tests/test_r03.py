@@ -141,3 +141,36 @@ def test_normal_forms_are_made_a_slice_at_a_time(spark, monkeypatch):
         one = None if texts[i] is None else unicodedata.normalize("NFC", texts[i])
         assert n == one
         assert (d and tuple(d)) == (None if one is None else (hashlib.sha256(one.encode()).hexdigest(), one != texts[i], len(one)))
+
+
+def test_a_full_bucket_costs_its_requests_no_pass_each():
+    """Two users' days in four batches, one of them full, held against each request's own clicks."""
+    rng = np.random.default_rng(3)
+    day = matrix.DAY
+    rows = []
+    for key, n in ((1, 3), (2, 400)):
+        for at in np.sort(rng.integers(9 * day, 11 * day, n)).tolist():
+            rows.append({"side": 0, "key": key, "bucket": 10, "at": at, "kind": 0, "req": None, "vec": rng.normal(size=3).tolist(), "category": int(rng.integers(4))})
+    rows += [{"side": 0, "key": k, "bucket": 10, "at": int(at), "kind": 2, "req": i, "vec": None, "category": None} for i, (k, at) in enumerate(zip(rng.integers(1, 3, 90), rng.integers(10 * day, 11 * day, 90), strict=True))]
+    rows.sort(key=lambda r: (r["key"], r["at"], r["kind"]))
+    types = {"side": pa.int32(), "key": pa.int64(), "bucket": pa.int64(), "at": pa.int64(), "kind": pa.int32(), "req": pa.int64(), "vec": pa.list_(pa.float64()), "category": pa.int32()}
+    table = pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(types.items())))
+    whole = list(matrix._whole_groups((table.slice(at, 130) for at in range(0, len(rows), 130)), ("side", "key", "bucket")))
+    assert [len(set(x.column("key").to_pylist()) & {1}) for x, _ in whole].count(1) == 1 and sum(x.num_rows for x, _ in whole) == len(rows)
+    lists, ints = pa.list_(pa.float64()), ("kind", "req", "key", "bucket", "at", "item", "short_n", "n", "first", "last", "tail_n")
+    schema = pa.schema([*((x, pa.int64()) for x in ints), *((x, lists) for x in ("short", "decayed", "tail")), ("counts", pa.list_(pa.int64())), ("whole", pa.bool_())])
+    found = [r for x, group in whole for b in matrix._user_batches(x, group, 4, matrix.Settings(), schema) for r in b.to_pylist()]
+    assert [r["kind"] for r in found].count(1) == 2 and [r["kind"] for r in found].count(0) == 90
+    for r in found:
+        own = [x for x in rows if x["kind"] == 0 and x["key"] == r["key"] and (r["kind"] == 1 or x["at"] < r["at"])]
+        if r["kind"] == 0:
+            assert r["short_n"] == sum(x["at"] >= r["at"] - day for x in own)
+            assert np.allclose(r["short"] or [0] * 3, sum((np.array(x["vec"]) for x in own if x["at"] >= r["at"] - day), np.zeros(3)))
+        own = [x for x in own if x["at"] >= 10 * day]
+        assert (r["n"] or 0) == len(own)
+        if own:
+            last = [x for i, x in enumerate(own) if all(b["at"] - a["at"] <= 1800 for a, b in zip(own[i:], own[i + 1 :], strict=False))]
+            assert np.allclose(r["decayed"], sum(np.array(x["vec"]) * 0.5 ** ((own[-1]["at"] - x["at"]) / (7 * day)) for x in own))
+            assert np.allclose(r["tail"], sum(np.array(x["vec"]) for x in last))
+            assert (r["first"], r["last"], r["tail_n"], r["whole"]) == (own[0]["at"], own[-1]["at"], len(last), len(last) == len(own))
+            assert r["counts"] == np.bincount([x["category"] for x in own], minlength=4).tolist()
