@@ -1,6 +1,7 @@
 """Boosted ranking trees (LambdaRank) by histograms: features are binned once, and each level of a tree is one aggregate.
 
-A list, the rows of a group, lies in one row of a table: bins, labels and scores as packed numbers. For each tree every
+Lists, the rows of a group each, lie some thousand rows to a row of a table: bins, labels and scores as packed numbers, and
+the lists' sizes. Lists of one size are handled by the same few numpy calls. For each tree every
 list computes its rows' gradients from its own order; for each level the tasks add gradients up by (node, feature, bin)
 and Spark sums these cells, whose number the parameters bound. The driver picks splits from them. Gradients are whole
 numbers of 2**-24, so any order of addition gives the same sums, and a rerun, the same trees.
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from plumeria.operators import rounds
 SCALE = 1 << 24
 #: Trees between two cuts of the lineage, and rows of a list that meet all its rows at once.
 CHUNK, BLOCK = 8, 256
-_STATE = "bins binary, labels binary, scores binary, g binary, h binary"
+#: Rows of lists that lie in one row of the table, unless a list alone has more, and pairs that are held at once.
+ROWS, PAIRS = 1 << 13, 1 << 19
+_STATE = "bins binary, labels binary, scores binary, g binary, h binary, sizes binary"
 
 
 @dataclass(frozen=True)
@@ -107,6 +111,35 @@ def gradients(labels: np.ndarray, scores: np.ndarray, block: int = BLOCK) -> tup
     return whole(g), whole(h)
 
 
+def all_gradients(labels: np.ndarray, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``gradients`` of lists that lie one behind the other; neighbours of one size, a block at most, go together."""
+    g, h = np.empty(len(labels), np.int64), np.empty(len(labels), np.int64)
+    runs = np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(sizes)) + 1) if len(sizes) else []
+    begin = 0
+    for run in runs:
+        n = int(sizes[run[0]])
+        step = max(PAIRS // (n * n), 1) if n <= BLOCK else 1
+        for at in range(0, len(run), step):
+            k = min(step, len(run) - at)
+            own = slice(begin, begin + k * n)
+            begin += k * n
+            if n > BLOCK:
+                g[own], h[own] = gradients(labels[own], scores[own])
+                continue
+            y, s = labels[own].reshape(k, n), scores[own].reshape(k, n)
+            gain, discount = 2.0**y - 1, np.empty((k, n))
+            np.put_along_axis(discount, np.argsort(-s, axis=1, kind="stable"), np.broadcast_to(1 / np.log2(2 + np.arange(n)), (k, n)), axis=1)
+            apart = lambda v: v[:, :, None] - v[:, None, :]
+            weight = np.where(apart(y) > 0, apart(gain) * np.abs(apart(discount)), 0.0)
+            p = 0.5 - 0.5 * np.tanh(0.5 * apart(s))
+            first, second = weight * p, weight * p * (1 - p)
+            total = weight.reshape(k, -1).sum(axis=1)[:, None]
+            sums = 0.0 - first.sum(axis=2) + first.sum(axis=1), second.sum(axis=2) + second.sum(axis=1)
+            for out, v in zip((g, h), sums, strict=True):
+                out[own] = np.where(total > 0, np.rint(v / np.where(total > 0, total, 1.0) * SCALE), 0.0).astype(np.int64).ravel()
+    return g, h
+
+
 def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, l2: float, least: int) -> tuple[int, int]:
     """(feature, bin) of the greatest gain among cells (feature, bin) of one node; (-1, 0) where no split gains.
 
@@ -136,21 +169,26 @@ def _packed(lists: DataFrame, ranker: Ranker) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, x in zip(batch["y"], batch["x"], strict=True):
-                labels = y.values.to_numpy(zero_copy_only=False).astype(np.int8)
-                bins = ranker.bins(x.values.to_numpy(zero_copy_only=False).reshape(-1, size))
-                yield _row(bins, labels, np.zeros(len(labels)), b"", b"")
+            sizes = pc.list_value_length(batch.column("y")).to_numpy(zero_copy_only=False).astype(np.int64)
+            labels = batch.column("y").flatten().to_numpy(zero_copy_only=False).astype(np.int8)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            begins, order = np.cumsum(sizes) - sizes, np.argsort(sizes, kind="stable")
+            ends = np.cumsum(sizes[order])
+            for own in np.split(order, np.flatnonzero(np.diff((ends - 1) // ROWS)) + 1) if len(order) else []:
+                n = sizes[own]
+                rows = np.repeat(begins[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield _row(ranker.bins(x[rows]), labels[rows], np.zeros(len(rows)), b"", b"", n.astype(np.int32))
 
     return lists.mapInArrow(run, _STATE)
 
 
-def _row(bins: np.ndarray, labels: np.ndarray, scores: np.ndarray, g: bytes, h: bytes) -> pa.RecordBatch:
-    values = (bins.tobytes(), labels.tobytes(), scores.tobytes(), g, h)
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["bins", "labels", "scores", "g", "h"])
+def _row(bins: np.ndarray, labels: np.ndarray, scores: np.ndarray, g: bytes, h: bytes, sizes: np.ndarray) -> pa.RecordBatch:
+    values = (bins.tobytes(), labels.tobytes(), scores.tobytes(), g, h, sizes.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["bins", "labels", "scores", "g", "h", "sizes"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    kinds = {"bins": np.uint8, "labels": np.int8, "scores": np.float64, "g": np.int64, "h": np.int64}
+    kinds = {"bins": np.uint8, "labels": np.int8, "scores": np.float64, "g": np.int64, "h": np.int64, "sizes": np.int32}
     for batch in batches:
         for k in range(batch.num_rows):
             bins, *rest = (np.frombuffer(batch[name][k].as_py(), kind) for name, kind in kinds.items())
@@ -161,10 +199,10 @@ def _advance(size: int, tree: Tree | None) -> Callable:
     """Scores with one more tree, and the gradients there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bins, labels, scores, _, _ in _unpacked(batches, size):
+        for bins, labels, scores, _, _, sizes in _unpacked(batches, size):
             now = scores if tree is None else scores + tree.scores(bins)
-            g, h = gradients(labels.astype(float), now)
-            yield _row(bins, labels, now, g.tobytes(), h.tobytes())
+            g, h = all_gradients(labels.astype(float), now, sizes)
+            yield _row(bins, labels, now, g.tobytes(), h.tobytes(), sizes)
 
     return run
 
@@ -175,10 +213,10 @@ def _cells(state: DataFrame, size: int, width: int, tree: Tree, depth: int) -> n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, some = np.zeros((3, np.prod(shape)), np.int64), False
-        for bins, _, _, g, h in _unpacked(batches, size):
+        for bins, _, _, g, h, _ in _unpacked(batches, size):
             cell = ((tree.nodes(bins, depth)[:, None] * size + np.arange(size)) * width + bins).ravel()
             for out, v in zip(sums, (g, h, np.ones(len(g), np.int64)), strict=True):
-                out += np.bincount(cell, np.repeat(v, size).astype(float), out.size).astype(np.int64)  # a list's sums are exact
+                out += np.bincount(cell, np.repeat(v, size).astype(float), out.size).astype(np.int64)  # a row's sums are exact
             some = True
         if some:
             at = np.flatnonzero(sums[2])

@@ -90,6 +90,16 @@ def test_differences_of_many_groups_are_those_of_each(monkeypatch):
     assert sorted(found) == sorted(want)
 
 
+def test_gradients_of_many_lists_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(boosting, "PAIRS", 60)
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 1, 3, 5, 5, 5, 5, 5, 40, 40, 300, 2], np.int32)
+    labels, scores = rng.integers(0, 3, sizes.sum()).astype(float), rng.normal(size=sizes.sum()).round(1)
+    want = [boosting.gradients(y, s) for y, s in zip(np.split(labels, np.cumsum(sizes)[:-1]), np.split(scores, np.cumsum(sizes)[:-1]), strict=True)]
+    for found, one in zip(boosting.all_gradients(labels, scores, sizes), zip(*want, strict=True), strict=True):
+        assert (found == np.concatenate(one)).all()
+
+
 def test_shared_runs_are_exact_however_full_the_filter(spark, tmp_path, monkeypatch):
     """Runs over the ends of pieces, characters beyond 16 bits, repeats, short and null texts; a filter of 64 bits lets all pass."""
     rng = random.Random(6)
