@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from plumeria.functions import text
 from plumeria.operators import boosting, nearest, pairwise, shingles
 from plumeria.operators import feature_matrix as matrix
+from plumeria.plans import text as plans
 from plumeria.plans.catalog import ORACLE_SQL, QUERIES
+from tests.test_whole import edits
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -184,3 +186,41 @@ def test_a_full_bucket_costs_its_requests_no_pass_each():
             assert np.allclose(r["tail"], sum(np.array(x["vec"]) for x in last))
             assert (r["first"], r["last"], r["tail_n"], r["whole"]) == (own[0]["at"], own[-1]["at"], len(last), len(last) == len(own))
             assert r["counts"] == np.bincount([x["category"] for x in own], minlength=4).tolist()
+
+
+def one_beginning(rng, n):
+    """Titles of one beginning whose ends are drawn, and as many with some edits anywhere."""
+    tail = lambda k: "".join(rng.choice("etaoinshrdlu é") for _ in range(k))
+    base = ["All rights reserved.\n" + tail(rng.choice([13, 16, 19, 19, 19])) for _ in range(n)]
+    near = []
+    for x in base:
+        y = list(x)
+        for _ in range(rng.randint(1, 7)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.choice([0, 1, 1])] = rng.choice(["", tail(1)])
+        near.append("".join(y)[:40])
+    return base + near
+
+
+def test_titles_of_one_beginning_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans, "TOGETHER", 7)
+    titles = sorted(set(one_beginning(random.Random(8), 60)))
+    spark.createDataFrame([(i, x, "en", None, 1) for i, x in enumerate(titles)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    alike = lambda x, y: 100 * edits(x, y) <= 15 * max(len(x), len(y))
+    want = [(i, j) for i, x in enumerate(titles) for j in range(i + 1, len(titles)) if alike(x, titles[j])]
+    assert len(want) > 20
+    assert sorted((x.a, x.b) for x in QUERIES["near_titles"](spark, str(tmp_path)).collect()) == want
+
+
+def test_few_titles_of_one_beginning_are_compared(spark):
+    """No pair of d edits has more than 2 d pairs of characters apart, and nearly all others have."""
+    titles = [x for x in one_beginning(random.Random(9), 80) if len(x) >= 34]
+    rows = spark.createDataFrame(list(enumerate(titles)), "i int, t string").withColumn("p", text.pair_planes(F.col("t")))
+    rows = rows.select("i", "t", *[F.col("p")[w].alias(f"p{w}") for w in range(text.PLANES)])
+    apart = text.pairs_apart("x.p{w}", "y.p{w}", range(-6, 4))
+    both = rows.alias("x").join(rows.alias("y"), F.expr("length(x.t) >= length(y.t) AND x.i <> y.i AND length(x.t) - length(y.t) <= 6"))
+    found = both.select("x.i", "y.i", F.expr(f"bit_count(({apart}) & (shiftleft(1L, length(x.t) - 1) - 1))")).collect()
+    exact = [(edits(titles[i], titles[j]), n) for i, j, n in found]
+    assert sum(d <= 6 for d, _ in exact) > 40
+    assert all(n <= 2 * d for d, n in exact if d <= 6)
+    assert sum(n <= 12 for d, n in exact if d > 6) < 0.1 * len(exact)
