@@ -21,6 +21,7 @@ SHARD_KEYS, ROOM = 1 << 15, 2
 BINS = 10
 _LEVELS = 64
 SCHEMA = "bin long, sub long, extra long, sizes array<int>, bits binary, keys binary"
+ARROW = pa.schema([("bin", pa.int64()), ("sub", pa.int64()), ("extra", pa.int64()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("keys", pa.binary())])
 
 
 def _places(keys: np.ndarray, level: int, size: np.ndarray | int) -> np.ndarray:
@@ -54,21 +55,25 @@ def binned(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bin", pa.int64()), ("keys", pa.binary())]))
 
 
+def cut(bin_: int, keys: np.ndarray, shard_keys: int = SHARD_KEYS) -> Iterator[dict]:
+    """The shards of a bin's distinct keys, cut by the bits that follow the bin's into about ``shard_keys`` each."""
+    extra = max(0, (len(keys) - 1).bit_length() - (shard_keys - 1).bit_length())
+    sub = (keys >> np.uint64(64 - BINS - extra)) & np.uint64((1 << extra) - 1)
+    for k in range(1 << extra):
+        sizes, bits, stored = build(keys[sub == k])
+        yield {"bin": bin_, "sub": k, "extra": extra, "sizes": sizes, "bits": bits.tobytes(), "keys": stored.tobytes()}
+
+
 def shards(rows: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """The shards of all keys in ``rows`` (bin, keys), each key once however often it comes.
 
     A task takes one bin of leading bits after another, and cuts it by the bits that follow into shards of about
     ``shard_keys``. It holds the keys of one bin.
     """
-    schema = pa.schema([("bin", pa.int64()), ("sub", pa.int64()), ("extra", pa.int64()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("keys", pa.binary())])
 
     def built(bin_: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        extra = max(0, (len(keys) - 1).bit_length() - (shard_keys - 1).bit_length())
-        sub = (keys >> np.uint64(64 - BINS - extra)) & np.uint64((1 << extra) - 1)
-        for k in range(1 << extra):
-            sizes, bits, stored = build(keys[sub == k])
-            one = {"bin": bin_, "sub": k, "extra": extra, "sizes": sizes, "bits": bits.tobytes(), "keys": stored.tobytes()}
-            yield pa.RecordBatch.from_pylist([one], schema=schema)
+        for one in cut(bin_, keys, shard_keys):
+            yield pa.RecordBatch.from_pylist([one], schema=ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, waiting, held = None, np.empty(0, np.uint64), [], 0

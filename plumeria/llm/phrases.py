@@ -1,37 +1,44 @@
-"""Collocations: phrases counted exactly by the slots of a minimal perfect hash over the candidates that can be frequent.
-
-Level by level, tasks count the phrases of k words in a sketch of hashed cells. A phrase can be frequent only if both
-its parts of k - 1 words and its own cell are, so the cells bound from above and no frequent phrase is lost. What passes
-all levels are the candidates; a minimal perfect hash gives them slots, with their keys stored for verification. Tasks
-then count the candidates among their phrases by ``bincount`` over slots; the arrays are summed in a tree of shuffles,
-and a candidate's count and those of its two parts at each cut are read by slot.
-
-Sketches have a fixed number of cells and slots are counted ``round_keys`` at a time, so what a task or the driver holds
-has a bound whatever the input: beyond it there are more candidates, and more rounds over the texts.
-Phrases are told apart by 64-bit hashes of language and words.
+"""Collocations: phrases counted exactly by the slots of minimal perfect hashes over the candidates that can be frequent.
+
+Phrases go by 64-bit hashes of language and words. A task sums the phrases of its texts and deals the sums out by the
+leading bits of the hash, so that a bin of hashes meets in one task. There a sketch of cells, as many as the bin has
+hashes, bounds from above what occurs often enough; what passes are the candidates, a minimal perfect hash gives them
+slots, with their keys stored for verification, and their sums are added up by slot. Of three words and more only
+phrases are dealt out whose parts pass a filter of the frequent ones, one bit a cell; a full filter lets more
+through, and no frequent phrase is lost. In a last scan the tasks give the words of what passes, and the bins keep what
+their slots know as frequent, once. Counts of the two parts at each cut come by a join on the parts' hashes.
+
+The texts are read once for words and pairs, once for each longer width and once for the words of the frequent phrases,
+whatever the size of the input. What a task or the driver holds besides one bin has a bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeria.llm import blocks, perfect_hash
+from plumeria.llm import perfect_hash
 from plumeria.llm.common import stored
+from plumeria.llm.perfect_hash import BINS
 from plumeria.llm.words import _BASE, _BYTE, _LOWER, _pieces, column_bytes, lean, mix, powers, slices, span_hash
 
 #: What ends a piece, and what separates words within it (fixed values).
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 LEAST, WORDS, INSIDE, TOP = 10, 3, 50, 2000
-#: Cells of a level's sketch, and candidates that are counted at once.
-CELLS, ROUND_KEYS = 1 << 25, 1 << 22
+#: Cells of a width's filter at most and at least, and for each frequent phrase between these.
+CELLS, LEAST_CELLS, ROOM = 1 << 28, 1 << 16, 32
+#: Candidates that one perfect hash holds and that are counted at once.
+ROUND_KEYS = 1 << 22
+#: Phrases that a task holds before it gives their sums, or their words.
+HELD = 1 << 23
 #: Parts in which a language's phrases are ranked first.
 _SALTS = 32
 
@@ -39,6 +46,9 @@ _BREAK = np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
 _BETWEEN = _BREAK.copy()
 _BETWEEN[list(SPACES)] = True
+#: Rows of shards with their counts by slot.
+COUNTED = f"{perfect_hash.SCHEMA}, width int, counts binary, frequent long"
+_COUNTED = pa.schema([*perfect_hash.ARROW, ("width", pa.int32()), ("counts", pa.binary()), ("frequent", pa.int64())])
 
 
 class Words:
@@ -75,20 +85,18 @@ class Words:
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def phrases(self, width: int) -> np.ndarray:
-        """The hashes of all runs of ``width`` words, whether or not they lie in one piece."""
+    def phrases(self, width: int, begins: np.ndarray) -> np.ndarray:
+        """The hashes of the runs of ``width`` words from ``begins``, whether or not they lie in one piece."""
         if width == 1:
-            return self.hashes
-        n = len(self) - width + 1
-        if n <= 0:
-            return self.hashes[:0]
-        total = np.full(n, width, np.uint64)
+            return self.hashes[begins]
+        total = np.full(len(begins), width, np.uint64)
         for k, weight in enumerate(powers(0xD6E8FEB86659FD93, width + 1)[1:]):
-            total += self.hashes[k : n + k] * weight
+            total += self.hashes[begins + k] * weight
         return mix(total)
 
-    def levels(self, passed: list[np.ndarray], upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(width, begins, hashes) of the runs in one piece whose parts pass their levels, and which pass their own."""
+    def levels(self, flags: dict[int, np.ndarray], upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(width, begins, hashes) of the runs in one piece whose parts pass their widths' flags, and which pass their
+        own. All pass a width without flags."""
         together = (self.piece[1:] == self.piece[:-1]) & (self.text[1:] == self.text[:-1])
         alive = np.ones(len(self), bool)
         for width in range(1, upto + 1):
@@ -96,18 +104,25 @@ class Words:
                 alive = alive[:-1] & alive[1:]
             if width == 2:
                 alive &= together
-            hashes = self.phrases(width)
             begins = np.flatnonzero(alive)
-            if width <= len(passed):
-                begins = begins[_passes(passed[width - 1], hashes[begins])]
+            hashes = self.phrases(width, begins)
+            if width in flags:
+                good = _passes(flags[width], hashes)
+                begins, hashes = begins[good], hashes[good]
                 alive = np.zeros(len(alive), bool)
                 alive[begins] = True
-            yield width, begins, hashes[begins]
+            yield width, begins, hashes
 
-    def phrase(self, begin: int, width: int) -> str:
-        """The words of a run joined by one space, A-Z in lower case."""
-        spans = zip(self.begins[begin : begin + width].tolist(), self.ends[begin : begin + width].tolist(), strict=True)
-        return b" ".join(self.data[a:b].tobytes() for a, b in spans).lower().decode()
+    def written(self, begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The runs' words, A-Z in lower case, each with a space after it, or a line feed after the last; and the runs' bytes."""
+        word = begins[:, None] + np.arange(width)
+        lengths = (self.ends[word] - self.begins[word] + 1).ravel()
+        ends = np.cumsum(lengths)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begins[word].ravel() - ends + lengths, lengths)
+        out = _LOWER[self.data[np.minimum(place, len(self.data) - 1)]]
+        out[ends - 1] = 32
+        out[ends[width - 1 :: width] - 1] = 10
+        return out, lengths.reshape(-1, width).sum(1)
 
 
 def _passes(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -121,144 +136,204 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield Words(batch.column(0), batch.column(1))
 
 
-def _saturated(state: list[np.ndarray], places: np.ndarray, values: list[np.ndarray]) -> None:
-    state[0][places] = np.minimum(state[0][places].astype(np.int64) + values[0], 255)
-
+def _bins(keys: np.ndarray) -> np.ndarray:
+    """Where the bins begin in sorted keys, and the end."""
+    return np.append(np.searchsorted(keys, np.arange(1 << BINS, dtype=np.uint64) << np.uint64(64 - BINS)), len(keys))
 
-def frequent_cells(rows: DataFrame, width: int, passed: list, least: int = LEAST, cells: int = CELLS) -> np.ndarray:
-    """A bit for each cell of the sketch: whether ``least`` phrases of ``width`` words fell into it. ``cells`` / 8 bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(cells, np.uint8)
-        for words in _batches(batches):
-            *_, (_, _, hashes) = words.levels([x.value for x in passed], width)
-            cell, n = np.unique((hashes >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64), return_counts=True)
-            _saturated([table], cell, [n])
-        yield from blocks.block_rows([table], TaskContext.get().partitionId())
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps, all their first bytes before all second ones: the leading bytes of a bin's steps are zeros, which shuffles compress."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                places = np.frombuffer(row["places"], np.uint16)[np.frombuffer(row["values"][0], np.uint8) >= least]
-                row |= {"places": places.tobytes(), "values": [np.ones(len(places), np.uint8).tobytes()]}
-                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
 
-    counted = blocks.merged(rows.mapInArrow(lean(run), blocks.SCHEMA), ["uint8"], _saturated)
-    return np.packbits(blocks.whole(counted.mapInArrow(enough, blocks.SCHEMA), cells, "uint8"), bitorder="little")
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def candidate_keys(rows: DataFrame, passed: list, words: int = WORDS) -> DataFrame:
-    """(bin, keys): the keys of all phrases that pass their levels, each once a task."""
+def _by_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[dict]]]:
+    """The rows of one bin and width after another."""
+    return groupby((row for batch in batches for row in batch.to_pylist()), itemgetter("bin", "width"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, waiting, held = np.empty(0, np.uint64), [], 0
-        for one in _batches(batches):
-            waiting += [hashes for _, _, hashes in one.levels([x.value for x in passed], words)]
-            held += sum(map(len, waiting[-words:]))
-            if held > max(len(keys), 1 << 20):
-                keys, waiting, held = np.unique(np.concatenate([keys, *waiting])), [], 0
-        yield from perfect_hash.binned(np.unique(np.concatenate([keys, *waiting])))
 
-    return rows.mapInArrow(lean(run), "bin long, keys binary")
+def phrase_sums(rows: DataFrame, flags: dict, widths: range) -> DataFrame:
+    """(bin, width, once, keys, counts): the phrases of ``widths`` words whose parts pass, in sums of up to ``HELD`` of them.
+    Those in ``once`` came once."""
+    schema = pa.schema([("bin", pa.int64()), ("width", pa.int32()), ("once", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
+    def summed(width: int, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_counts=True)
+        cuts, out = _bins(keys), []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own, counts = keys[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]
+            often = counts > 1
+            out.append({"bin": k, "width": width, "once": _packed(own[~often]), "keys": _packed(own[often]), "counts": counts[often].tobytes()})
+        return pa.RecordBatch.from_pylist(out, schema=schema)
 
-def _text_marks(one: Words, texts: pa.Array) -> np.ndarray:
-    """A 32-bit hash of each text, for each of its words."""
-    data, offsets = column_bytes(texts)
-    marks = [xxhash.xxh32_intdigest(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return np.array(marks, np.uint32)[one.text]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting, held = {k: x.value for k, x in flags.items()}, {width: [] for width in widths}, 0
+        for words in _batches(batches):
+            for width, _, hashes in words.levels(known, widths[-1]):
+                if width in waiting:
+                    waiting[width].append(hashes)
+                    held += len(hashes)
+            if held >= HELD:
+                yield from (summed(width, waiting[width]) for width in widths)
+                waiting, held = {width: [] for width in widths}, 0
+        yield from (summed(width, waiting[width]) for width in widths)
 
+    return rows.mapInArrow(lean(run), "bin long, width int, once binary, keys binary, counts binary")
 
-def _counted(state: list[np.ndarray], places: np.ndarray, values: list[np.ndarray]) -> None:
-    known = state[0][places] > 0
-    state[1][places] = np.where(known, np.minimum(state[1][places], values[1]), values[1])
-    state[0][places] += values[0]
 
+def slot_counts(sums: DataFrame, least: int = LEAST, round_keys: int = ROUND_KEYS) -> DataFrame:
+    """The shards of a perfect hash for each bin and width, over the phrases that can occur ``least`` times, with the
+    counts by slot, and how many of them do."""
 
-def slot_counts(rows: DataFrame, slots, passed: list, words: int = WORDS) -> DataFrame:
-    """Blocks of how often each slot's phrase occurs, and of the least mark of a text that holds it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bin_, width), rows in _by_bin(batches):
+            keys, n = [], []
+            for row in rows:
+                keys += [_unpacked(row["once"]), _unpacked(row["keys"])]
+                n += [np.ones(len(keys[-2]), np.int64), np.frombuffer(row["counts"], np.int64)]
+            keys, n = np.concatenate(keys), np.concatenate(n)
+            cell = ((keys << np.uint64(BINS)) >> np.uint64(64 - len(keys).bit_length())).astype(np.int64)
+            may = np.bincount(cell, weights=np.minimum(n, least))[cell] >= least
+            keys, n = keys[may], n[may]
+            shards = list(perfect_hash.cut(bin_, np.unique(keys), round_keys)) if len(keys) else []
+            own = perfect_hash.Slots(shards)
+            counts, at = np.zeros(len(own), np.int64), 0
+            np.add.at(counts, own.find(keys), n)
+            for shard in shards:
+                to = at + len(shard["keys"]) // 8
+                yield pa.RecordBatch.from_pylist([shard | {"width": width, "counts": counts[at:to].tobytes(), "frequent": int((counts[at:to] >= least).sum())}], schema=_COUNTED)
+                at = to
+
+    return sums.repartition("bin").sortWithinPartitions("bin", "width").mapInArrow(lean(run), COUNTED)
+
+
+def frequent_flags(slots: DataFrame, width: int, least: int = LEAST, cells: int = CELLS) -> np.ndarray:
+    """A bit for each cell of a filter: whether a phrase of ``width`` words that occurs ``least`` times falls into it. ``cells`` / 8 bytes at most."""
+    own = slots.where(F.col("width") == width)
+    n = own.agg(F.sum("frequent").alias("n")).first()["n"] or 0
+    cells = min(cells, max(LEAST_CELLS, 1 << (ROOM * n).bit_length()))
+    step = cells >> BINS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = slots.value
-        counts, marks, waiting, held = np.zeros(len(own), np.int64), np.full(len(own), (1 << 32) - 1, np.uint32), [], 0
-        for batch in slices(batches):
-            one = Words(batch.column(0), batch.column(1))
-            by_word = _text_marks(one, batch.column(1))
-            for width, begins, hashes in one.levels([x.value for x in passed], words):
-                found = own.find(hashes)
-                known = found >= 0
-                waiting.append(found[known])
-                held += len(waiting[-1])
-                if width > 1:
-                    np.minimum.at(marks, found[known], by_word[begins[known]])
-            if held > len(own):
-                counts += np.bincount(np.concatenate(waiting), minlength=len(own))
-                waiting, held = [], 0
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=len(own))
-        yield from blocks.block_rows([counts, marks], TaskContext.get().partitionId())
-
-    return blocks.merged(rows.mapInArrow(lean(run), blocks.SCHEMA), ["int64", "uint32"], _counted)
-
-
-def frequent_phrases(rows: DataFrame, slots, counts, marks, passed: list, least: int = LEAST, words: int = WORDS) -> DataFrame:
-    """(lang, phrase, width, n): the phrases of two words and more that occur ``least`` times, from the texts with
-    their least mark, so that few tasks give the same one; and rows without a phrase that add up to a language's words."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = np.frombuffer(row["keys"], np.uint64)[np.frombuffer(row["counts"], np.int64) >= least]
+                bits = np.zeros(step, bool)
+                bits[(keys >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64) & step - 1] = True
+                yield pa.RecordBatch.from_pylist([{"bin": row["bin"], "bits": np.packbits(bits, bitorder="little").tobytes()}])
+
+    out = np.zeros(cells // 8, np.uint8)
+    for row in own.select("bin", "keys", "counts").mapInArrow(run, "bin long, bits binary").toLocalIterator():
+        out[row["bin"] * step // 8 : (row["bin"] + 1) * step // 8] |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def phrase_words(rows: DataFrame, flags: dict, words: int = WORDS) -> DataFrame:
+    """(bin, width, lang, keys, texts, n): the phrases of two words and more that pass, with their words, about once a
+    task; and rows without keys that add up to a language's words."""
+    schema = pa.schema([("bin", pa.int64()), ("width", pa.int32()), ("lang", pa.string()), ("keys", pa.binary()), ("texts", pa.binary()), ("n", pa.int64())])
+
+    def dealt(width: int, codes: list[str], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, lang, sizes, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        begins, order = np.cumsum(sizes) - sizes, np.lexsort((keys, lang))
+        keys, lang, sizes, begins = keys[order], lang[order], sizes[order], begins[order]
+        ends = np.cumsum(sizes)
+        data = data[np.arange(len(data)) + np.repeat(begins - ends + sizes, sizes)]
+        bins = (keys >> np.uint64(64 - BINS)).astype(np.int64)
+        cuts = np.flatnonzero((np.diff(bins, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0)).tolist()
+        out = []
+        for at, to in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            texts = data[ends[at] - sizes[at] : ends[to - 1]]
+            out.append({"bin": int(bins[at]), "width": width, "lang": codes[lang[at]], "keys": _packed(keys[at:to]), "texts": texts.tobytes()})
+        return pa.RecordBatch.from_pylist(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("width", pa.int32()), ("n", pa.int64())])
-        own, total, mark = slots.value, counts.value, marks.value
-        told, in_all = np.zeros(len(own), bool), {}
-        for batch in slices(batches):
-            one = Words(batch.column(0), batch.column(1))
+        known, code, in_all = {k: x.value for k, x in flags.items()}, {}, {}
+        told, waiting, held = {}, {}, 0
+        for one in _batches(batches):
             for lang, n in zip(one.languages, np.bincount(one.text, minlength=len(one.languages)).tolist(), strict=True):
                 in_all[lang] = in_all.get(lang, 0) + n
-            by_word, out = _text_marks(one, batch.column(1)), []
-            for width, begins, hashes in one.levels([x.value for x in passed], words):
-                if width == 1:
+            lang = np.array([code.setdefault(x, len(code)) for x in one.languages], np.int64)
+            for width, begins, hashes in one.levels(known, words):
+                if width == 1 or not len(hashes):
                     continue
-                found = own.find(hashes)
-                good = found >= 0
-                good[good] = (total[found[good]] >= least) & (mark[found[good]] == by_word[begins[good]]) & ~told[found[good]]
-                fresh, where = np.unique(found[good], return_index=True)
-                told[fresh] = True
-                for i in begins[good][where].tolist():
-                    out.append({"lang": one.languages[one.text[i]], "phrase": one.phrase(i, width), "width": width})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-        yield pa.RecordBatch.from_pylist([{"lang": lang, "n": n} for lang, n in in_all.items()], schema=schema)
+                keys, where = np.unique(hashes, return_index=True)
+                own = told.get(width, keys[:0])
+                place = np.searchsorted(own, keys)
+                fresh = np.append(own, keys[-1:])[place] != keys
+                fresh[place == len(own)] = True
+                keys, begins = keys[fresh], begins[where[fresh]]
+                told[width] = np.insert(own, place[fresh], keys)
+                data, sizes = one.written(begins, width)
+                waiting.setdefault(width, []).append((keys, lang[one.text[begins]], sizes, data))
+                held += len(keys)
+            if held >= HELD:
+                yield from (dealt(width, list(code), parts) for width, parts in waiting.items())
+                told, waiting, held = {}, {}, 0
+        yield from (dealt(width, list(code), parts) for width, parts in waiting.items())
+        yield pa.RecordBatch.from_pylist([{"bin": 0, "width": 0, "lang": lang, "n": n} for lang, n in in_all.items()], schema=schema)
+
+    return rows.mapInArrow(lean(run), "bin long, width int, lang string, keys binary, texts binary, n long")
+
+
+def frequent_phrases(texts: DataFrame, slots: DataFrame, least: int = LEAST) -> DataFrame:
+    """(key, lang, phrase, width, a, parts, inner, n): the phrases of two words and more that occur ``a >= least`` times
+    by the slot of their bin, once; the hashes of the first and second part at each cut, and of the runs of two words
+    and more inside. And the rows without a phrase of ``texts``."""
+    hashes = pa.list_(pa.int64())
+    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("width", pa.int32()), ("a", pa.int64()), ("parts", hashes), ("inner", hashes), ("n", pa.int64())])
+
+    def told(width: int, shards: list[dict], rows: list[dict]) -> pa.RecordBatch:
+        own, total = perfect_hash.Slots(shards), np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(shards, key=itemgetter("sub"))])
+        keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
+        langs = [r["lang"] for r in rows for _ in range(len(r["keys"]) // 8)]
+        found = own.find(keys)
+        good = np.flatnonzero(found >= 0)
+        good = good[total[found[good]] >= least]
+        slot, where = np.unique(found[good], return_index=True)
+        where = good[where].tolist()
+        lines = b"".join(r["texts"] for r in rows).split(b"\n")
+        lang, phrase = pa.array([langs[i] for i in where], pa.string()), pa.array([lines[i].decode() for i in where], pa.string())
+        one, begin = Words(lang, phrase), np.arange(len(where)) * width
+        parts = [x for cut in range(1, width) for x in (one.phrases(cut, begin), one.phrases(width - cut, begin + cut))]
+        inner = [one.phrases(k, begin + i) for k in range(2, width) for i in range(width - k + 1)]
+        lists = []
+        for each in (parts, inner):
+            flat = np.stack(each, axis=1).ravel().view(np.int64) if each else np.empty(0, np.int64)
+            lists.append(pa.ListArray.from_arrays(np.arange(len(where) + 1, dtype=np.int32) * len(each), flat))
+        columns = [keys[where].view(np.int64), lang, phrase, np.full(len(where), width, np.int32), total[slot], *lists, pa.nulls(len(where), pa.int64())]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=schema)
 
-    return rows.mapInArrow(lean(run), "lang string, phrase string, width int, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, width), rows in _by_bin(batches):
+            rows = list(rows)
+            if not width:
+                yield pa.RecordBatch.from_pylist([{"lang": r["lang"], "n": r["n"]} for r in rows], schema=schema)
+                continue
+            shards, own = ([r for r in rows if (r["texts"] is None) == x] for x in (True, False))
+            if shards and own:
+                yield told(width, shards, own)
+
+    both = slots.where("width > 1").drop("frequent").unionByName(texts, allowMissingColumns=True)
+    out = "key long, lang string, phrase string, width int, a long, parts array<long>, inner array<long>, n long"
+    return both.repartition("bin").sortWithinPartitions("bin", "width").mapInArrow(lean(run), out)
 
 
-def _read(phrases: DataFrame, slots, counts, words: int) -> DataFrame:
-    """``phrases`` (lang, phrase, width, f) with the counts of this round's keys in ``f``: of the phrase, then of the
-    first and second part at each cut; what other rounds hold stays as it is."""
+def counts_by_key(slots: DataFrame, least: int = LEAST) -> DataFrame:
+    """(part, f): the phrases of any width that occur ``least`` times, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = slots.value, counts.value
-        for batch in slices(batches, 1 << 13):
-            one = Words(batch.column(0), batch.column(1))
-            width = batch.column(2).to_numpy()
-            begin = np.cumsum(width) - width
-            f = np.stack(batch.column(3).to_pylist()).astype(np.int64) if batch.num_rows else np.empty((0, 2 * words - 1), np.int64)
-            hashes = [one.phrases(k) for k in range(1, words + 1)]
-
-            def put(column: int, rows: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-                for k in range(1, words + 1):
-                    has = n == k
-                    found = own.find(hashes[k - 1][at[has]])
-                    f[rows[has][found >= 0], column] = total[found[found >= 0]]
-
-            every = np.arange(batch.num_rows)
-            put(0, every, begin, width)
-            for cut in range(1, words):
-                longer = every[width > cut]
-                put(2 * cut - 1, longer, begin[longer], np.full(len(longer), cut))
-                put(2 * cut, longer, begin[longer] + cut, width[longer] - cut)
-            column = pa.array(f.tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], column], names=["lang", "phrase", "width", "f"])
-
-    return phrases.mapInArrow(run, "lang string, phrase string, width int, f array<long>")
+        for batch in batches:
+            for keys, counts in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                keys, counts = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                often = counts >= least
+                yield pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(counts[often])], names=["part", "f"])
+
+    return slots.select("keys", "counts").mapInArrow(run, "part long, f long")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -288,52 +363,30 @@ def collocations(
     Null and empty texts have no words, rows are counted one by one whether or not they repeat, an empty table gives
     an empty result, and other columns are ignored, whatever their names.
     """
-    if cells & (cells - 1) or cells < blocks.BLOCK or words < 2 or least < 1 or least > 255:
-        raise ValueError(f"cells: a power of two from {blocks.BLOCK} on; words: 2 at least; least: 1 to 255, the largest count of a cell")
+    if cells & (cells - 1) or cells < LEAST_CELLS or words < 2 or least < 1 or least > 255:
+        raise ValueError(f"cells: a power of two from {LEAST_CELLS} on; words: 2 at least; least: 1 to 255")
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    passed: list = []
-    for width in range(1, words + 1):
-        passed.append(context.broadcast(frequent_cells(rows, width, passed, least, cells)))
-    shards = stored(perfect_hash.shards(candidate_keys(rows, passed, words)), "phrases-shards")
-    n_keys = (shards.agg(F.sum(F.octet_length("keys")).alias("n")).first()["n"] or 0) // 8
-    rounds = [shards.where(F.col("bin") % k == i) for k in [-(-n_keys // round_keys)] for i in range(k)]
-    share = lambda x: context.broadcast(x)  # noqa: E731 - of a round's keys, about round_keys
-    found, sums = [], []
-    for own in rounds:
-        slots = share(perfect_hash.Slots(own.collect()))
-        sums.append(stored(slot_counts(rows, slots, passed, words), "phrases-slots"))
-        counts, marks = (share(blocks.whole(sums[-1], len(slots.value), d, k)) for k, d in enumerate(("int64", "uint32")))
-        found.append(stored(frequent_phrases(rows, slots, counts, marks, passed, least, words), "phrases-found"))
-        for x in (slots, counts, marks):
-            x.destroy()
-    if not found:  # no word is frequent
-        return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, width int, a long, l long, r long, n long, score long, cut int")
-    languages = found[0].where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = reduce(DataFrame.unionByName, found).where("phrase IS NOT NULL").select("lang", "phrase", "width").distinct()
-    read = phrases.withColumn("f", F.array_repeat(F.lit(0).cast("long"), 2 * words - 1))
-    for own, sum_ in zip(rounds, sums, strict=True):
-        slots = share(perfect_hash.Slots(own.collect()))
-        counts = share(blocks.whole(sum_, len(slots.value), "int64"))
-        read = stored(_read(read, slots, counts, words), "phrases-counts")
-        slots.destroy()
-        counts.destroy()
-    counted = read
-
-    parts = [
-        F.when(F.col("width") > c, F.struct(_score(F.col("f")[0], F.col("f")[2 * c - 1], F.col("f")[2 * c]).alias("score"), F.lit(c).alias("cut"), F.col("f")[2 * c - 1].alias("l"), F.col("f")[2 * c].alias("r")))
-        for c in range(1, words)
-    ]
-    scored = counted.select("lang", "phrase", "width", F.col("f")[0].alias("a"), F.array_min(F.array(*parts)).alias("best"))
-    word = F.split("phrase", " ")
-    within = [
-        counted.where(F.col("width") > n).select("lang", F.explode(F.array(*[F.when(F.col("width") >= n + k, F.array_join(F.slice(word, k + 1, n), " ")) for k in range(words - n + 1)])).alias("phrase"), F.col("f")[0].alias("longer"))
-        for n in range(2, words)
-    ]
-    left = scored
-    if within:
-        longest = reduce(DataFrame.unionByName, within).where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-        left = scored.join(longest, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
+    flags: dict = {}
+    levels = []
+    for widths in (range(1, 3), *(range(k, k + 1) for k in range(3, words + 1))):
+        levels.append(stored(slot_counts(phrase_sums(rows, flags, widths), least, round_keys), "phrases-slots"))
+        flags = flags | {widths[-1]: context.broadcast(frequent_flags(levels[-1], widths[-1], least, cells))}
+    slots = reduce(DataFrame.unionByName, levels)
+    found = stored(frequent_phrases(phrase_words(rows, flags, words), slots, least), "phrases-found")
+    languages = found.where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    phrases = found.where("phrase IS NOT NULL")
+    lookups = phrases.select("key", F.posexplode("parts").alias("at", "part")).join(counts_by_key(slots, least).hint("merge"), "part")
+    by_cut = lookups.groupBy("key").agg(*[F.max(F.when(F.col("at") == k, F.col("f"))).alias(f"f{k}") for k in range(2 * words - 2)])
+    counted = phrases.select("key", "lang", "phrase", "width", "a").join(by_cut, "key")
+
+    cuts = []
+    for c in range(1, words):
+        left, right = F.col(f"f{2 * c - 2}"), F.col(f"f{2 * c - 1}")
+        cuts.append(F.when(F.col("width") > c, F.struct(_score(F.col("a"), left, right).alias("score"), F.lit(c).alias("cut"), left.alias("l"), right.alias("r"))))
+    longest = phrases.select(F.explode("inner").alias("key"), F.col("a").alias("longer")).groupBy("key").agg(F.max("longer").alias("longer"))
+    left = counted.select("key", "lang", "phrase", "width", "a", F.array_min(F.array(*cuts)).alias("best")).join(longest, "key", "left")
+    left = left.where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
     order = [F.desc("best.score"), F.desc("a"), F.asc("phrase")]
     if top is not None:  # each language in parts first, so that none is sorted in one task
         salted = left.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)))

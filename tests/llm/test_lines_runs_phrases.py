@@ -258,6 +258,23 @@ def test_phrases_of_an_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
 
 
+def test_phrases_read_texts_as_often_whatever_the_number_of_phrases(spark):
+    """Far more different phrases than cells, and frequent ones than a round's keys: more are dealt out, texts are read no more often."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(1000)) + ".", rng.choice(["en", "de"])) for i in range(120)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3).mapInArrow(counted, "doc_id long, text string, lang string")
+    found = phrases.collocations(frame, cells=1 << 16, round_keys=500).select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "cut").collect()
+    assert sorted(map(tuple, found)) == plain_phrases(docs)
+    assert read.value == 3 * len(docs)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 70_000])
 def test_perfect_hash(spark, n):
     rng = np.random.default_rng(n)
