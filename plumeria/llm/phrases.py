@@ -37,8 +37,8 @@ LEAST, WORDS, INSIDE, TOP = 10, 3, 50, 2000
 CELLS, LEAST_CELLS, ROOM = 1 << 28, 1 << 16, 32
 #: Candidates that one perfect hash holds and that are counted at once.
 ROUND_KEYS = 1 << 22
-#: Phrases that a task holds before it gives their sums, or their words.
-HELD = 1 << 23
+#: Phrases that a task holds before it gives their sums, or knows before it gives one again; and those that it holds with their words.
+HELD, HELD_WORDS = 1 << 23, 1 << 20
 #: Parts in which a language's phrases are ranked first.
 _SALTS = 32
 
@@ -46,6 +46,7 @@ _BREAK = np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
 _BETWEEN = _BREAK.copy()
 _BETWEEN[list(SPACES)] = True
+_LOWER_BYTE = _BYTE[_LOWER]
 #: Rows of shards with their counts by slot.
 COUNTED = f"{perfect_hash.SCHEMA}, width int, counts binary, frequent long"
 _COUNTED = pa.schema([*perfect_hash.ARROW, ("width", pa.int32()), ("counts", pa.binary()), ("frequent", pa.int64())])
@@ -66,16 +67,16 @@ class Words:
             first[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, "right")] - at] = True
             begins = np.flatnonzero(inside & (first[:-1] | np.concatenate(([True], ~inside[:-1]))))
             ends = np.flatnonzero(inside & (first[1:] | np.concatenate((~inside[1:], [True])))) + 1
-            values = _BYTE[_LOWER[part]]
+            values = _LOWER_BYTE[part]
             values *= powers(_BASE, to - at)
             sums = np.zeros(to - at + 1, np.uint64)
             np.cumsum(values, out=sums[1:])
-            broken = np.cumsum(_BREAK[part])
+            broken = np.flatnonzero(_BREAK[part])
             self.begins.append(begins + at)
             self.ends.append(ends + at)
             self.hashes.append(span_hash(sums, begins, ends))
-            self.piece.append(broken[begins] + count)
-            count += int(broken[-1])
+            self.piece.append(np.searchsorted(broken, begins) + count)
+            count += len(broken)
         self.begins, self.ends, hashes, self.piece = (np.concatenate(x) for x in (self.begins, self.ends, self.hashes, self.piece))
         self.text = np.searchsorted(offsets, self.begins, "right") - 1
         self.languages = languages.to_pylist()
@@ -242,7 +243,9 @@ def phrase_words(rows: DataFrame, flags: dict, words: int = WORDS) -> DataFrame:
         begins, order = np.cumsum(sizes) - sizes, np.lexsort((keys, lang))
         keys, lang, sizes, begins = keys[order], lang[order], sizes[order], begins[order]
         ends = np.cumsum(sizes)
-        data = data[np.arange(len(data)) + np.repeat(begins - ends + sizes, sizes)]
+        place = np.repeat(begins - ends + sizes, sizes)
+        place += np.arange(len(data))
+        data = data[place]
         bins = (keys >> np.uint64(64 - BINS)).astype(np.int64)
         cuts = np.flatnonzero((np.diff(bins, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0)).tolist()
         out = []
@@ -255,25 +258,28 @@ def phrase_words(rows: DataFrame, flags: dict, words: int = WORDS) -> DataFrame:
         known, code, in_all = {k: x.value for k, x in flags.items()}, {}, {}
         told, waiting, held = {}, {}, 0
         for one in _batches(batches):
+            if sum(map(len, told.values())) >= HELD:
+                told = {}
             for lang, n in zip(one.languages, np.bincount(one.text, minlength=len(one.languages)).tolist(), strict=True):
                 in_all[lang] = in_all.get(lang, 0) + n
             lang = np.array([code.setdefault(x, len(code)) for x in one.languages], np.int64)
             for width, begins, hashes in one.levels(known, words):
                 if width == 1 or not len(hashes):
                     continue
-                keys, where = np.unique(hashes, return_index=True)
-                own = told.get(width, keys[:0])
+                order = np.argsort(hashes)
+                order = order[np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0]
+                keys, own = hashes[order], told.get(width, hashes[:0])
                 place = np.searchsorted(own, keys)
-                fresh = np.append(own, keys[-1:])[place] != keys
-                fresh[place == len(own)] = True
-                keys, begins = keys[fresh], begins[where[fresh]]
+                fresh = place == len(own)
+                fresh[~fresh] = own[place[~fresh]] != keys[~fresh]
+                keys, begins = keys[fresh], begins[order[fresh]]
                 told[width] = np.insert(own, place[fresh], keys)
                 data, sizes = one.written(begins, width)
                 waiting.setdefault(width, []).append((keys, lang[one.text[begins]], sizes, data))
                 held += len(keys)
-            if held >= HELD:
+            if held >= HELD_WORDS:
                 yield from (dealt(width, list(code), parts) for width, parts in waiting.items())
-                told, waiting, held = {}, {}, 0
+                waiting, held = {}, 0
         yield from (dealt(width, list(code), parts) for width, parts in waiting.items())
         yield pa.RecordBatch.from_pylist([{"bin": 0, "width": 0, "lang": lang, "n": n} for lang, n in in_all.items()], schema=schema)
 
